@@ -40,15 +40,15 @@ SPELLINGS = {
     "copyright owners": "copyright holders",
     "https": "http",
 }
-COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n©(]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|by )|©|\(c\)[ \t])[^\n]*"
-RIGHTS_LINE = r"(^|\n)[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*"
+#: A line that starts with a copyright notice or reserves all rights, with the line break before it.
+RIGHTS_LINE = r"\n[^\p{L}\p{N}\n©(]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|by )|©|\(c\)[ \t]|all rights reserved)[^\n]*"
 NOT_A_WORD = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
     out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT_LINE, "$1"), RIGHTS_LINE, "$1")
-    out = F.concat(F.lit(" "), F.regexp_replace(out, NOT_A_WORD, " "), F.lit(" "))
+    out = F.regexp_replace(F.concat(F.lit("\n"), out, F.lit("\n")), RIGHTS_LINE, "")
+    out = F.regexp_replace(out, NOT_A_WORD, " ")
     for said, meant in SPELLINGS.items():
         out = F.replace(out, F.lit(f" {said} "), F.lit(f" {meant} "))
     return F.trim(out)
@@ -73,8 +73,8 @@ def scan(docs: DataFrame, known: dict[str, str] = KNOWN) -> DataFrame:
 
 def _sql() -> str:
     def canon(text: str) -> str:
-        out = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', '\\1', 'g'), '{RIGHTS_LINE}', '\\1', 'g')"
-        out = f"' ' || regexp_replace({out}, '{NOT_A_WORD}', ' ', 'g') || ' '"
+        out = f"regexp_replace(chr(10) || lower(coalesce({text}, '')) || chr(10), '{RIGHTS_LINE}', '', 'g')"
+        out = f"regexp_replace({out}, '{NOT_A_WORD}', ' ', 'g')"
         for said, meant in SPELLINGS.items():
             out = f"replace({out}, ' {said} ', ' {meant} ')"
         return f"sha256(trim({out}, ' '))"

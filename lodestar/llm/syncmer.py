@@ -39,28 +39,35 @@ def _shift(a: Column, by: int) -> Column:
     return F.slice(a, by + 1, F.greatest(F.size(a) - by, F.lit(0)))
 
 
-def _inner_hashes(tokens: Column) -> Column:
-    """Hashes of runs of S = 2 tokens; the last element, without a neighbour, is null."""
-    h = F.transform(tokens, lambda w: F.xxhash64(w))
+def _inner_hashes(h: Column) -> Column:
+    """Hashes of runs of S = 2 token hashes; the last element, without a neighbour, is null."""
     return F.zip_with(h, _shift(h, 1), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
 
 
-def _anchor_hashes(inner: Column) -> Column:
-    """Hashes of the closed syncmers of five tokens (four inner runs), in text order; null elsewhere."""
-    rows = F.arrays_zip(inner, _shift(inner, 1), _shift(inner, 2), _shift(inner, 3))
-    return F.transform(F.filter(rows, _at_edge), lambda x: F.xxhash64(x["0"], x["2"], x["3"]))
+def _four() -> Column:
+    """Each inner hash with the three after it, as fields __inner, 1, 2, 3."""
+    return F.arrays_zip("__inner", *[_shift(F.col("__inner"), i) for i in (1, 2, 3)])
 
 
 def _at_edge(x: Column) -> Column:
-    return x["3"].isNotNull() & (F.least(x["0"], x["3"]) <= F.least(x["1"], x["2"]))
+    """The smallest inner run of a k-mer (four runs of two tokens) is its first or last; false past the end."""
+    return x["3"].isNotNull() & (F.least(x["__inner"], x["3"]) <= F.least(x["1"], x["2"]))
 
 
-def _sketch(tokens: Column) -> Column:
-    """Sorted distinct 32-bit anchor hashes, the SKETCH smallest; fewer than K tokens are one anchor."""
-    whole = F.array(F.xxhash64(F.array_join(tokens, " ")))
-    hashes = F.when(F.size(tokens) >= K, F.concat(_anchor_hashes(_inner_hashes(tokens)), F.array().cast("array<bigint>"))).when(F.size(tokens) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+def _anchor_hash(x: Column) -> Column:
+    return F.xxhash64(x["__inner"], x["2"], x["3"])
+
+
+def _with_sketch(df: DataFrame, tokens: str, out: str) -> DataFrame:
+    """Adds the sorted distinct 32-bit anchor hashes, the SKETCH smallest; fewer than K tokens are one anchor.
+
+    Each step is a column of its own: an expression that is named twice would be worked out twice."""
+    inner, hashes = "__inner", "__hashes"
+    df = df.withColumn(inner, F.transform(tokens, lambda w: F.xxhash64(w))).withColumn(inner, _inner_hashes(F.col(inner)))
+    whole = F.when(F.size(tokens) > 0, F.array(F.xxhash64(F.array_join(tokens, " ")))).otherwise(F.array().cast("array<bigint>"))
+    df = df.withColumn(hashes, F.when(F.size(tokens) >= K, F.transform(F.filter(_four(), _at_edge), _anchor_hash)).when(F.col(tokens).isNotNull(), whole))
     small = F.transform(hashes, lambda x: F.shiftrightunsigned(x, 32))
-    return F.slice(F.sort_array(F.array_distinct(small)), 1, SKETCH)
+    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(small)), 1, SKETCH)).drop(inner, hashes)
 
 
 def _words(text: Column) -> Column:
@@ -73,23 +80,17 @@ def _characters(text: Column) -> Column:
 
 def with_sketches(df: DataFrame, text: str, words_out: str, chars_out: str) -> DataFrame:
     """Adds two arrays of 32-bit hashes: the sketch over words and, for short texts, over characters (else null)."""
-    tokens = f"__{words_out}_tokens"
-    df = df.withColumn(tokens, _words(F.col(text)))
-    short = F.size(tokens) < SHORT
-    df = df.withColumn(chars_out, F.when(short, _sketch(_characters(F.when(short, F.col(text))))))
-    return df.withColumn(words_out, _sketch(F.col(tokens))).drop(tokens)
+    tokens, characters = f"__{words_out}_tokens", f"__{chars_out}_tokens"
+    df = df.withColumn(tokens, _words(F.col(text))).withColumn(characters, F.when(F.size(tokens) < SHORT, _characters(F.col(text))))
+    return _with_sketch(_with_sketch(df, tokens, words_out), characters, chars_out).drop(tokens, characters)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
     """One row an anchor: doc_id, position (of its first word, from 0) and hash, for positional matching."""
-    tokens = docs.select("doc_id", _words(F.col("text")).alias("tokens")).withColumn("inner", _inner_hashes(F.col("tokens")))
-    rows = F.arrays_zip("inner", _shift(F.col("inner"), 1), _shift(F.col("inner"), 2), _shift(F.col("inner"), 3))
-    placed = F.transform(rows, lambda x, i: F.when(_at_edge_named(x), F.struct(i.alias("position"), F.xxhash64(x["inner"], x["2"], x["3"]).alias("hash"))))
-    return tokens.select("doc_id", F.explode(F.filter(placed, lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.position", "x.hash")
-
-
-def _at_edge_named(x: Column) -> Column:
-    return x["3"].isNotNull() & (F.least(x["inner"], x["3"]) <= F.least(x["1"], x["2"]))
+    hashed = docs.select("doc_id", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    inner = hashed.select("doc_id", _inner_hashes(F.col("h")).alias("__inner"))
+    placed = F.transform(_four(), lambda x, i: F.when(_at_edge(x), F.struct(i.alias("position"), _anchor_hash(x).alias("hash"))))
+    return inner.select("doc_id", F.explode(F.filter(placed, lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.position", "x.hash")
 
 
 def _alike(a: Column, b: Column) -> Column:
