@@ -34,11 +34,11 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|
 _MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 #: Elements whose content is no text of the page, and those that run to the end of the page if nothing ends them (fixed values).
 RAW = frozenset("script style title textarea".split())
-SILENT = frozenset("head title script style noscript template svg math iframe object canvas audio video select option datalist button textarea".split())
+SILENT = frozenset("title script style noscript template svg math iframe object canvas audio video select option datalist button textarea".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that frame parts of a page; the ones whose ends are followed.
-FRAMES = frozenset("html body main article section div nav header footer aside form fieldset dialog menu ul ol dl table figure details".split())
-FURNITURE_TAGS = frozenset("nav footer aside form fieldset dialog menu".split())
+FRAMES = frozenset("html head body main article section div nav header footer aside form fieldset dialog menu ul ol dl table figure details".split())
+FURNITURE_TAGS = frozenset("head nav footer aside form fieldset dialog menu".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 READERS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
 FURNITURE_NAMES = frozenset(
@@ -149,6 +149,8 @@ def blocks(html: str) -> list[Block]:
                 if closing:
                     place.leave(tag)
                 else:
+                    if tag == "body":
+                        place.leave("head")
                     place.enter(tag, m[3] or "")
     if at < len(html):
         parts.append((html[at:], linked))
@@ -158,7 +160,7 @@ def blocks(html: str) -> list[Block]:
 
 @lru_cache(maxsize=64)
 def _end_of(tag: str) -> re.Pattern[str]:
-    return re.compile(r"</head\b|<body\b" if tag == "head" else rf"</{tag}\b", re.I)
+    return re.compile(rf"</{tag}\b", re.I)
 
 
 def features(page: list[Block]) -> np.ndarray:

@@ -62,4 +62,115 @@ LABELLED = (
     (4, 0.0, 0, 0.0, 3, 0.0, 0, 0, 0, 1),
     (3, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 1),
     (90, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    # More of an article: short and long blocks, lists of links in it, next to furniture.
+    (60, 1.0, 8, 0.5, 25, 1.0, 1, 0, 1, 1),
+    (7, 0, 25, 0.5, 90, 1.0, 1, 0, 1, 1),
+    (4, 0, 8, 0.1, 1, 0, 1, 0, 1, 1),
+    (110, 0, 25, 0.5, 8, 1.0, 1, 0, 1, 1),
+    (4, 0, 25, 0, 0, 0, 1, 0, 1, 1),
+    (7, 0.05, 25, 0, 8, 0.1, 1, 0, 1, 1),
+    (60, 0.05, 25, 0, 90, 0.1, 1, 0, 1, 1),
+    (60, 0, 90, 0, 8, 0.1, 1, 0, 1, 1),
+    (33, 1.0, 0, 0.1, 3, 0, 1, 0, 1, 1),
+    (110, 0.1, 0, 0, 25, 0, 1, 0, 1, 1),
+    (33, 0, 3, 0.5, 0, 0, 1, 0, 1, 1),
+    (1, 0.05, 1, 0, 8, 0.5, 1, 0, 1, 1),
+    (33, 0.4, 0, 1.0, 90, 0, 1, 0, 1, 1),
+    (12, 0.2, 0, 0.1, 3, 0, 1, 0, 1, 1),
+    (33, 0, 1, 0, 90, 0, 1, 0, 1, 1),
+    (1, 0, 8, 0.5, 1, 1.0, 1, 0, 1, 1),
+    (7, 0.7, 25, 0, 90, 0, 1, 0, 1, 1),
+    (33, 0.4, 0, 0.5, 8, 0, 1, 0, 1, 1),
+    (1, 0.1, 25, 0.1, 0, 0, 1, 0, 1, 1),
+    (4, 0.4, 25, 1.0, 0, 0, 1, 0, 1, 1),
+    (4, 0.05, 8, 0.1, 0, 1.0, 1, 0, 1, 1),
+    (19, 0.1, 8, 0, 0, 0, 1, 0, 1, 1),
+    (7, 0.05, 0, 1.0, 3, 0.1, 1, 0, 1, 1),
+    (240, 0.7, 1, 1.0, 8, 1.0, 1, 0, 1, 1),
+    # More text outside a marked article.
+    (4, 0.3, 1, 0, 3, 0, 0, 0, 1, 0),
+    (7, 1.0, 1, 0, 90, 0, 0, 0, 1, 0),
+    (33, 0.3, 25, 0, 8, 0, 0, 0, 1, 0),
+    (2, 0, 0, 0.1, 1, 1.0, 0, 0, 1, 0),
+    (12, 0.3, 25, 1.0, 3, 0, 0, 0, 1, 0),
+    (2, 0, 1, 1.0, 25, 0, 0, 0, 1, 0),
+    (12, 0, 1, 0, 0, 0.1, 0, 0, 1, 0),
+    (33, 0.3, 1, 0, 0, 0, 0, 0, 1, 0),
+    (12, 0.1, 25, 0, 0, 0.1, 0, 0, 1, 0),
+    (4, 0.3, 3, 0, 25, 0, 0, 0, 1, 0),
+    (1, 0.3, 3, 0.1, 0, 0, 0, 0, 1, 0),
+    (2, 0.3, 0, 0.1, 3, 0, 0, 0, 1, 0),
+    (2, 0, 8, 0.1, 90, 0, 0, 0, 1, 0),
+    (4, 0.1, 3, 0, 90, 1.0, 0, 0, 1, 0),
+    (2, 0.3, 0, 1.0, 25, 0, 0, 0, 1, 0),
+    (33, 0.3, 25, 0, 25, 0, 0, 0, 1, 0),
+    # More of pages without a marked article: prose beside links, lists of links, labels between links.
+    (6, 0, 0, 0.1, 25, 0.1, 0, 0, 0, 1),
+    (38, 0.2, 90, 1.0, 25, 1.0, 0, 0, 0, 1),
+    (130, 0, 90, 0, 8, 0, 0, 0, 0, 1),
+    (70, 0, 2, 0, 25, 1.0, 0, 0, 0, 1),
+    (15, 0, 8, 0.1, 2, 0, 0, 0, 0, 1),
+    (130, 0, 8, 1.0, 25, 0, 0, 0, 0, 1),
+    (24, 0.05, 8, 0, 25, 0, 0, 0, 0, 1),
+    (11, 0.05, 2, 0.1, 2, 0, 0, 0, 0, 1),
+    (8, 0.05, 8, 0, 0, 0.1, 0, 0, 0, 1),
+    (8, 0, 25, 1.0, 8, 0, 0, 0, 0, 1),
+    (38, 0.05, 90, 1.0, 8, 1.0, 0, 0, 0, 1),
+    (24, 0, 0, 0.1, 90, 0, 0, 0, 0, 1),
+    (15, 0.1, 8, 0.1, 90, 0, 0, 0, 0, 1),
+    (8, 0.05, 25, 0, 0, 0.1, 0, 0, 0, 1),
+    (11, 0.3, 2, 0, 0, 1.0, 0, 0, 0, 1),
+    (6, 0.2, 90, 0.1, 0, 0, 0, 0, 0, 1),
+    (11, 0.3, 25, 0.1, 2, 0, 0, 0, 0, 1),
+    (70, 0.1, 0, 0, 2, 0.1, 0, 0, 0, 1),
+    (24, 0.1, 90, 0, 25, 0, 0, 0, 0, 1),
+    (6, 0.05, 25, 0, 25, 1.0, 0, 0, 0, 1),
+    (11, 0.2, 0, 1.0, 90, 0.1, 0, 0, 0, 1),
+    (70, 0, 2, 0, 0, 0, 0, 0, 0, 1),
+    (2, 1.0, 0, 1.0, 90, 1.0, 0, 0, 0, 0),
+    (3, 0.6, 8, 0, 0, 1.0, 0, 0, 0, 0),
+    (3, 1.0, 25, 1.0, 25, 0, 0, 0, 0, 0),
+    (2, 0.6, 25, 0, 2, 1.0, 0, 0, 0, 0),
+    (14, 0.75, 25, 0.1, 90, 1.0, 0, 0, 0, 0),
+    (5, 1.0, 0, 0.1, 25, 1.0, 0, 0, 0, 0),
+    (22, 1.0, 2, 1.0, 8, 1.0, 0, 0, 0, 0),
+    (22, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
+    (9, 1.0, 2, 1.0, 90, 0, 0, 0, 0, 0),
+    (9, 0.6, 90, 1.0, 0, 0, 0, 0, 0, 0),
+    (9, 1.0, 90, 0, 25, 0, 0, 0, 0, 0),
+    (14, 0.75, 0, 1.0, 25, 1.0, 0, 0, 0, 0),
+    (3, 0.75, 25, 1.0, 2, 1.0, 0, 0, 0, 0),
+    (5, 1.0, 90, 1.0, 0, 0.1, 0, 0, 0, 0),
+    (2, 0, 3, 1.0, 1, 1.0, 0, 0, 0, 0),
+    (2, 0, 1, 1.0, 4, 1.0, 0, 0, 0, 0),
+    (1, 0, 1, 1.0, 1, 1.0, 0, 0, 0, 0),
+    (1, 0, 1, 1.0, 1, 1.0, 0, 0, 0, 0),
+    (3, 0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
+    (3, 0, 2, 1.0, 1, 1.0, 0, 0, 0, 0),
+    (3, 0, 2, 1.0, 1, 1.0, 0, 0, 0, 0),
+    (2, 0, 3, 1.0, 4, 1.0, 0, 0, 0, 0),
+    # More furniture: adverts, notices, sidebars and comments of any length.
+    (1, 0.2, 2, 1.0, 90, 0.1, 0, 1, 1, 0),
+    (20, 1.0, 90, 1.0, 2, 1.0, 0, 1, 1, 0),
+    (90, 0, 90, 0, 90, 1.0, 0, 1, 1, 0),
+    (3, 0.2, 2, 0.1, 90, 0.1, 0, 1, 1, 0),
+    (3, 0, 0, 0, 2, 0, 0, 1, 1, 0),
+    (9, 1.0, 0, 0.1, 25, 1.0, 0, 1, 1, 0),
+    (3, 1.0, 0, 0, 2, 1.0, 1, 1, 1, 0),
+    (9, 0, 90, 1.0, 8, 1.0, 0, 1, 1, 0),
+    (1, 1.0, 0, 0, 0, 1.0, 1, 1, 1, 0),
+    (3, 0, 2, 0, 2, 0, 0, 1, 1, 0),
+    (9, 0, 90, 0, 2, 1.0, 1, 1, 1, 0),
+    (1, 0, 8, 0.1, 25, 0.1, 1, 1, 1, 0),
+    (20, 0, 90, 0.1, 0, 1.0, 0, 1, 1, 0),
+    (3, 0, 25, 0.1, 8, 1.0, 1, 1, 1, 0),
+    # Headlines of pages without a marked article.
+    (2, 0.0, 2, 1.0, 34, 0.0, 0, 0, 0, 1),
+    (3, 0.0, 1, 1.0, 52, 0.05, 0, 0, 0, 1),
+    (4, 0.0, 60, 0.0, 48, 0.0, 0, 0, 0, 1),
+    (1, 0.0, 90, 0.1, 75, 0.0, 0, 0, 0, 1),
+    (2, 0.0, 40, 0.0, 26, 0.0, 0, 0, 0, 1),
+    (3, 0.0, 0, 0.0, 110, 0.0, 0, 0, 0, 1),
+    (4, 0.0, 3, 1.0, 64, 0.1, 0, 0, 0, 1),
+    (2, 0.0, 25, 0.0, 0, 0.0, 0, 0, 0, 1),
 )
