@@ -139,11 +139,24 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     All columns are kept.  Documents without a passage stay as they are, whatever their text."""
     spans = repeated_passages(docs, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias("__spans"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    cut = F.udf(lambda text, cuts: without_words(text, [(c.first_word, c.n_words) for c in cuts]), T.StringType(), useArrow=False)
-    text = F.when(F.col("__spans").isNotNull() & F.col("text").isNotNull(), cut("text", "__spans")).otherwise(F.col("text"))
-    changed = joined.withColumn("text", text)
-    kept = changed.where(F.col("__spans").isNull() | (F.length(F.trim("text")) > 0))
+    joined = docs.join(spans.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").select(*docs.columns, "__spans")
+    names = docs.columns
+    place = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, spans = list(batch.columns[:-1]), batch.column(batch.num_columns - 1)
+            cut = spans.is_valid().to_numpy(zero_copy_only=False)
+            if cut.any():
+                texts = columns[place].to_pylist()
+                for i in np.flatnonzero(cut).tolist():
+                    if texts[i] is not None:
+                        texts[i] = without_words(texts[i], [(x["first_word"], x["n_words"]) for x in spans[i].as_py()])
+                columns[place] = pa.array(texts, columns[place].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cut)], names=[*names, "__cut"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("__cut", T.BooleanType())])
+    kept = joined.mapInArrow(run, schema).where(~F.col("__cut") | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        kept = kept.withColumn("n_chars", F.when(F.col("__cut"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)
