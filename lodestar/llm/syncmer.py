@@ -14,8 +14,8 @@ Everything is an array expression inside one row: neighbours come from
 inside ranges of doc_id; the first row of a range is copied to the range before
 it, so no row moves through one task and the text is shuffled once.
 
-Defined results: a null text counts as empty; an empty text has an empty
-fingerprint, alike (1) only to an empty one; null ids sort last; equal ids are
+Defined results: a null text counts as empty; an empty text has a
+fingerprint without hashes, alike (1) only to another; null ids sort last; equal ids are
 ordered by text; other columns are ignored; an empty table gives an empty result.
 """
 
