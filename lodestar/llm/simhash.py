@@ -37,15 +37,21 @@ CHUNK = 1024
 #: Rows that a task turns into one numpy block of sorted runs.
 BLOCK_ROWS = 50_000
 _SEED = 42
+#: Bits of each byte value, lowest first, and where a byte column's 256 counters start.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+_PLACES = 256 * np.arange(1 << 12)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Feature:
-    """Fingerprint of ``bits`` bits over shingles of ``shingle`` words."""
+    """Fingerprint of ``bits`` bits over shingles of ``shingle`` words.
+
+    rolled: a shingle's hash is mixed from the hashes of its words, instead of XXH64 of its text."""
 
     shingle: int
     bits: int
+    rolled: bool = False
 
 
 @dataclass(frozen=True)
@@ -65,7 +71,7 @@ CLOSE = Plan((Feature(3, 64),), ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12)
 
 #: Near copies (about 0.8 of the five-word shingles in common, 0.15 of the second feature's bits apart, and some slack): 640 bits over
 #: single words give 32 blocks of 20 bits, of which near copies share one or more; 1024 bits over five words decide.
-NEAR = Plan((Feature(1, 640), Feature(5, 1024)), tuple((20 * i, 20) for i in range(32)), 1, (128, 169))
+NEAR = Plan((Feature(1, 640), Feature(5, 1024, True)), tuple((20 * i, 20) for i in range(32)), 1, (128, 169))
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -82,23 +88,41 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], _SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
 
 
-def _scramble(h: np.ndarray, salt: int) -> np.ndarray:
+def rolled_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of runs of ``size`` words from the words' hashes; of all words if they are fewer."""
+    size = min(size, len(words))
+    out = np.zeros(len(words) - size + 1 if size else 0, np.uint64)
+    for k in range(size):
+        out = out * _MIX + words[k : k + len(out)]
+    return _scramble(out, np.uint64(size))
+
+
+def _hashes(text: bytes, features: tuple[Feature, ...]) -> Iterator[np.ndarray]:
+    words = shingle_hashes(text, 1) if any(f.rolled or f.shingle == 1 for f in features) else None
+    for f in features:
+        yield words if f.shingle == 1 else rolled_hashes(words, f.shingle) if f.rolled else shingle_hashes(text, f.shingle)
+
+
+def _scramble(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
     """Further hash words from one: the finaliser of splitmix64."""
-    x = h + _MIX * np.uint64(salt)
+    x = h + _MIX * salt
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
 def fingerprint(hashes: np.ndarray, bits: int) -> bytes:
-    """Little-endian 64-bit words: a bit is set if more than half of the hashes have it."""
-    total = np.zeros(bits, np.int64)
-    for i in range(0, len(hashes), 255):  # up to 255 rows, bytes can hold the sums
-        part = hashes[i : i + 255]
-        words = np.stack([part if not k else _scramble(part, k) for k in range(bits // 64)], axis=1)
-        planes = np.unpackbits(words.astype("<u8").view(np.uint8), axis=1, bitorder="little")
-        total += planes.sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
+    """Little-endian 64-bit words: a bit is set if more than half of the hashes have it.
+
+    Counted per byte of the hashes: how often each value stands there, times the bits of that value."""
+    columns = bits // 8
+    counts = np.zeros(columns * 256, np.int64)
+    for i in range(0, len(hashes), 4096):
+        part = hashes[i : i + 4096]
+        words = part[:, None] if bits == 64 else np.concatenate((part[:, None], _scramble(part[:, None], np.arange(1, bits // 64, dtype=np.uint64))), axis=1)
+        counts += np.bincount((words.astype("<u8").view(np.uint8) + _PLACES[:columns]).ravel(), minlength=columns * 256)
+    total = counts.reshape(columns, 256).astype(np.float64) @ _BITS
+    return np.packbits(2 * total.ravel() > len(hashes), bitorder="little").tobytes()
 
 
 def _fingerprints(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -109,7 +133,7 @@ def _fingerprints(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 prints = []
                 for i in range(len(texts)):
                     text = texts[i].as_py() or b""
-                    prints.append(b"".join(fingerprint(shingle_hashes(text, f.shingle), f.bits) for f in plan.features))
+                    prints.append(b"".join(fingerprint(h, f.bits) for h, f in zip(_hashes(text, plan.features), plan.features, strict=True)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], names=["doc_id", "print"])
 
     return run
