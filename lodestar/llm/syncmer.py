@@ -21,8 +21,6 @@ ordered by text; other columns are ignored; an empty table gives an empty result
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
