@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,22 +42,27 @@ def complete(df: DataFrame, wanted: tuple[str, ...] = PEOPLE, attributes: bool =
 
 
 def decodable(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> str:
-    """The first encoding that every line of the files can be decoded with: checked by the executors, one number a choice comes back."""
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    for name in encodings:
-        bad = raw.where(F.expr("try_validate_utf8(content) is null")) if name == "utf-8" else raw.where(F.encode(F.decode("content", F.lit(name)), F.lit(name)) != F.col("content"))
-        try:
-            if not bad.take(1):
-                return name
-        except Exception as error:  # a strict decoder ends the job on its first bad byte
-            if "MALFORMED_CHARACTER_CODING" not in str(error) and "INVALID_PARAMETER_VALUE.CHARSET" not in str(error):
-                raise
-    return encodings[-1]
+    """The first encoding that all files decode with, else the last: each file is tried by a task, encodings that fail come back."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = set()
+            for content in batch.column(0):
+                for name in encodings:
+                    try:
+                        content.as_py().decode(name)
+                    except UnicodeDecodeError:
+                        bad.add(name)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(bad), pa.string())], names=["bad"])
+
+    bad = {r.bad for r in spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "bad string").distinct().collect()}
+    return next((name for name in encodings if name not in bad), encodings[-1])
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """All columns as strings, headers normal, ``_row`` in file order (file, then line); quotes and line breaks as usual."""
     encoding = encoding or decodable(spark, path)
+    if encoding.lower() not in ("utf-8", "iso-8859-1"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark 4 reads other charsets only then
     df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
     return with_rows(normalize(df))
 
