@@ -128,11 +128,13 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages in order of code points and their unit prototypes, from columns text and lang."""
+    """Languages in order of code points and their unit prototypes, from columns doc_id, text and lang.
+
+    The hash of a sampled row takes in its id, so that a text with very many copies cannot fill the sample."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     count = rows.count()
     if count > sample:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1_000_000)) < int(1_000_000 * sample / count))
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * sample / count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -187,5 +189,5 @@ def held_out(doc_id: Column) -> Column:
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score; prototypes learn from labelled rows that are not held out."""
-    languages, prototypes = train(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"), sample)
+    languages, prototypes = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), sample)
     return predict(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), languages, prototypes).select("doc_id", "held_out", "lang_pred", "score")
