@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 WINDOW = 16
 REACH = 3
-MIN_WORDS = 16
+MIN_WORDS = 20
 _LAST = (1 << 63) - 1
 _SLICE = 1 << 20
 #: One random 64-bit number a byte value, from a rule.

@@ -230,7 +230,7 @@ def test_shared_passages_are_cut_and_clean_documents_stay(spark):
     docs = documents(spark, rows)
     found = chunk_dedup.repeated_passages(docs).collect()
     assert {r.doc_id for r in found} == {i for i in range(30) if i % 3 == 1 and i != first}
-    assert {r.first_doc_id for r in found} == {first} and all(16 <= r.n_words <= 56 for r in found)
+    assert {r.first_doc_id for r in found} == {first} and all(20 <= r.n_words <= 56 for r in found)
     kept = {r.doc_id: r for r in chunk_dedup.remove_repeats(docs).collect()}
     assert len(kept) == len(rows)
     for i, text, _ in rows:
