@@ -70,8 +70,8 @@ CLOSE = Plan((Feature(3, 64),), ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12)
 
 
 #: Near copies (about 0.8 of the five-word shingles in common, 0.15 of the second feature's bits apart, and some slack): 640 bits over
-#: single words give 32 blocks of 20 bits, of which near copies share one or more; 1024 bits over five words decide.
-NEAR = Plan((Feature(1, 640), Feature(5, 1024, True)), tuple((20 * i, 20) for i in range(32)), 1, (128, 169))
+#: word pairs give 32 blocks of 20 bits, of which near copies share one or more; 1024 bits over five words decide.
+NEAR = Plan((Feature(2, 640, True), Feature(5, 1024, True)), tuple((20 * i, 20) for i in range(32)), 1, (128, 169))
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
