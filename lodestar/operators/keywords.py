@@ -95,6 +95,12 @@ def keyword_candidates(scored: DataFrame, queries: DataFrame, least: float = 0.4
     return both.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "place"))).where(F.col("n") <= 2 * most).select("query_id", "keyword", "weight", F.col("n").alias("rank"))
 
 
+def record_similarity(similarity: dict[str, Column], weights: dict[str, float], literal: Column) -> Column:
+    """Similarity of a keyword and a record: weighted field similarities, 0.08 more if the record says it, never below 0."""
+    total = sum((F.lit(float(weights[f])) * F.coalesce(c, F.lit(0.0)) for f, c in similarity.items()), F.lit(0.0))
+    return F.greatest(F.lit(0.0), total + F.when(literal, 0.08).otherwise(0.0))
+
+
 def display_keywords(weighed: DataFrame, similarity: DataFrame, least: float = 0.24, most: int = 6) -> DataFrame:
     """similarity: query_id, keyword, sim with each of the top records. 0.65 best + 0.35 weight, at ``least`` or more; else the best two."""
     best = similarity.groupBy("query_id", "keyword").agg(F.max("sim").alias("best"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, title_class, weak_key
+from ..functions.text import clean_text, source_class, title_class, weak_key
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str = "_row") -> DataFrame:
@@ -100,3 +100,22 @@ def priority(years: Column | None, title: Column, engineering: Column, weights:
     y = F.lit(float(default_years)) if years is None else F.coalesce(years.cast("double"), F.lit(float(default_years)))
     y = F.when(F.isnan(y) | (y < 0), 0.0).otherwise(y)
     return weights[0] / (1.0 + y) + weights[1] * title_score(title) + weights[2] * F.when(engineering, float(bonus)).otherwise(1.0)
+
+
+def source_order(c: Column) -> Column:
+    """Display order of sources: bmh, eas, mes."""
+    kind = source_class(c)
+    return F.when(kind == "bmh", 0).when(kind == "eas", 1).otherwise(2)
+
+
+def by_source(projects: DataFrame, parent: str = "id") -> DataFrame:
+    """Adds place: the order in which a parent's projects are shown, by source, then title."""
+    order = Window.partitionBy(parent).orderBy(source_order(F.col("source")), F.coalesce("technology_title", F.lit("")), "project")
+    return projects.withColumn("place", F.row_number().over(order))
+
+
+def dominant_source(projects: DataFrame, parent: str = "id") -> DataFrame:
+    """The most frequent source of each parent; ties in the order eas, bmh, mes."""
+    kind = source_class(F.col("source"))
+    counts = projects.groupBy(parent).agg(*[F.count_if(kind == k).alias(k) for k in ("eas", "bmh", "mes")])
+    return counts.select(parent, F.when((F.col("eas") >= F.col("bmh")) & (F.col("eas") >= F.col("mes")), "eas").when(F.col("bmh") >= F.col("mes"), "bmh").otherwise("mes").alias("source"))

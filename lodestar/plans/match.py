@@ -7,8 +7,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import TfIdf, sparse_cosine
+from ..operators import keywords, validate
 from ..operators.graph import neighbor_mean
 
+#: Queries that are laid over all entities at once at most; a larger table is ranked in parts by the caller.
+MAX_QUERIES = 100_000
+
 # Weights of the fields of a startup.
 FIELD_WEIGHTS = {"company": 0.3, "description": 0.5, "category": 0.2}
 PLACEHOLDERS = {"company": "startup company name", "description": "startup brief description", "category": "startup category"}
@@ -72,3 +77,64 @@ def rank_startups(semantic: DataFrame, edges: DataFrame, k: int = 10, alpha: flo
     """semantic: query_id, id, score. score = alpha * semantic + gamma * neighbours; one result at least."""
     near = neighbor_mean(edges, semantic).withColumnRenamed("score", "semantic")
     return top_k(near.withColumn("score", alpha * F.col("semantic") + gamma * F.col("neighbors")), max(1, k))
+
+
+def prepare(queries: DataFrame, corpus: DataFrame, model: TfIdf, validate_query: bool = True, use_keywords: bool = True) -> DataFrame:
+    """queries: query_id, query. Adds rule, status, confidence, message, suggestions and match_text, the text to compare.
+
+    Without validation there are no keywords either; invalid queries keep their row but have no match_text."""
+    if not validate_query:
+        return queries.withColumn("status", F.lit(validate.VALID)).withColumn("match_text", F.col("query"))
+    ruled = validate.validate(validate.corpus_similarity(queries, corpus, model), similarity=F.col("similarity"))
+    sound = ruled.where(F.col("status") != validate.INVALID).select("query_id", "query")
+    if use_keywords:
+        sound = keywords.filtered_query(sound, keywords.score(keywords.candidates(sound))).withColumnRenamed("filtered_query", "match_text")
+    else:
+        sound = sound.withColumn("match_text", F.col("query"))
+    return ruled.join(sound.select("query_id", "match_text"), "query_id", "left")
+
+
+def every_pair(queries: DataFrame, entities: DataFrame, similarity: DataFrame) -> DataFrame:
+    """query_id, id, score for a bounded query set against all entities; pairs without a common term score 0."""
+    if (n := queries.count()) > MAX_QUERIES:
+        raise ValueError(f"{n} queries at once; at most {MAX_QUERIES} are laid over all entities")
+    pairs = entities.select("id").crossJoin(F.broadcast(queries.select("query_id")))
+    return pairs.join(similarity.select("query_id", F.col("entity_id").alias("id"), "similarity"), ["query_id", "id"], "left").select("query_id", "id", F.coalesce("similarity", F.lit(0.0)).alias("score"))
+
+
+def match_people(queries: DataFrame, people: DataFrame, edges: DataFrame, projects: DataFrame | None = None, k: int = 10, validate_query: bool = True, use_keywords: bool = True, **weights: float) -> tuple[DataFrame, DataFrame]:
+    """queries: query_id, query. people: id, text (the weighted profile), priority. projects: id, project, text.
+
+    Returns the checked queries, and query_id, id, score, rank with the parts of the score, for queries that are not invalid.
+    The vocabulary and the checked queries are used several times, so they are persisted (spilled where memory is short)."""
+    corpus = people.select("id", "text")
+    model = TfIdf(TfIdf.fit(corpus).idf.persist())
+    checked = prepare(queries, corpus, model, validate_query, use_keywords).persist()
+    asked = checked.where("match_text is not null")
+    vector = model.transform(asked.select(F.col("query_id").alias("id"), F.col("match_text").alias("text")))
+    sims = every_pair(asked, people, sparse_cosine(vector, model.transform(corpus)))
+    ranked = None
+    if projects is not None:
+        keyed = projects.withColumn("key", F.concat_ws("/", "id", "project"))
+        near = sparse_cosine(vector, model.transform(keyed.select(F.col("key").alias("id"), "text"))).withColumnRenamed("entity_id", "key")
+        ranked = rank_projects(near.join(keyed.select("key", "id", "project", (F.trim("text") == "").alias("blank")), "key").drop("key"))
+    return checked, rank_people(sims, people, edges, ranked, k=k, **weights)
+
+
+def match_startups(queries: DataFrame, startups: DataFrame, edges: DataFrame, k: int = 10, weights: Mapping[str, float] = FIELD_WEIGHTS, validate_query: bool = True, use_keywords: bool = True, alpha: float = 1.0, gamma: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """startups: id, company, description, category (joined). Returns the checked queries, and query_id, id, score, rank."""
+    fields = list(weights)
+    long = startups.select("id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), field_text(F.col(f), f).alias("text")) for f in fields])))
+    keyed = long.select(F.concat_ws("/", "id", "field").alias("id"), "text")
+    model = TfIdf(TfIdf.fit(keyed).idf.persist())
+    checked = prepare(queries, keyed, model, validate_query, False).persist()
+    asked = checked.where("match_text is not null").select("query_id", F.col("query").alias("base_query"))
+    if use_keywords and validate_query:
+        asked = keywords.match_query(asked, keywords.score(keywords.candidates(asked.withColumnRenamed("base_query", "query"))))
+    else:
+        asked = asked.withColumn("match_query", F.col("base_query"))
+    vector = model.transform(asked.select(F.col("query_id").alias("id"), F.col("match_query").alias("text")))
+    near = sparse_cosine(vector, model.transform(keyed)).join(long.select(F.concat_ws("/", "id", "field").alias("entity_id"), "id", "field"), "entity_id")
+    wide = near.groupBy("query_id", "id").agg(*[F.max(F.when(F.col("field") == f, F.col("similarity"))).alias(f) for f in fields])
+    semantic = wide.select("query_id", F.col("id").alias("entity_id"), semantic_score({f: F.col(f) for f in fields}, weights).alias("similarity"))
+    return checked, rank_startups(every_pair(asked, startups, semantic), edges, k=k, alpha=alpha, gamma=gamma)

@@ -271,6 +271,53 @@ def profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", profile.weighted_text({"Segment": (F.col("c_mktsegment"), 2.5), "Name": (F.col("c_name"), 1.5), "Orders": (F.col("p"), 0.1)}).alias("profile"))
 
 
+_SOURCE = "CASE o_orderkey % 4 WHEN 0 THEN 'bmh' WHEN 1 THEN 'mes' ELSE 'eas' END"
+
+
+def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.when(F.col("o_orderkey") % 4 == 0, " BMH").when(F.col("o_orderkey") % 4 == 1, "Mes").otherwise("other")
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("project"), source.alias("source"), F.col("o_orderpriority").alias("technology_title"))
+
+
+@query(f"""WITH c AS (SELECT o_custkey AS id, {_SOURCE} AS source, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT id, source FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, CASE source WHEN 'eas' THEN 0 WHEN 'bmh' THEN 1 ELSE 2 END) = 1""")
+def dominant_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.dominant_source(_projects(spark, sf_dir))
+
+
+@query(f"""SELECT o_custkey AS id, o_orderkey AS project, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE {_SOURCE} WHEN 'bmh' THEN 0 WHEN 'eas' THEN 1 ELSE 2 END, o_orderpriority, o_orderkey) AS place FROM orders""")
+def projects_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.by_source(_projects(spark, sf_dir)).select("id", "project", "place")
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(greatest(0, 0.3 * (l_tax - 0.05) + 0.5 * (l_discount - 0.08) + CASE WHEN l_returnflag = 'R' THEN 0.08 ELSE 0 END), 6) AS similarity FROM lineitem""")
+def keyword_record_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {"company": F.col("l_tax") - 0.05, "description": F.col("l_discount") - 0.08, "category": F.lit(None).cast("double")}
+    similarity = keywords.record_similarity(fields, match.FIELD_WEIGHTS, F.col("l_returnflag") == "R")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(similarity, 6).alias("similarity"))
+
+
+@query()
+def match_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole person search: validation, keywords, vectors, graph and ranking (documents stand for persons, benchmark items for queries)."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", (1.0 / (1.0 + F.length("source"))).alias("priority"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    edges = docs.where("id % 2 = 0").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    _, ranked = match.match_people(asked, docs, edges, k=5)
+    return ranked.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def match_startups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole startup search (parts stand for startups, sample needs for queries)."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("company"), F.concat_ws(" ", "p_type", "p_brand").alias("description"), F.col("p_type").alias("category"))
+    edges = parts.where("id % 2 = 0").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    needs = ["deep learning for red widget inspection", "efficient steel anvil design", "polished brand sensor system", "hello there"]
+    asked = spark.createDataFrame(list(enumerate(needs)), "query_id int, query string")
+    _, ranked = match.match_startups(asked, parts, edges, k=5)
+    return ranked.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 # Validation and keywords ----------------------------------------------------------------------------------------------
 
 #: Queries made from part names, so that every rule and term table is met.
