@@ -4,7 +4,9 @@
    Equal fingerprints collapse into one row before anything is joined.
 2. Blocks: a fingerprint is cut into blocks and a key is one block, or a choice
    of several.  With ``blocks`` and ``agree`` such that ``blocks - agree`` is the
-   largest distance, two fingerprints at that distance must share a key.
+   largest distance, two fingerprints at that distance must share a key.  Keys
+   are ``SPARE`` bits longer than it takes to number the fingerprints, so that
+   few share one by chance however many there are.
 3. Only keys that two or more fingerprints share go on (a count per key).  Rows
    of a key that more than ``CHUNK`` fingerprints share are dealt into pairs of
    chunks, so that no task holds a whole hot key, and every pair of rows meets.
@@ -19,6 +21,7 @@ are fingerprinted but belong to no component (null); other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -56,22 +59,48 @@ class Feature:
 
 @dataclass(frozen=True)
 class Plan:
-    """features: their bits are joined, in order. cuts: (offset, width) of blocks in the joined bits. agree:
-    blocks that make a key. within: for each feature the most differing bits of a link."""
+    """features: their bits are joined. cuts: (offset, width) of blocks in the joined bits, or in those that order
+    lists. agree: blocks that make a key. within: for each feature the most differing bits of a link."""
 
     features: tuple[Feature, ...]
     cuts: tuple[tuple[int, int], ...]
     agree: int
     within: tuple[int, ...]
+    order: tuple[int, ...] = ()
 
 
-#: 64 bits over three words; two of five blocks must agree when at most three bits differ.
-CLOSE = Plan((Feature(3, 64),), ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12)), 2, (3,))
+#: Bits of a key beyond those that number the fingerprints: one in 16 shares it by chance at most.
+SPARE = 4
+#: What share of a near copy's bits over word pairs agrees, and what share of such copies has a common key.
+_AGREEING, _MET = 0.87, 0.95
 
 
-#: Near copies (about 0.8 of the five-word shingles in common, 0.15 of the second feature's bits apart, and some slack): 640 bits over
-#: word pairs give 32 blocks of 20 bits, of which near copies share one or more; 1024 bits over five words decide.
-NEAR = Plan((Feature(2, 640, True), Feature(5, 1024, True)), tuple((20 * i, 20) for i in range(32)), 1, (128, 169))
+def _width(fingerprints: int) -> int:
+    return math.ceil(math.log2(fingerprints + 1)) + SPARE
+
+
+def close_plan(fingerprints: int = 0) -> Plan:
+    """64 bits over three words, at most three of them apart. Two of five blocks agree then, three of six, four of seven and so on:
+    as many as make a key long enough."""
+    agree = next((k for k in range(2, 7) if 64 * k // (k + 3) >= _width(fingerprints)), 7)
+    ends = [64 * i // (agree + 3) for i in range(agree + 4)]
+    return Plan((Feature(3, 64),), tuple((a, b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)), agree, (3,))
+
+
+def near_plan(fingerprints: int = 0) -> Plan:
+    """Near copies: about 0.8 of the five-word shingles in common, 0.15 of the second feature's bits apart, and some slack.
+
+    640 bits over word pairs are cut into blocks, in several seeded orders if there must be more blocks: as many as give near copies
+    of any corpus the same chance of a common one. 1024 bits over five words decide."""
+    bits, width = 640, min(48, max(16, _width(fingerprints)))
+    keys = math.ceil(math.log(1 - _MET) / math.log1p(-(_AGREEING**width)))
+    each = bits // width
+    order = np.concatenate([np.random.default_rng((_SEED, k)).permutation(bits) for k in range(-(-keys // each))])
+    cuts = tuple((bits * (k // each) + width * (k % each), width) for k in range(keys))
+    return Plan((Feature(2, bits, True), Feature(5, 1024, True)), cuts, 1, (128, 169), tuple(order.tolist()))
+
+
+CLOSE, NEAR = close_plan(), near_plan()
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -148,25 +177,29 @@ def block_keys(prints: list[bytes], plan: Plan) -> np.ndarray:
     """(n, number of keys) of int64: the number of a choice of blocks and the values of its blocks."""
     matrix = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
     planes = np.unpackbits(matrix, axis=1, bitorder="little")
+    if plan.order:
+        planes = planes[:, plan.order]
     values = [planes[:, at : at + width].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64)) for at, width in plan.cuts]
     out = []
+    top = 62 - math.comb(len(plan.cuts), plan.agree).bit_length()
     for number, chosen in enumerate(combinations(range(len(plan.cuts)), plan.agree)):
         key, room = np.zeros(len(prints), np.int64), 0
         for c in chosen:
             key |= values[c] << room
             room += plan.cuts[c][1]
-        if room + len(plan.cuts).bit_length() * plan.agree > 62:
+        if room > top:
             raise ValueError("a key must fit into 62 bits")
-        out.append(key | (number << room))
+        out.append(key | (number << top))
     return np.stack(out, axis=1)
 
 
 def _keys(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                keys = block_keys(batch.column(1).to_pylist(), plan)
-                node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                keys = block_keys(part.column(1).to_pylist(), plan)
+                node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], names=["key", "node"])
 
     return run
@@ -251,11 +284,13 @@ def close_links(prints: DataFrame, plan: Plan = CLOSE) -> DataFrame:
     return full.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_links(plan), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, plan: Plan = CLOSE) -> DataFrame:
-    """doc_id, print (binary), component_id: the smallest doc_id that links reach."""
-    prints = materialize(fingerprints(docs, plan), "prints")
+def near_duplicates(docs: DataFrame, plan_for: Callable[[int], Plan] = close_plan) -> DataFrame:
+    """doc_id, print (binary), component_id: the smallest doc_id that links reach.
+
+    plan_for: the plan for a number of distinct fingerprints; its features are the same for every number."""
+    prints = materialize(fingerprints(docs, plan_for(0)), "prints")
     classes = materialize(prints.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node")), "print-classes")
-    reached = connected_components(close_links(classes, plan)).select(F.col("node").alias("n"), "component")
+    reached = connected_components(close_links(classes, plan_for(classes.count()))).select(F.col("node").alias("n"), "component")
     named = classes.join(reached, F.col("node") == F.col("n"), "left").select("print", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "print", "left").select("doc_id", "print", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
