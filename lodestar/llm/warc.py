@@ -13,8 +13,9 @@ the shuffle; the first page of each repeated payload comes back by a join that i
 broadcast only where its counted rows are few, and skew-split otherwise.
 
 A file's name holds the task attempt, and only files named in the committed index
-count, so a repeated or lost task leaves no wrong record.  Files are written with
-``pyarrow.fs`` by the URI's scheme and read with Spark's ``binaryFile``.
+count, so a repeated or lost task leaves no wrong record.  Files are written and
+read, frame by frame, with ``pyarrow.fs`` by the URI's scheme; only their names
+are shuffled.
 
 Defined results: null html is an empty payload; a null url becomes ``about:blank``;
 control characters and spaces in urls are percent-encoded; rows with equal ids and
@@ -47,6 +48,8 @@ from .storage import materialize, new_path
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 24
 LEVEL = 3
+#: Tasks that read bundles, at most.
+MOST_TASKS = 10_000
 #: Payloads of fewer bytes are always stored as they are.
 LEAST_BYTES = 0
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -178,9 +181,22 @@ def write_bundles(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -
     return materialize(ready.mapInArrow(write, _INDEX), "warc-index")
 
 
-def _bundles(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return files.join(index.select(F.col("bundle").alias("name")).distinct(), "name", "left_semi")
+def _frames(file: pa.NativeFile, wanted: set[int] | None = None) -> Iterator[tuple[int, bytes]]:
+    """Number and content of the wanted frames (all if none are named), read one by one by the footer's seek table."""
+    size = file.size()
+    file.seek(size - 9)
+    count, flags, _ = struct.unpack("<IBI", file.read(9))
+    tail = 9 + count * (12 if flags & 0x80 else 8)
+    file.seek(size - tail)
+    for k, (start, packed, plain) in enumerate(seek_table(file.read(tail))):
+        if wanted is None or k in wanted:
+            file.seek(start)
+            yield k, zstandard.ZstdDecompressor().decompress(file.read(packed), max_output_size=plain)
+
+
+def _dealt(bundles: DataFrame) -> DataFrame:
+    """Names of bundles in as many partitions: a task reads about one. No content is shuffled."""
+    return bundles.repartition(min(max(1, bundles.count()), MOST_TASKS))
 
 
 def _row(fields: dict[str, str], body: bytes) -> tuple:
@@ -205,31 +221,32 @@ def read_bundles(spark: SparkSession, path: str, index: DataFrame, payloads: boo
         return spark.createDataFrame([], _RECORD)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(path)
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = batch.column(1)[i].as_py()
-                for k in range(len(seek_table(data))):
-                    rows = [_row(fields, body) for _, fields, body in records(frame(data, k))]
-                    yield pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, r if payloads else (*r[:-1], None), strict=True)) for r in rows], _ARROW)
+            for name in batch.column(0).to_pylist():
+                with store.open_input_file(f"{folder}/{name}") as file:
+                    for _, data in _frames(file):
+                        rows = [_row(fields, body) for _, fields, body in records(data)]
+                        yield pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, r if payloads else (*r[:-1], None), strict=True)) for r in rows], _ARROW)
 
-    return _bundles(spark, path, index).mapInArrow(read, _RECORD)
+    return _dealt(index.select("bundle").distinct()).mapInArrow(read, _RECORD)
 
 
 def read_records(spark: SparkSession, path: str, index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The records of the given page_ids: their frames alone are decompressed, found by the index and the seek table."""
+    """The records of the given page_ids: their frames alone are read, found by the index and the seek table."""
     places = index.join(wanted.select("page_id").distinct(), "page_id", "left_semi").groupBy("bundle").agg(F.collect_set(F.struct("frame", "offset")).alias("places"))
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content").join(places, "bundle")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(path)
         for batch in batches:
-            for i in range(batch.num_rows):
-                data, at = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                for k in sorted({p["frame"] for p in at}):
-                    inside = {p["offset"] for p in at if p["frame"] == k}
-                    rows = [_row(fields, body) for offset, fields, body in records(frame(data, k)) if offset in inside]
-                    yield pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, r, strict=True)) for r in rows], _ARROW)
-
-    return files.select("content", "places").mapInArrow(read, _RECORD)
+            for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                inside = {(p["frame"], p["offset"]) for p in at}
+                with store.open_input_file(f"{folder}/{name}") as file:
+                    for k, data in _frames(file, {number for number, _ in inside}):
+                        rows = [_row(fields, body) for offset, fields, body in records(data) if (k, offset) in inside]
+                        yield pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, r, strict=True)) for r in rows], _ARROW)
+
+    return _dealt(places).mapInArrow(read, _RECORD)
 
 
 def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
