@@ -206,32 +206,28 @@ def _keys(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 
 def _forest(prints: np.ndarray, runs: np.ndarray, node: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is close inside each run of equal ``runs`` (sorted); a spanning forest of them."""
+    """Links that join what is close inside each run of equal ``runs`` (sorted); a spanning forest of them.
+
+    Pairs that links join already are not compared, and none are kept: memory follows the rows, not the pairs."""
     bounds = np.cumsum([0, *(f.bits // 64 for f in plan.features)])
     at, label, lag = np.arange(len(runs)), np.arange(len(runs)), 1
-    found: list[np.ndarray] = []
     while True:
         at = at[at + lag < len(runs)]
         at = at[runs[at] == runs[at + lag]]
         if not len(at):
             break
-        close = np.ones(len(at), bool)
-        for (a, b), most in zip(zip(bounds[:-1], bounds[1:], strict=True), plan.within, strict=True):
-            close &= np.bitwise_count(prints[at, a:b] ^ prints[at + lag, a:b]).sum(axis=1, dtype=np.int64) <= most
-        if close.any():
-            found.append(np.stack([at[close], at[close] + lag]))
+        a = at[label[at] != label[at + lag]]
+        close = np.ones(len(a), bool)
+        for (lo, hi), most in zip(zip(bounds[:-1], bounds[1:], strict=True), plan.within, strict=True):
+            close[close] = np.bitwise_count(prints[a[close], lo:hi] ^ prints[a[close] + lag, lo:hi]).sum(axis=1, dtype=np.int64) <= most
+        a = a[close]
+        while len(a):  # the larger of two roots goes under the smaller
+            x, y = label[a], label[a + lag]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label != label[label]).any():
+                label = label[label]
+            a = a[label[a] != label[a + lag]]
         lag += 1
-    if not found:
-        return node[:0], node[:0]
-    a, b = np.concatenate(found, axis=1)
-    while True:  # the smallest label spreads along the links
-        before = label.copy()
-        least = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        label = label[label]
-        if (label == before).all():
-            break
     moved = np.flatnonzero(label != np.arange(len(label)))
     return node[moved], node[label[moved]]
 
