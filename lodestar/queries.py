@@ -66,13 +66,13 @@ def _similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_SIMS}
-SELECT query_id, label, id AS project, round(similarity, 6) AS relevance, row_number() OVER (PARTITION BY query_id, label ORDER BY similarity DESC, id) AS project_rank
+SELECT query_id, label, id AS project, similarity AS relevance, row_number() OVER (PARTITION BY query_id, label ORDER BY similarity DESC, id) AS project_rank
 FROM sims
 """)
 def nested_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("project"), "label")
     projects = _similarities(spark, sf_dir).withColumnRenamed("id", "project").join(labels, "project").select("query_id", F.col("label").alias("id"), "project", F.lit(False).alias("blank"), F.col("score").alias("similarity"))
-    return match.rank_projects(projects).select("query_id", F.col("id").alias("label"), "project", F.round("relevance", 6).alias("relevance"), "project_rank")
+    return match.rank_projects(projects).select("query_id", F.col("id").alias("label"), "project", "relevance", "project_rank")
 
 
 @query(f"""{_SIMS},
