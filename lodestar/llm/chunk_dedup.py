@@ -18,9 +18,14 @@ at once.  Chunks are combined per digest before the shuffle, and the join back i
 an equi-join whose skewed side Spark splits, so a passage in a third of all
 documents stays spread.
 
+Runs are built per row: each row gets a key of its own, which is written once with
+its chunks.  The doc_id only says which document keeps a passage.
+
 Defined results: null and empty texts have no chunks; repeats inside one document
-(or between rows of one id) are left alone; a null id comes after all ids; other
-columns are kept by ``remove_repeats`` and ignored by ``repeated_passages``.
+(or between rows of one id) are left alone; each row of a repeated id has its own
+passages, repeated rows have the same ones, once a row; a null id comes after all
+ids; other columns are kept by ``remove_repeats`` and ignored by
+``repeated_passages``.
 """
 
 from __future__ import annotations
@@ -30,10 +35,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import materialize
+
 WINDOW = 16
 REACH = 3
 MIN_WORDS = 20
@@ -93,30 +100,37 @@ def chunks(text: bytes) -> tuple[list[int], list[int], list[int]]:
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
+            keys, ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())
             parts: list[tuple[np.ndarray, ...]] = []
             rows = 0
-            for i, doc in enumerate(ids):
+            for i, (row, doc) in enumerate(zip(keys, ids, strict=True)):
                 at, n, digest = chunks(texts[i].as_py() or b"")
-                parts.append((np.array(digest, np.uint64).view(np.int64), np.full(len(at), doc, np.int64), np.array(at, np.int32), np.array(n, np.int32)))
+                same = np.full(len(at), row, np.int64), np.full(len(at), doc, np.int64)
+                parts.append((np.array(digest, np.uint64).view(np.int64), *same, np.array(at, np.int32), np.array(n, np.int32)))
                 rows += len(at)
                 if rows > 100_000 or i == len(ids) - 1:
                     arrays = [pa.array(np.concatenate(column)) for column in zip(*parts, strict=True)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["digest", "doc", "at", "n"])
+                    yield pa.RecordBatch.from_arrays(arrays, names=["digest", "row", "doc", "at", "n"])
                     parts, rows = [], 0
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, first_word, n_words of passages that an earlier document has; first_doc_id: that document."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
-    rows = keyed.mapInArrow(_chunk_rows, "digest long, doc long, at int, n int")
+def _passages(docs: DataFrame, row: Column, min_words: int) -> DataFrame:
+    """row, doc, first_word, n_words, first_doc_id. row: a key of each row, evaluated once."""
+    keyed = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
+    rows = materialize(keyed.mapInArrow(_chunk_rows, "digest long, row long, doc long, at int, n int"), "chunks")
     shared = rows.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("latest")).where("first < latest").select("digest", "first")
-    later = rows.join(shared, "digest").where("doc > first").select("doc", "at", "n", "first")
-    along = Window.partitionBy("doc").orderBy("at")
+    later = rows.join(shared, "digest").where("doc > first").select("row", "doc", "at", "n", "first")
+    along = Window.partitionBy("row").orderBy("at")
     gap = F.col("at") != F.lag(F.col("at") + F.col("n"), 1, -1).over(along)
     runs = later.withColumn("run", F.sum(gap.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    passages = runs.groupBy("doc", "run").agg(F.min("at").alias("first_word"), F.sum("n").cast("int").alias("n_words"), F.min("first").alias("first_doc_id"))
-    return passages.where(F.col("n_words") >= min_words).select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "first_word", "n_words", "first_doc_id")
+    passages = runs.groupBy("row", "run").agg(F.min("doc").alias("doc"), F.min("at").alias("first_word"), F.sum("n").cast("int").alias("n_words"), F.min("first").alias("first_doc_id"))
+    return passages.where(F.col("n_words") >= min_words)
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, first_word, n_words of passages that an earlier document has, row by row; first_doc_id: that document."""
+    passages = _passages(docs, F.monotonically_increasing_id(), min_words)
+    return passages.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "first_word", "n_words", "first_doc_id")
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -138,8 +152,9 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with repeated passages cut out (n_chars follows the text); documents of which nothing is left go.
 
     All columns are kept.  Documents without a passage stay as they are, whatever their text."""
-    spans = repeated_passages(docs, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias("__spans"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").select(*docs.columns, "__spans")
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    spans = _passages(numbered, F.col("__row"), min_words).groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("__spans"))
+    joined = numbered.join(spans, "__row", "left").select(*docs.columns, "__spans")
     names = docs.columns
     place = names.index("text")
 
