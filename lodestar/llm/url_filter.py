@@ -9,18 +9,30 @@ more than ``SEED_SHARE`` of its pages.  A host is blocked if its distrust is mor
 than ``THRESHOLD`` of trust and distrust together; a host that neither reaches is
 allowed.
 
+The edges are the pages' links between hosts and, as a host answers for its
+subdomains and they for it, an edge each way of weight ``FAMILY`` between a host and
+its parent domain (of two labels at least), whether pages of that domain are there
+or not.  Links are resolved first; those inside a host are no edges.
+
 Links are counted per page and pair of hosts before they are shuffled, so a page
-or host with very many links is a few rows.  Each round is one equi-join of host
-scores with host edges and one aggregation with partial sums, written at its end.
-Mass of hosts without outgoing links returns to the seeds.
+or host with very many links is a few rows.  A round is one equi-join of host
+scores with host edges and one aggregation with partial sums; ``WRITTEN`` rounds are
+one job, whose result is written.  Scores are sums of walks from the seeds, scaled to
+sum to 1 at the end, which returns the mass of hosts without outgoing edges to the
+seeds.  A step takes at least 1 - ``DAMPING`` of what still walks, so the rounds go
+on until less than ``SETTLED`` of the scores can still change: their number has a
+bound that follows from both.
 
 Defined results: a null url and one without ``://`` have empty host and path, no
 rule and the verdict allow; repeated rows are judged each; null html has no links;
-other columns are ignored; an empty table gives an empty result.
+a page whose host no
+seed reaches is allowed, with trust and distrust 0; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -40,9 +52,11 @@ RULES = (
 SEED_SHARE = 0.5
 THRESHOLD = 0.5
 DAMPING = 0.85
-ROUNDS = 20
-#: Largest change of all scores together at which the rounds end.
+#: Share of the scores that may still change when the rounds end, and rounds of one written job.
 SETTLED = 1e-6
+WRITTEN = 6
+#: Weight of the edges between a host and its parent domain, in linking pages.
+FAMILY = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
@@ -78,49 +92,69 @@ def judged_by_table(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.verdict")
 
 
+def parent_of(host: Column) -> Column:
+    """The host without its first label if two labels are left and it is not a number of an address; else null."""
+    rest = F.regexp_extract(host, r"^[^.]+\.([^.]+\.[^:]*[^.:0-9][^:]*)$", 1)
+    return F.when(rest != "", rest)
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, weight): pages of host src that link to host dst; links inside a host are left out."""
+    """(src, dst, weight): pages of host src that link to host dst; links inside a host are left out.
+
+    Relative links lead to the page's own host, so only those that name a host (with or without a scheme) give edges."""
     links = F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_HREF), F.lit(1)), lambda u: F.when(u.startswith("//"), F.concat(F.lit("x:"), u)).otherwise(u))
     hosts = F.array_distinct(F.transform(F.filter(links, lambda u: u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://")), lambda u: host_of(u)))
     pairs = pages.select(host_of(F.col("url")).alias("src"), F.explode(hosts).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
     return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def family_edges(hosts: DataFrame, weight: float = FAMILY) -> DataFrame:
+    """hosts: host. (src, dst, weight) both ways between every host, its parent domain, and so on up."""
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    up = hosts.where("host <> ''").select(F.explode(suffixes).alias("src")).distinct().select("src", parent_of(F.col("src")).alias("dst")).where("dst is not null")
+    return up.select("src", "dst", F.lit(float(weight)).alias("weight")).union(up.select("dst", "src", F.lit(float(weight))))
+
+
+def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
     """hosts: host, trust_seed, distrust_seed (0 or more). Returns host, trust, distrust; each sums to 1 if it has a seed.
 
     Trust runs from src to dst, distrust from dst to src."""
-    edges = materialize(edges, "host-edges")
+    edges = materialize(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "host-edges")
     ends = edges.select(F.col("src").alias("host")).union(edges.select(F.col("dst").alias("host"))).distinct()
     seeds = hosts.join(ends, "host", "full").select("host", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust_seed", "distrust_seed")])
     sums = seeds.agg(F.sum("trust_seed"), F.sum("distrust_seed")).first()
-    seeds = seeds.select("host", *[(F.col(c) / F.lit(float(s or 1.0) or 1.0)).alias(c) for c, s in zip(("trust_seed", "distrust_seed"), sums, strict=True)])
+    scale = [1.0 / (x or 1.0) for x in sums]
     out, back = edges.groupBy(F.col("src").alias("giver")).agg(F.sum("weight").alias("total")), edges.groupBy(F.col("dst").alias("giver")).agg(F.sum("weight").alias("total"))
     flows = (
         edges.withColumnRenamed("src", "giver").join(out, "giver").select("giver", F.col("dst").alias("taker"), (F.col("weight") / F.col("total")).alias("t"), F.lit(0.0).alias("d"))
         .unionByName(edges.withColumnRenamed("dst", "giver").join(back, "giver").select("giver", F.col("src").alias("taker"), F.lit(0.0).alias("t"), (F.col("weight") / F.col("total")).alias("d")))
     )
-    flows = materialize(flows.groupBy("giver", "taker").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "host-flows")
-    gives = flows.groupBy(F.col("giver").alias("host")).agg((F.sum("t") > 0).alias("t_on"), (F.sum("d") > 0).alias("d_on"))
-    nodes = materialize(seeds.join(gives, "host", "left").select("host", "trust_seed", "distrust_seed", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("t_on", "d_on")]), "host-seeds")
-    state = nodes.withColumns({"trust": F.col("trust_seed"), "distrust": F.col("distrust_seed")})
-    for _ in range(rounds):
-        lost = state.agg(F.sum(F.when(~F.col("t_on"), F.col("trust"))), F.sum(F.when(~F.col("d_on"), F.col("distrust")))).first()
-        moved = flows.join(state.select(F.col("host").alias("giver"), "trust", "distrust"), "giver").groupBy(F.col("taker").alias("host")).agg(F.sum(F.col("trust") * F.col("t")).alias("mt"), F.sum(F.col("distrust") * F.col("d")).alias("md"))
-        new = state.join(moved, "host", "left").select(
-            "host", "trust_seed", "distrust_seed", "t_on", "d_on",
-            *[
-                (F.col(seed) * F.lit(1 - damping + damping * (back or 0.0)) + damping * F.coalesce(got, F.lit(0.0))).alias(name)
-                for name, seed, got, back in (("trust", "trust_seed", "mt", lost[0]), ("distrust", "distrust_seed", "md", lost[1]))
-            ],
-            F.col("trust").alias("was_trust"), F.col("distrust").alias("was_distrust"),
-        )
-        new = materialize(new, "host-scores")
-        change = new.agg(F.sum(F.abs(F.col("trust") - F.col("was_trust")) + F.abs(F.col("distrust") - F.col("was_distrust")))).first()[0] or 0.0
-        state = new.drop("was_trust", "was_distrust")
-        if change <= SETTLED:
+    flows = flows.groupBy("giver", "taker").agg((damping * F.sum("t")).alias("t"), (damping * F.sum("d")).alias("d"))
+    # A host keeps what has come: an edge to itself, so that a round names the state before it once.
+    kept = seeds.select(F.col("host").alias("giver"), F.col("host").alias("taker"), *[F.lit(0.0).alias(c) for c in ("t", "d")], F.lit(1.0).alias("keeps"))
+    flows = materialize(flows.withColumn("keeps", F.lit(0.0)).unionByName(kept), "host-flows")
+    # What has come so far (trust, distrust) and what walks on (t_on, d_on).
+    started = seeds.select("host", *[(F.col(c) * x).alias(name) for names in (("trust", "distrust"), ("t_on", "d_on")) for c, x, name in zip(("trust_seed", "distrust_seed"), scale, names, strict=True)])
+    state = materialize(started, "host-scores")
+    rounds = 0
+    # Walks that are left after a round sum to damping / (1 - damping) of the last round's at most.
+    while rounds * math.log(damping) > math.log(settled * (1 - damping)) - WRITTEN * 2:
+        for _ in range(WRITTEN):
+            along = state.withColumnRenamed("host", "giver").join(flows, "giver")
+            t, d = F.col("t_on") * F.col("t"), F.col("d_on") * F.col("d")
+            state = along.groupBy(F.col("taker").alias("host")).agg(
+                F.sum(F.col("keeps") * F.col("trust") + t).alias("trust"), F.sum(F.col("keeps") * F.col("distrust") + d).alias("distrust"), F.sum(t).alias("t_on"), F.sum(d).alias("d_on")
+            )
+        rounds += WRITTEN
+        state = materialize(state, "host-scores")
+        left = state.agg(F.sum("t_on"), F.sum("d_on")).first()
+        if sum(x or 0.0 for x in left) <= settled * (1 - damping):
             break
-    return state.select("host", "trust", "distrust")
+    else:
+        raise RuntimeError("scores of hosts did not settle")
+    total = state.agg(F.sum("trust"), F.sum("distrust")).first()
+    return state.select("host", *[(F.col(c) / F.lit(x or 1.0)).alias(c) for c, x in zip(("trust", "distrust"), total, strict=True)])
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -129,7 +163,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, thres
     share = lambda verdict: F.avg(F.coalesce((F.col("fit.verdict") == verdict).cast("double"), F.lit(0.0)))
     seed = lambda name: F.when(F.col(name) > SEED_SHARE, F.col(name)).otherwise(0.0).alias(name)
     hosts = told.where("host <> ''").groupBy("host").agg(share("allow").alias("trust_seed"), share("block").alias("distrust_seed")).select("host", seed("trust_seed"), seed("distrust_seed"))
-    scores = propagate(hosts, link_edges(pages))
+    scores = materialize(propagate(hosts, link_edges(pages).unionByName(family_edges(hosts))), "host-ranks")
     placed = told.join(bounded_broadcast(scores, scores.count()), "host", "left")
     blocked = F.coalesce(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), F.lit(False))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(blocked, "block").otherwise("allow"))

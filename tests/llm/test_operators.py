@@ -84,7 +84,7 @@ def test_propagation_against_dense_iteration(spark):
     def rank(weights, seed):
         out = weights.sum(axis=1)
         x = seed.copy()
-        for _ in range(url_filter.ROUNDS):
+        for _ in range(300):
             move = (weights / np.where(out > 0, out, 1)[:, None]).T @ x
             x = 0.15 * seed + 0.85 * (move + x[out == 0].sum() * seed)
         return x
@@ -98,13 +98,25 @@ def test_propagation_against_dense_iteration(spark):
     t, d = rank(w, trust), rank(w.T, distrust)
     assert got.keys() == {f"h{i}" for i in range(n)}
     for i in range(n):
-        assert got[f"h{i}"] == pytest.approx((t[i], d[i]), abs=1e-4)
+        assert got[f"h{i}"] == pytest.approx((t[i], d[i]), abs=2e-6)
 
 
 def test_links_to_blocked_hosts_block(spark):
-    rows = [(1, "http://bad.net/es/1", ""), (2, "http://friend.org/1", '<a href="http://bad.net/es/1">x</a>'), (3, "http://good.com/1", "<a class=x HREF=//linked.org/p>y</a>"), (4, "http://linked.org/1", ""), (5, "http://alone.org/", None)]
-    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+    chain = [(10 + k, f"http://c{k}.org/", f'<a href="http://c{k - 1}.org/">x</a>' if k else '<a href="http://bad.net/es/1">x</a>') for k in range(30)]
+    rows = [(1, "http://bad.net/es/1", ""), (8, "http://bad.net/fr/1", ""), (2, "http://friend.org/1", '<a href="http://bad.net/es/1">x</a>'), (3, "http://good.com/1", "<a class=x HREF=//linked.org/p>y</a>"), (4, "http://linked.org/1", ""), (5, "http://alone.org/", None), (6, "http://bad.net/en/1", "<a href=/es/1>inside</a>"), (7, "http://shop.bad.net/", None), *chain]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    told = url_filter.judge(pages.withColumn("host", F.lit("clash")).withColumn("trust", F.lit(9)))
+    got = {r.page_id: r.verdict for r in told.collect()}
+    # A chain of 30 hosts that leads to a blocked one, a subdomain of it and its pages without a rule.
+    assert got == {1: "block", 8: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "block"} | {10 + k: "block" for k in range(30)}
+    assert url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_edges_between_a_host_and_its_parent_domain(spark):
+    hosts = spark.createDataFrame([("a.b.example.com",), ("example.com",), ("10.0.0.1",), ("",), ("net",), ("x.net:8080",)], "host string")
+    got = {(r.src, r.dst) for r in url_filter.family_edges(hosts).collect()}
+    up = {("a.b.example.com", "b.example.com"), ("b.example.com", "example.com")}
+    assert got == up | {(b, a) for a, b in up}
 
 
 # 4 --------------------------------------------------------------------------------------------------------------------
