@@ -1,11 +1,18 @@
 """Operator 10: main text of web pages, from flat text blocks and a decision tree.
 
-A page is cut into a flat list of text blocks at block-level tags.  A block's
-features are its number of words and link density (share of words inside links),
-the same of the blocks before and after it, and three marks of its place: inside
-the page's article, inside page furniture (by tag, role or class name), and
-whether the page marks an article at all.  A small decision tree, trained on the
-labelled blocks of ``labelled_blocks.py``, says which blocks are main text.
+A page is cut into a flat list of text blocks at block-level tags.  Elements that
+by their markup hold no main text are cut away: menus, footers, asides, forms,
+dialogs, page headers, what is hidden, and reader comments.  Every other block is
+judged by a small decision tree over its number of words and link density (share
+of words inside links), the same of the blocks before and after it (cut ones
+included), its place (in the article, outside the article of a page that marks one,
+or on a page that marks none), and whether an element around it is named as an advert, a notice or a sidebar.  The tree
+is trained on the labelled blocks of ``labelled_blocks.py``; words and densities come
+first in it, the names decide among short blocks alone.
+
+Tags are read as browsers do: a quote opens a value only after an equals sign, an
+unclosed tag runs to the end of the page.  A quote without an end is no quote.  Every
+page is read once from left to right, whatever is broken in it.
 
 Pages are independent rows: one Arrow pass, no shuffle; the tree has a few nodes
 and is trained on the driver from the fixed small table.
@@ -20,7 +27,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -30,24 +36,23 @@ from pyspark.sql import functions as F
 
 from .labelled_blocks import FEATURES, LABELLED
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_QUOTE = re.compile(r"=\s*([\"'])|>")
+_MARKS = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?=[\s/]|\Z))", re.I)
 #: Elements whose content is no text of the page, and those that run to the end of the page if nothing ends them (fixed values).
 RAW = frozenset("script style title textarea".split())
 SILENT = frozenset("title script style noscript template svg math iframe object canvas audio video select option datalist button textarea".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that frame parts of a page; the ones whose ends are followed.
-FRAMES = frozenset("html head body main article section div nav header footer aside form fieldset dialog menu ul ol dl table figure details".split())
-FURNITURE_TAGS = frozenset("head nav footer aside form fieldset dialog menu".split())
-FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+FRAMES = frozenset("html body main article section div nav header footer aside form fieldset dialog menu ul ol dl table figure details".split())
+CUT_TAGS = frozenset("nav footer aside form fieldset dialog menu".split())
+CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 READERS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
-FURNITURE_NAMES = frozenset(
-    """ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr
-    notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets related recommended
-    recommendations nav navbar navigation navi menu submenu breadcrumb breadcrumbs footer masthead topbar share sharing social toolbar pagination pager
-    paging skip legal copyright disclaimer header""".split()
+#: Words of class and id that name an advert, a notice or a sidebar.
+NAMED = frozenset(
+    """ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices
+    popup modal newsletter subscribe subscription sidebar related recommended recommendations breadcrumb breadcrumbs pagination pager share sharing""".split()
 )
-_FRAMED, _WEAK, _STRONG = 0, 1, 2
 
 
 @dataclass
@@ -56,34 +61,31 @@ class Block:
     words: int
     linked: int
     inside: bool
-    furniture: bool
+    cut: bool
+    named: bool
 
 
 class _Place:
     """Where the reader stands: the open frames, with what they say about their text."""
 
     def __init__(self) -> None:
-        self.open: list[tuple[str, bool, int]] = []  # tag, inside an article, furniture
+        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, inside an article, cut, named
 
-    def now(self) -> tuple[bool, int]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (False, _FRAMED)
+    def now(self) -> tuple[bool, bool, bool]:
+        return self.open[-1][1:] if self.open else (False, False, False)
 
     def enter(self, tag: str, attributes: str) -> None:
-        inside, furniture = self.now()
+        inside, cut, named = self.now()
         names, role, hidden = _names(attributes)
-        if tag in ("main", "article") or role in ("main", "article"):
-            # A page's article may stand in a frame with an unlucky name, a reader's comment is often an article.
-            if names & READERS:
-                furniture = _STRONG
-            elif furniture != _STRONG:
-                inside, furniture = True, _FRAMED
-        elif tag in FURNITURE_TAGS or role in FURNITURE_ROLES or names & READERS or hidden:
-            furniture = _STRONG
-        elif tag == "header" or "header" in names:
-            furniture = furniture if inside else max(furniture, _WEAK)
-        elif names & FURNITURE_NAMES and tag not in ("html", "body"):
-            furniture = max(furniture, _STRONG if inside else _WEAK)
-        self.open.append((tag, inside, furniture))
+        article = tag in ("main", "article") or role in ("main", "article")
+        if tag in CUT_TAGS or role in CUT_ROLES or names & READERS or hidden or (tag == "header" and not inside):
+            cut = True
+        elif article and not cut:
+            # An article may stand in a frame with an unlucky name.
+            inside, named = True, False
+        elif tag not in ("html", "body") and names & NAMED:
+            named = True
+        self.open.append((tag, inside, cut, named))
 
     def leave(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -106,10 +108,75 @@ def _names(attributes: str) -> tuple[set[str], str, bool]:
             elif key == "style":
                 hidden |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None
             else:
-                hidden |= value != "false"
+                hidden |= value not in ("false", "until-found")
     return names, role, hidden
 
 
+class _Reader:
+    """Tags of a page from left to right; what was not found once is not sought again."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.lower = html, None
+        self.missing: dict[str, int] = {}
+
+    def find(self, what: str, at: int, fold: bool = False) -> int:
+        if what in self.missing:
+            return -1
+        if fold and self.lower is None:
+            # Letters beyond ASCII may change their number when they are lowered.
+            self.lower = self.html.translate(_FOLD)
+        found = (self.lower if fold else self.html).find(what, at)
+        if found < 0:
+            self.missing[what] = at
+        return found
+
+    def after(self, mark: str, at: int) -> int:
+        """The place after the next mark, or the end of the page."""
+        found = self.find(mark, at)
+        return len(self.html) if found < 0 else found + len(mark)
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag whose name ends before ``at``; the end of the page if none does."""
+        plain = self.find(">", at)
+        if plain >= 0 and self.html.find('"', at, plain) < 0 and self.html.find("'", at, plain) < 0:
+            return plain
+        while m := _QUOTE.search(self.html, at):
+            if not m[1]:
+                return m.start()
+            close = self.find(m[1], m.end())
+            at = m.end() if close < 0 else close + 1
+        return len(self.html)
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, place after it, name, whether it closes, attributes); comments and declarations have no name."""
+        html, at = self.html, 0
+        while (start := html.find("<", at)) >= 0:
+            m = _NAME.match(html, start + 1)
+            if m:
+                end = self.tag_end(m.end())
+                closing = html[start + 1] == "/"
+                name, at = m[1].lower(), min(end + 1, len(html))
+                yield start, at, name, closing, html[m.end() : end]
+                if name in SILENT and not closing and not html[start:end].endswith("/"):
+                    stop = self.find(f"</{name}", at, fold=True)
+                    at = stop if stop >= 0 else len(html) if name in RAW else at
+                    yield at, at, "", True, ""
+            elif html.startswith("<!--", start):
+                at = self.after("-->", start + 4)
+                yield start, at, "", False, ""
+            elif html.startswith("<![CDATA[", start):
+                at = self.after("]]>", start + 9)
+                yield start, at, "", False, ""
+            elif html.startswith(("<!", "<?", "</"), start):
+                at = self.after(">", start + 2)
+                yield start, at, "", False, ""
+            else:
+                at = start + 1
+
+
+_FOLD = {c: c + 32 for c in range(65, 91)}
+
+
 def blocks(html: str) -> list[Block]:
     """The page's text blocks in order; white space is one blank and references are decoded."""
     out: list[Block] = []
@@ -121,23 +188,20 @@ def blocks(html: str) -> list[Block]:
             text = " ".join(unescape("".join(t for t, _ in parts)).split())
             if text:
                 words = text.count(" ") + 1
-                inside, furniture = place.now()
                 dense = sum(len(unescape(t).split()) for t, link in parts if link)
-                out.append(Block(text, words, min(dense, words), inside, furniture != _FRAMED))
+                out.append(Block(text, words, min(dense, words), *place.now()))
             parts.clear()
 
-    while m := _TOKEN.search(html, at):
-        if m.start() > at:
-            parts.append((html[at : m.start()], linked))
-        at = m.end()
-        tag, closing = (m[2] or "").lower(), bool(m[1])
-        if not tag:
+    for start, after, tag, closing, attributes in _Reader(html).tags():
+        if not tag and closing:  # the content of a silent element ends
+            at = after
+            continue
+        if start > at:
+            parts.append((html[at:start], linked))
+        at = after
+        if not tag or tag in SILENT:
             continue
-        if tag in SILENT:
-            if not closing and not (m[3] or "").endswith("/"):
-                end = _end_of(tag).search(html, at)
-                at = end.start() if end else len(html) if tag in RAW else at
-        elif tag in INLINE:
+        if tag in INLINE:
             if tag == "a":
                 linked = not closing
             elif tag == "br":
@@ -149,26 +213,19 @@ def blocks(html: str) -> list[Block]:
                 if closing:
                     place.leave(tag)
                 else:
-                    if tag == "body":
-                        place.leave("head")
-                    place.enter(tag, m[3] or "")
+                    place.enter(tag, attributes)
     if at < len(html):
         parts.append((html[at:], linked))
     close()
     return out
 
 
-@lru_cache(maxsize=64)
-def _end_of(tag: str) -> re.Pattern[str]:
-    return re.compile(rf"</{tag}\b", re.I)
-
-
 def features(page: list[Block]) -> np.ndarray:
     """One row a block, columns as FEATURES; beyond the ends stand empty blocks."""
     words = np.array([0, *(b.words for b in page), 0], float)
     density = np.array([0, *(b.linked / b.words for b in page), 0], float)
-    marked = any(b.inside for b in page)
-    place = np.array([(b.inside, b.furniture, marked) for b in page], float).reshape(-1, 3)
+    marked = any(b.inside and not b.cut for b in page)
+    place = np.array([(2 if b.inside else 0 if marked else 1, b.named) for b in page], float).reshape(-1, 2)
     return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], place])
 
 
@@ -202,7 +259,10 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node:
     if gain <= 1e-12:
         return leaf
     low = x[:, f] <= value
-    return Node(leaf.main, f, value, grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least))
+    below, above = grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
+    if below.low is None and above.low is None and below.main == above.main:
+        return Node(below.main)
+    return Node(leaf.main, f, value, below, above)
 
 
 def train() -> Node:
@@ -212,6 +272,13 @@ def train() -> Node:
     return grow(table[:, :-1], table[:, -1])
 
 
+def printed(tree: Node, indent: str = "") -> str:
+    """The tree as text, a question a line."""
+    if tree.low is None or tree.high is None:
+        return f"{indent}{'main' if tree.main else 'not main'}\n"
+    return f"{indent}{FEATURES[tree.feature]} <= {tree.value:g}?\n{printed(tree.low, indent + '  ')}{indent}else\n{printed(tree.high, indent + '  ')}"
+
+
 def is_main(tree: Node, x: np.ndarray) -> np.ndarray:
     if tree.low is None or tree.high is None:
         return np.full(len(x), tree.main)
@@ -223,7 +290,7 @@ def is_main(tree: Node, x: np.ndarray) -> np.ndarray:
 
 def main_text(html: str | None, tree: Node) -> str:
     page = blocks(html or "")
-    return " ".join(b.text for b, keep in zip(page, is_main(tree, features(page)), strict=True) if keep) if page else ""
+    return " ".join(b.text for b, keep in zip(page, is_main(tree, features(page)), strict=True) if keep and not b.cut) if page else ""
 
 
 def _extract(tree: Node) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
