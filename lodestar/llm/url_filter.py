@@ -38,7 +38,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mixing import bounded_broadcast
+from .mixing import BROADCAST_ROWS, bounded_broadcast
 from .storage import materialize
 
 #: (host, path, verdict)
@@ -54,7 +54,7 @@ THRESHOLD = 0.5
 DAMPING = 0.85
 #: Share of the scores that may still change when the rounds end, and rounds of one written job.
 SETTLED = 1e-6
-WRITTEN = 6
+WRITTEN = 16
 #: Weight of the edges between a host and its parent domain, in linking pages.
 FAMILY = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -137,9 +137,14 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, sett
     # What has come so far (trust, distrust) and what walks on (t_on, d_on).
     started = seeds.select("host", *[(F.col(c) * x).alias(name) for names in (("trust", "distrust"), ("t_on", "d_on")) for c, x, name in zip(("trust_seed", "distrust_seed"), scale, names, strict=True)])
     state = materialize(started, "host-scores")
+    # A graph that is counted to be small goes to one task whole, which then needs no shuffle between its rounds.
+    small = flows.count() <= BROADCAST_ROWS
+    if small:
+        flows = F.broadcast(flows)
     rounds = 0
     # Walks that are left after a round sum to damping / (1 - damping) of the last round's at most.
     while rounds * math.log(damping) > math.log(settled * (1 - damping)) - WRITTEN * 2:
+        state = state.coalesce(1) if small else state
         for _ in range(WRITTEN):
             along = state.withColumnRenamed("host", "giver").join(flows, "giver")
             t, d = F.col("t_on") * F.col("t"), F.col("d_on") * F.col("d")
