@@ -10,7 +10,8 @@ Texts are lower-cased; every run of other characters is one blank, with one at
 either end, so a text with a letter has an n-gram.  A batch's counts are one
 matrix (texts by distinct n-grams) and its vectors one product with the n-grams'
 vectors.  Prototypes are summed per task, then per language and dimension; only
-they (languages by DIM numbers) reach the driver, and their size is checked.
+they (languages by DIM numbers) reach the driver, at most ``_MAX_PROTOTYPES`` of them.
+A letter is what Unicode calls one, in every plane.
 
 Training uses a bounded sample of the labelled rows: the ``SAMPLE`` of a seeded
 order of hashes at most, spread evenly.  Counting, scoring and judging cover every
@@ -39,7 +40,7 @@ UNKNOWN = "und"
 #: Texts of one product, and characters of them at most (a longer text is one of its own).
 BATCH_TEXTS, BATCH_CHARS = 256, 1 << 20
 _BLANK = 32
-_MAX_PROTOTYPES = 10_000
+_MAX_PROTOTYPES = 2_000
 
 
 @lru_cache(maxsize=50_000)
@@ -48,17 +49,13 @@ def _letter(code: int) -> np.ndarray:
     return np.random.default_rng((5, code)).integers(0, 2, DIM, np.int8) * np.int8(2) - np.int8(1)
 
 
-def _is_letter() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x10000)])
-
-
-_LETTER = _is_letter()
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def letters(text: str) -> np.ndarray:
     """Code points of the lower-cased text with every run of other characters as one blank; empty without a letter."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    known = np.where(codes < 0x10000, _LETTER[np.minimum(codes, 0xFFFF)], True)
+    known = _LETTER[codes]
     if not known.any():
         return np.empty(0, np.uint32)
     codes = np.concatenate(([_BLANK], np.where(known, codes, _BLANK), [_BLANK])).astype(np.uint32)
@@ -147,24 +144,28 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
         for name, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * DIM), pa.array(range(DIM), pa.int32()), pa.array(np.round(total * 2**20).astype(np.int64))], names=["lang", "place", "value"])
 
-    # Whole numbers, so that the order in which tasks end changes nothing.
+    # Whole numbers, so that the order in which tasks end changes nothing. One job: the sums of a language are one row.
     parts = rows.select("text", "lang").mapInArrow(run, "lang string, place int, value long")
-    table = parts.groupBy("lang", "place").agg(F.sum("value").alias("value"))
-    languages = sorted(r.lang for r in table.select("lang").distinct().limit(_MAX_PROTOTYPES + 1).collect())
+    sums = parts.groupBy("lang", "place").agg(F.sum("value").alias("value"))
+    # DIM rows a language: the limit bounds what the driver takes, and is one above what is allowed.
+    table = sums.limit((_MAX_PROTOTYPES + 1) * DIM).toArrow()
+    names = np.array(table.column("lang").to_pylist(), object)
+    languages = sorted(set(names))
     if len(languages) > _MAX_PROTOTYPES:
         raise ValueError(f"more than {_MAX_PROTOTYPES} languages: these labels are not languages")
     out = np.zeros((len(languages), DIM), np.float32)
     order = {name: i for i, name in enumerate(languages)}
-    for r in table.collect():
-        out[order[r.lang], r.place] = r.value
+    out[[order[n] for n in names], table.column("place").to_numpy()] = table.column("value").to_numpy()
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return languages, np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
 
-def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> DataFrame:
-    """All columns and lang_pred, score: the cosine with the nearest prototype, 0 to 1."""
+def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns and the columns named by pred and score: the language and the cosine with its prototype, 0 to 1.
+
+    Columns of docs with one of these names are replaced; callers that want to keep them choose others."""
     model = docs.sparkSession.sparkContext.broadcast((languages, prototypes))
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in (pred, score)]
     docs = docs.select(*keep, F.col("text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,10 +176,10 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> Da
                 cosine = unit @ table.T if len(names) else np.zeros((len(unit), 1), np.float32)
                 best, known = cosine.argmax(axis=1), unit.any(axis=1) & bool(names)
                 told = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-                score = np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(told, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                near = np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(told, pa.string()), pa.array(near)], names=[*keep, pred, score])
 
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(pred, "string").add(score, "double")
     return docs.mapInArrow(run, schema)
 
 

@@ -168,14 +168,14 @@ def test_language_of_held_out_texts(spark):
         lang = rng.choice(list(parts))
         text = " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) for _ in range(30))
         rows.append((i, text, lang if i % 5 else None, "s", 1, lang))
-    rows += [(1000, None, "en", "s", 0, "und"), (1001, "12 !! 34", "en", "s", 0, "und"), (1002, "", None, "s", 0, "und"), (None, "the and thing", "en", "s", 0, "en")]
+    rows += [(1000, None, "en", "s", 0, "und"), (1001, "12 !! 34", "en", "s", 0, "und"), (1002, "", None, "s", 0, "und"), (1003, "\U0001f600 \U0001f680", "en", "s", 0, "und"), (None, "the and thing", "en", "s", 0, "en")]
     docs = spark.createDataFrame(rows, DOCS + ", true string").withColumn("score", F.lit("clash"))
     got = {r.doc_id: r for r in langid.identify(docs).collect()}
     assert len(got) == len(rows)
     assert all(got[r[0]].held_out == (r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2) for r in rows)
     right = [got[r[0]].lang_pred == r[5] for r in rows]
     assert sum(right) / len(right) > 0.97 and all(0 <= r.score <= 1 for r in got.values())
-    assert [got[k].score for k in (1000, 1001, 1002)] == [0, 0, 0]
+    assert [got[k].score for k in (1000, 1001, 1002, 1003)] == [0, 0, 0, 0]
 
 
 def test_language_without_training_rows(spark):
@@ -189,7 +189,23 @@ def test_vectors_equal_the_plain_definition():
     for i in range(len(line) - 2):
         want += np.roll(langid._letter(int(line[i])), 2) * np.roll(langid._letter(int(line[i + 1])), 1) * langid._letter(int(line[i + 2])).astype(float)
     assert np.allclose(langid.vectors([text])[0], want / np.linalg.norm(want), atol=1e-6)
-    assert not langid.vectors([None, "", "7"]).any()
+    assert not langid.vectors([None, "", "7"]).any() and langid.vectors(["\U00020000"]).any()
+
+
+def test_prototypes_and_nearest_language_equal_the_plain_definition(spark):
+    rng = random.Random(31)
+    rows = [(i, "".join(rng.choice(letters) for _ in range(rng.randint(1, 200))), lang) for i in range(60) for lang, letters in (("b", "abcde fg"), ("a", "efghi jk"), ("c", "xyzab cd")) if i % 3 == ord(lang) % 3]
+    languages, got = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    want = {}
+    for _, text, lang in rows:
+        want[lang] = want.get(lang, 0) + langid.vectors([text])[0].astype(float)
+    assert languages == ["a", "b", "c"]
+    table = np.stack([want[x] / np.linalg.norm(want[x]) for x in languages])
+    assert np.allclose(got, table, atol=1e-4)
+    told = langid.predict(spark.createDataFrame(rows, "doc_id long, text string, score string"), languages, got, "p", "q").collect()
+    for r in told:
+        cosine = table @ langid.vectors([r.text])[0]
+        assert r.q == pytest.approx(max(0, cosine.max()), abs=1e-4) and cosine[languages.index(r.p)] >= cosine.max() - 1e-4 and r.score in ("a", "b", "c")
 
 
 # 6 --------------------------------------------------------------------------------------------------------------------
