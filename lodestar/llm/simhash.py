@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, join_by_key
 from .storage import materialize
 
 #: Fingerprints of one key that a task compares at once; larger keys are dealt into chunk pairs.
@@ -48,33 +48,25 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Feature:
-    """Fingerprint of ``bits`` bits over shingles of ``shingle`` words.
-
-    rolled: a shingle's hash is mixed from the hashes of its words, instead of XXH64 of its text."""
+    """Fingerprint of ``bits`` bits over shingles of ``shingle`` words."""
 
     shingle: int
     bits: int
-    rolled: bool = False
 
 
 @dataclass(frozen=True)
 class Plan:
-    """features: their bits are joined. cuts: (offset, width) of blocks in the joined bits, or in those that order
-    lists. agree: blocks that make a key. within: for each feature the most differing bits of a link."""
+    """features: their bits are joined. cuts: (offset, width) of blocks in the joined bits. agree: blocks that make a key.
+    within: for each feature the most differing bits of a link."""
 
     features: tuple[Feature, ...]
     cuts: tuple[tuple[int, int], ...]
     agree: int
     within: tuple[int, ...]
-    order: tuple[int, ...] = ()
 
 
 #: Bits of a key beyond those that number the fingerprints: one in 16 shares it by chance at most.
 SPARE = 4
-#: What share of a near copy's bits over word pairs agrees, and what share of such copies has a common key.
-_AGREEING, _MET = 0.87, 0.95
-
-
 def _width(fingerprints: int) -> int:
     return math.ceil(math.log2(fingerprints + 1)) + SPARE
 
@@ -87,20 +79,7 @@ def close_plan(fingerprints: int = 0) -> Plan:
     return Plan((Feature(3, 64),), tuple((a, b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)), agree, (3,))
 
 
-def near_plan(fingerprints: int = 0) -> Plan:
-    """Near copies: about 0.8 of the five-word shingles in common, 0.15 of the second feature's bits apart, and some slack.
-
-    640 bits over word pairs are cut into blocks, in several seeded orders if there must be more blocks: as many as give near copies
-    of any corpus the same chance of a common one. 1024 bits over five words decide."""
-    bits, width = 640, min(48, max(16, _width(fingerprints)))
-    keys = math.ceil(math.log(1 - _MET) / math.log1p(-(_AGREEING**width)))
-    each = bits // width
-    order = np.concatenate([np.random.default_rng((_SEED, k)).permutation(bits) for k in range(-(-keys // each))])
-    cuts = tuple((bits * (k // each) + width * (k % each), width) for k in range(keys))
-    return Plan((Feature(2, bits, True), Feature(5, 1024, True)), cuts, 1, (128, 169), tuple(order.tolist()))
-
-
-CLOSE, NEAR = close_plan(), near_plan()
+CLOSE = close_plan()
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -127,9 +106,8 @@ def rolled_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def _hashes(text: bytes, features: tuple[Feature, ...]) -> Iterator[np.ndarray]:
-    words = shingle_hashes(text, 1) if any(f.rolled or f.shingle == 1 for f in features) else None
     for f in features:
-        yield words if f.shingle == 1 else rolled_hashes(words, f.shingle) if f.rolled else shingle_hashes(text, f.shingle)
+        yield shingle_hashes(text, f.shingle)
 
 
 def _scramble(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -177,8 +155,6 @@ def block_keys(prints: list[bytes], plan: Plan) -> np.ndarray:
     """(n, number of keys) of int64: the number of a choice of blocks and the values of its blocks."""
     matrix = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
     planes = np.unpackbits(matrix, axis=1, bitorder="little")
-    if plan.order:
-        planes = planes[:, plan.order]
     values = [planes[:, at : at + width].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64)) for at, width in plan.cuts]
     out = []
     top = 62 - math.comb(len(plan.cuts), plan.agree).bit_length()
@@ -268,7 +244,7 @@ def _links(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 def close_links(prints: DataFrame, plan: Plan = CLOSE) -> DataFrame:
     """prints: node long, print binary, distinct prints. Links (a, b) that connect whatever is close."""
-    keyed = prints.select("node", "print").mapInArrow(_keys(plan), "key long, node long")
+    keyed = materialize(prints.select("node", "print").mapInArrow(_keys(plan), "key long, node long"), "print-keys")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     member = keyed.join(shared, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     # Part (i, j), i <= j, holds chunks i and j; a member of chunk i is in every part that names i.
@@ -285,10 +261,14 @@ def near_duplicates(docs: DataFrame, plan_for: Callable[[int], Plan] = close_pla
 
     plan_for: the plan for a number of distinct fingerprints; its features are the same for every number."""
     prints = materialize(fingerprints(docs, plan_for(0)), "prints")
-    classes = materialize(prints.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node")), "print-classes")
-    reached = connected_components(close_links(classes, plan_for(classes.count()))).select(F.col("node").alias("n"), "component")
-    named = classes.join(reached, F.col("node") == F.col("n"), "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "print", "left").select("doc_id", "print", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    known = prints.where("doc_id is not null")
+    classes = materialize(known.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "print-classes")
+    reached = connected_components(close_links(classes, plan_for(classes.count()))).select(F.col("node").alias("r"), "component")
+    named = classes.join(reached, F.col("node") == F.col("r"), "left").select("print", "n", F.coalesce("component", "node").alias("component_id"))
+    # A fingerprint that very many rows have is one key.
+    placed = join_by_key(known, materialize(named, "print-components"), "print", known.count())
+    unknown = prints.where("doc_id is null").select("doc_id", "print", F.lit(None).cast("long").alias("component_id"))
+    return placed.select("doc_id", "print", "component_id").unionByName(unknown)
 
 
 def hex_digits(print_column: Column) -> Column:

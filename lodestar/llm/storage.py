@@ -1,8 +1,11 @@
 """Intermediate tables in the folder that driver and executors share.
 
 ``spark.checkpoint.dir`` names that folder on a cluster.  It is read from the
-session; only where it is unset (unit tests on one machine) a folder of this
-process is used, and outside local mode the warehouse, which is shared as well.
+session; only where it is unset and Spark runs on one machine (unit tests) a folder of
+this process is used, which ends with it.  Elsewhere an unset folder is an error.
+
+Tables of one application stand in a folder of their own: ``release`` deletes those
+that loops leave behind, ``clear`` the whole folder, when no result is read any more.
 """
 
 from __future__ import annotations
@@ -11,10 +14,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+#: Folders of tables that are still held, by the frame that reads them.
+_written: dict[int, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -27,8 +33,8 @@ def shared_root(spark: SparkSession) -> str:
                 atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
             root = f"file://{_local[0]}"
         else:
-            root = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/lodestar"
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{root.rstrip('/')}/lodestar-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -44,4 +50,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = path
+    weakref.finalize(out, _written.pop, id(out), None)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and that nothing reads any more."""
+    for table in tables:
+        path = _written.pop(id(table), None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application, results that were not written elsewhere included."""
+    _delete(spark, shared_root(spark))

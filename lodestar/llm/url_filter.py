@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import BROADCAST_ROWS, bounded_broadcast
-from .storage import materialize
+from .storage import materialize, release
 
 #: (host, path, verdict)
 RULES = (
@@ -144,6 +144,7 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, sett
     rounds = 0
     # Walks that are left after a round sum to damping / (1 - damping) of the last round's at most.
     while rounds * math.log(damping) > math.log(settled * (1 - damping)) - WRITTEN * 2:
+        before = state
         state = state.coalesce(1) if small else state
         for _ in range(WRITTEN):
             along = state.withColumnRenamed("host", "giver").join(flows, "giver")
@@ -153,6 +154,7 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, sett
             )
         rounds += WRITTEN
         state = materialize(state, "host-scores")
+        release(before)
         left = state.agg(F.sum("t_on"), F.sum("d_on")).first()
         if sum(x or 0.0 for x in left) <= settled * (1 - damping):
             break
