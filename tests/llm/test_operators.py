@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -216,6 +217,25 @@ def test_licences_in_other_spelling(spark):
     rows = [(1, "Copyright (c) 2020 Ann\nAll rights reserved.\n" + mit, "s"), (2, KNOWN["BSD-3-Clause"].replace('"', "''"), "s"), (3, "plain text", "s"), (4, None, "s"), (5, "", "s"), (6, KNOWN["ISC"] + " more", "s"), (None, KNOWN["0BSD"], "s")]
     got = {r.doc_id: (r.license_id, r.is_license) for r in license_scan.scan(documents(spark, rows).withColumn("license_id", F.lit("x"))).collect()}
     assert got == {1: ("MIT", True), 2: ("BSD-3-Clause", True), 3: (None, False), 4: (None, False), 5: (None, False), 6: (None, False), None: ("0BSD", True)}
+    assert license_scan.scan(documents(spark, [])).count() == 0
+
+
+def test_every_known_licence_is_found_in_another_layout(spark):
+    names = sorted(KNOWN)
+    assert {"Apache-2.0", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0", "CC0-1.0", "Unlicense", "Zlib", "BSL-1.0", "MIT", "ISC", "BSD-3-Clause"} <= set(names)
+    rows = [(i, "Copyright 2021 Ann\n\n" + re.sub(r"\bLICENSE\b", "LICENCE", KNOWN[n].upper().replace("\n", "\r\n   ")), "s") for i, n in enumerate(names)]
+    rows += [(100 + i, KNOWN[n] + "\nOne more line.", "s") for i, n in enumerate(names)]
+    got = {r.doc_id: r.license_id for r in license_scan.scan(documents(spark, rows)).collect()}
+    assert [got[i] for i in range(len(names))] == [n.split(" (")[0] for n in names]
+    assert all(got[100 + i] is None for i in range(len(names)))
+
+
+def test_neighbouring_spellings_and_a_table_of_texts(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Licence licence; sub-licence sub licence.")
+    (tmp_path / "Empty.txt").write_text("(c) 2020")
+    known = license_scan.texts_from(spark, f"file://{tmp_path}")
+    rows = [(1, "license license sublicense sublicense", "s"), (2, "", "s"), (3, "license", "s")]
+    assert {r.doc_id: r.license_id for r in license_scan.scan(documents(spark, rows), known).collect()} == {1: "Own-1.0", 2: None, 3: None}
 
 
 # 7 --------------------------------------------------------------------------------------------------------------------
