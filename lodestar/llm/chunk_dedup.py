@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import materialize
+from .storage import materialize, unused
 
 WINDOW = 16
 REACH = 3
@@ -152,9 +152,10 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with repeated passages cut out (n_chars follows the text); documents of which nothing is left go.
 
     All columns are kept.  Documents without a passage stay as they are, whatever their text."""
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    spans = _passages(numbered, F.col("__row"), min_words).groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("__spans"))
-    joined = numbered.join(spans, "__row", "left").select(*docs.columns, "__spans")
+    row, found, was_cut = (unused(docs.columns, name) for name in ("__row", "__spans", "__cut"))
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    spans = _passages(numbered, F.col(row), min_words).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("first_word", "n_words")).alias(found))
+    joined = numbered.join(spans, row, "left").select(*docs.columns, found)
     names = docs.columns
     place = names.index("text")
 
@@ -168,10 +169,10 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     if texts[i] is not None:
                         texts[i] = without_words(texts[i], [(x["first_word"], x["n_words"]) for x in spans[i].as_py()])
                 columns[place] = pa.array(texts, columns[place].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(cut)], names=[*names, "__cut"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cut)], names=[*names, was_cut])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__cut", T.BooleanType())])
-    kept = joined.mapInArrow(run, schema).where(~F.col("__cut") | (F.length(F.trim("text")) > 0))
+    schema = T.StructType([*docs.schema.fields, T.StructField(was_cut, T.BooleanType())])
+    kept = joined.mapInArrow(run, schema).where(~F.col(was_cut) | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("__cut"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        kept = kept.withColumn("n_chars", F.when(F.col(was_cut), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import bounded_broadcast
-from .storage import materialize
+from .storage import materialize, unused
 
 #: Positions that a seed hashes, relative to its first word (fixed masks).
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 3, 6, 7), (0, 1, 4, 5, 6, 7), (0, 1, 2, 3, 8, 9), (0, 1, 6, 7, 8, 9), (0, 1, 4, 5, 8, 9))
@@ -320,6 +320,7 @@ def _overlaps(docs: DataFrame, items: DataFrame, seeds: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_item: int = 1) -> DataFrame:
     """The documents, all columns, without those that overlap with an item; they are not shuffled while the found ones are few."""
     items, seeds = _tables(benchmark, min_item)
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = _overlaps(numbered.select(F.col("__row").alias("doc_id"), "text"), items, seeds).select(F.col("doc_id").alias("__row")).distinct()
-    return numbered.join(bounded_broadcast(found, found.count(), FOUND_ROWS), "__row", "left_anti").select(*docs.columns)
+    row = unused(docs.columns, "__row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = _overlaps(numbered.select(F.col(row).alias("doc_id"), "text"), items, seeds).select(F.col("doc_id").alias(row)).distinct()
+    return numbered.join(bounded_broadcast(found, found.count(), FOUND_ROWS), row, "left_anti").select(*docs.columns)

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import unused
+
 DIM = 512
 GRAM = 3
 #: Labelled rows that train the prototypes at most.
@@ -166,7 +168,7 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, pred:
     Columns of docs with one of these names are replaced; callers that want to keep them choose others."""
     model = docs.sparkSession.sparkContext.broadcast((languages, prototypes))
     keep = [c for c in docs.columns if c not in (pred, score)]
-    docs = docs.select(*keep, F.col("text").alias("__text"))
+    docs = docs.select(*keep, F.col("text").alias(unused(keep, "__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = model.value

@@ -11,16 +11,19 @@ Sampling: with ``rate = target / size`` of its source, every document is taken
 ``floor(rate)`` times, and the remaining words are filled with one more copy of
 documents in a seeded shuffle (order of an md5 of seed and id) until the
 remainder is met, to within half a document.  No source is sorted as a whole:
-the shuffle is cut into ``FINE`` hash ranges, sums per range find the range that
-the boundary falls in, and only that range is ordered.
+the shuffle is cut into ranges of the hash, as many as leave about ``RANGE_ROWS``
+documents in each, sums per range find the range that the boundary falls in, and
+only that range is ordered.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-ordered last; a null id is shuffled as an empty id; rows that repeat are separate
-documents; an empty table gives an empty result; other columns are ignored.
+ordered last; a row with a null id is shuffled by its text; rows that repeat are separate
+documents, each with copies of its own; an empty table gives an empty result; other
+columns are ignored by ``mix`` and kept by ``mixture`` and ``repeat_rows``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,8 +34,9 @@ from .storage import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: Source tables up to this many rows are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 50_000
-#: Hex digits of the shuffle key that name a hash range (4096 ranges).
-FINE = 3
+#: Documents of a range of the shuffle key, more or less; a range is named by so many hex digits of the key, between FINE.
+RANGE_ROWS = 50_000
+FINE = (3, 6)
 
 
 def word_count(text: Column) -> Column:
@@ -64,9 +68,16 @@ def water_fill(sizes: DataFrame, weights: Sequence[float], share: float, max_epo
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, taken, copies."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "mix-sizes")
-    ranges = materialize(sized.groupBy("source", F.substring("key", 1, FINE).alias("range")).agg(F.sum("size").alias("words")), "mix-ranges")
+    return _mixed(docs, [], weights, share, max_epochs, seed)
+
+
+def _mixed(docs: DataFrame, carried: list[str], weights: Sequence[float], share: float, max_epochs: float, seed: int) -> DataFrame:
+    """carried: further columns of docs that go along, with names of their own."""
+    id_text = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), id_text).cast("binary"))
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *carried), "mix-sizes")
+    fine = min(FINE[1], max(FINE[0], math.ceil(math.log(max(1, sized.count() / RANGE_ROWS), 16))))
+    ranges = materialize(sized.groupBy("source", F.substring("key", 1, fine).alias("range")).agg(F.sum("size").alias("words")), "mix-ranges")
     targets = water_fill(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     targets = targets.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -82,7 +93,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     )
     plan = targets.join(edge.select(F.col("source").alias("s"), "edge"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", "need", "edge")
     plan = materialize(plan, "mix-plan")
-    placed = sized.join(bounded_broadcast(plan, plan.count()), F.col("source").eqNullSafe(F.col("s"))).withColumn("range", F.substring("key", 1, FINE))
+    placed = sized.join(bounded_broadcast(plan, plan.count()), F.col("source").eqNullSafe(F.col("s"))).withColumn("range", F.substring("key", 1, fine))
     in_edge = F.col("edge").isNotNull() & (F.col("range") == F.col("edge.range"))
     sure = placed.where(~in_edge).withColumn("extra", F.when(F.col("edge").isNull() | (F.col("range") < F.col("edge.range")), 1).otherwise(0))
     up_to = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -91,19 +102,32 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     # Without words left over (need 0) no range is taken: the edge is then the first range with words.
     copies = F.col("whole") + F.col("extra")
     out = sure.unionByName(close).withColumn("copies", F.least(F.when(F.col("need") > 0, copies).otherwise(F.col("whole")), F.lit(int(max_epochs)).cast("long")))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *carried)
+
+
+def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
+    """The documents in the mixture, all columns, with size, source_size, target, taken and copies (1 or more).
+
+    Columns of docs with one of these names are replaced."""
+    made = ("size", "source_size", "target", "taken", "copies")
+    kept = [c for c in docs.columns if c not in made]
+    further = [c for c in kept if c not in ("doc_id", "source")]
+    named = docs.select("doc_id", "source", "text", *[F.col(c).alias(f"__{c}") for c in further])
+    told = _mixed(named, [f"__{c}" for c in further], weights, share, max_epochs, seed).where("copies > 0")
+    return told.select(*[F.col(f"__{c}" if c in further else c).alias(c) for c in kept], *made)
 
 
 def repeat_rows(docs: DataFrame, **kw) -> DataFrame:
-    """The mixture itself: one row a copy, with ``copy`` counted from 1."""
-    counted = mix(docs, **kw).select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.join(counted, "doc_id").where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+    """The mixture itself: a row of docs for each of its copies, with ``copy`` counted from 1."""
+    kept = [c for c in docs.columns if c != "copy"]
+    told = mixture(docs.select(*kept), **kw).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return told.select(*[c for c in kept if c in told.columns], "copy")
 
 
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), ':' || md5(coalesce(text, '')))) AS key
   FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source

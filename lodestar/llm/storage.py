@@ -37,6 +37,14 @@ def shared_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lodestar-{spark.sparkContext.applicationId}"
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 

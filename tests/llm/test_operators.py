@@ -158,6 +158,20 @@ def test_mix_takes_near_the_target_and_reruns_agree(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("rows_of_a_range", [50_000, 1])
+def test_copies_of_rows(spark, monkeypatch, rows_of_a_range):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", rows_of_a_range)
+    rows = [(i % 7 if i % 3 else None, f"text {i} " * (1 + i % 5), "ab"[i % 2]) for i in range(60)]
+    docs = documents(spark, rows).withColumn("size", F.lit(9)).withColumn("copy", F.lit("x")).withColumn("__text", F.lit(2))
+    counted = mixing.mixture(docs).collect()
+    repeated = mixing.repeat_rows(docs).collect()
+    assert sum(r.copies for r in counted) == len(repeated) and {r.text for r in repeated} == {r.text for r in counted} <= {t for _, t, _ in rows}
+    for r in counted:
+        mine = [x for x in repeated if x.text == r.text]
+        assert [x.copy for x in sorted(mine, key=lambda x: x.copy)] == list(range(1, r.copies + 1)) and {x.doc_id for x in mine} == {r.doc_id}
+    assert sum(r.taken for r in mixing.mix(docs).collect()) == sum(r.taken for r in counted)
+
+
 # 5 --------------------------------------------------------------------------------------------------------------------
 
 
