@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .terms import STOPWORDS
 from .text import vector_tokens
 
+#: Queries that are broadcast against a corpus at once.
+BLOCK_QUERIES = 10_000
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -53,8 +56,30 @@ def sparse_cosine(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return q.join(c, "term").groupBy("query_id", "entity_id").agg(F.sum(F.col("wq") * F.col("wc")).alias("similarity"))
 
 
-def dense_cosine(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """The same for tables (id, embedding): a stated query set against all rows; the caller bounds the query set."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("eq"))
-    c = corpus.select(F.col("id").alias("entity_id"), F.col("embedding").alias("ec"))
-    return c.crossJoin(F.broadcast(q)).select("query_id", "entity_id", cosine(F.col("eq"), F.col("ec")).alias("similarity"))
+def unit(c: Column) -> Column:
+    """The vector in double at length 1; of length 0 (norm at most 1e-6) it stays zero."""
+    norm = F.sqrt(dot(c, c))
+    return F.transform(F.arrays_zip(c.alias("x"), F.array_repeat(norm, F.size(c)).alias("n")), lambda p: F.when(p["n"] > 1e-6, p["x"].cast("double") / p["n"]).otherwise(0.0))
+
+
+def query_blocks(queries: DataFrame, rows: int = BLOCK_QUERIES) -> list[DataFrame]:
+    """The query set in parts of about ``rows`` rows by a hash of the id: each is small enough to be broadcast."""
+    n = -(-queries.count() // rows)
+    part = F.pmod(F.xxhash64("id"), F.lit(n))
+    return [queries] if n <= 1 else [queries.where(part == k) for k in range(n)]
+
+
+def dense_cosine(queries: DataFrame, corpus: DataFrame, best: int | None = None) -> DataFrame:
+    """The same for tables (id, embedding): a stated query set, in blocks, against all rows; with ``best`` only so many of each query.
+
+    Norms are worked out once a row. Vectors of different lengths have similarity 0."""
+    c = corpus.select(F.col("id").alias("entity_id"), unit(F.col("embedding")).alias("ec"))
+    out = None
+    for block in query_blocks(queries):
+        q = block.select(F.col("id").alias("query_id"), unit(F.col("embedding")).alias("eq"))
+        near = c.crossJoin(F.broadcast(q)).select("query_id", "entity_id", F.when(F.size("eq") == F.size("ec"), dot(F.col("eq"), F.col("ec"))).otherwise(0.0).alias("similarity"))
+        if best is not None:
+            order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entity_id")
+            near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
+        out = near if out is None else out.unionByName(near)
+    return out

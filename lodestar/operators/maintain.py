@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strong_key
+from .profile import number_rows
 
 # Titles that stay although the list does not name the person.
 EXEMPT = r"adjunct|emeritus|visiting|fellow"
@@ -54,9 +55,9 @@ def removed_counts(table: DataFrame, departed: DataFrame) -> DataFrame:
 
 def padded_changes(added: DataFrame, deleted: DataFrame) -> DataFrame:
     """Two lists side by side by position (blank where one is shorter), one row at least, as the changes file has them."""
-    number = lambda df, c: df.select(F.row_number().over(Window.orderBy("_row")).alias("n"), F.col("name").alias(c))
+    number = lambda df, c: number_rows(df.select("name", "_row"), "n").select("n", F.col("name").alias(c))
     both = number(added, "newly added professor").join(number(deleted, "deleted professor"), "n", "full")
-    one = added.sparkSession.range(1).select(F.lit(1).alias("n"))
+    one = added.sparkSession.range(1).select(F.lit(1).cast("long").alias("n"))
     return both.join(one, "n", "full").na.fill("", ["newly added professor", "deleted professor"])
 
 
@@ -84,14 +85,30 @@ def resolve(names: DataFrame, pages: DataFrame, least: float = 0.5) -> DataFrame
 
 
 def report(counts: DataFrame, title: str, heading: str, at: str) -> DataFrame:
-    """One row: a Markdown report of (name, number) in order of names, with the total; the time is given."""
-    rows = F.array_sort(F.collect_list(F.struct("name", "number")))
-    lines = F.array_join(F.transform(rows, lambda x: F.concat(F.lit("- "), x["name"], F.lit(": "), x["number"].cast("string"))), "\n")
-    total = F.coalesce(F.sum("number"), F.lit(0)).cast("string")
-    return counts.agg(F.concat(F.lit(f"# {title}\n\nGenerated: {at}\n\n## {heading}\n\n"), F.when(F.count("*") == 0, "- none").otherwise(lines), F.lit("\n\nTotal: "), total, F.lit("\n")).alias("markdown"))
-
-
-def merge_reports(reports: DataFrame) -> DataFrame:
-    """(position, markdown) to one text, parts in order, blank ones left out."""
-    rows = F.array_sort(F.collect_list(F.when(F.trim("markdown") != "", F.struct("position", F.trim("markdown").alias("m")))))
-    return reports.agg(F.array_join(F.transform(rows, lambda x: x["m"]), "\n\n---\n\n").alias("markdown"))
+    """The lines of a Markdown report of (name, number): part, name, line, to be written in this order; the time is given.
+
+    Lines stay rows, so that a report of very many names is no single text."""
+    head = [f"# {title}", "", f"Generated: {at}", "", f"## {heading}", ""]
+    spark = counts.sparkSession
+    fixed = spark.createDataFrame([(i, "", line) for i, line in enumerate(head)], "part int, name string, line string")
+    rows = counts.select(F.lit(len(head)).alias("part"), "name", F.concat(F.lit("- "), "name", F.lit(": "), F.col("number").cast("string")).alias("line"))
+    total = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum("number"), F.lit(0)).cast("string").alias("t"))
+    none = total.where("n = 0").select(F.lit(len(head)).alias("part"), F.lit("").alias("name"), F.lit("- none").alias("line"))
+    end = total.select(F.posexplode(F.array(F.lit(""), F.concat(F.lit("Total: "), "t"))).alias("i", "line")).select((F.col("i") + len(head) + 1).alias("part"), F.lit("").alias("name"), "line")
+    return fixed.unionByName(rows).unionByName(none).unionByName(end)
+
+
+def merge_reports(reports: list[DataFrame]) -> DataFrame:
+    """report, part, name, line of several reports in order, a rule before each but the first."""
+    out = None
+    for k, lines in enumerate(reports):
+        rule = lines.sparkSession.createDataFrame([(-3, "", ""), (-2, "", "---"), (-1, "", "")] if k else [], "part int, name string, line string")
+        told = rule.unionByName(lines).select(F.lit(k).alias("report"), "part", "name", "line")
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """One text a folder, sorted by the report's keys, by ranges; parts of files follow each other by name."""
+    keys = [c for c in ("report", "part", "name") if c in lines.columns]
+    lines.orderBy(*keys).select("line").write.mode("overwrite").text(path)

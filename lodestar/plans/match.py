@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import TfIdf, sparse_cosine
 from ..operators import keywords, validate
-from ..operators.graph import neighbor_mean
+from ..operators.graph import neighbor_mean, sparse_neighbor_mean
 
-#: Queries that are laid over all entities at once at most; a larger table is ranked in parts by the caller.
-MAX_QUERIES = 100_000
-
-# Weights of the fields of a startup.
+# Weights of the fields of a startup, and the texts that stand for blank fields (they become vectors).
 FIELD_WEIGHTS = {"company": 0.3, "description": 0.5, "category": 0.2}
 PLACEHOLDERS = {"company": "startup company name", "description": "startup brief description", "category": "startup category"}
 
@@ -63,22 +60,51 @@ def rank_projects(projects: DataFrame) -> DataFrame:
 
 def rank_people(similarity: DataFrame, priority: DataFrame, edges: DataFrame, projects: DataFrame | None = None, k: int = 10, alpha: float = 0.8, beta: float = 0.2, gamma: float = 0.1, project_weight: float = 0.5) -> DataFrame:
     """similarity: query_id, id, score (every pair). score = alpha * sim + beta * priority + gamma * neighbours + 0.5 * best project."""
-    near = neighbor_mean(edges, similarity).withColumnRenamed("score", "similarity").join(priority.select("id", "priority"), "id", "left")
+    near = neighbor_mean(edges, similarity).withColumnRenamed("score", "similarity")
+    return top_k(_scored(near, priority, projects, alpha, beta, gamma, project_weight), k)
+
+
+def _scored(near: DataFrame, priority: DataFrame, projects: DataFrame | None, alpha: float, beta: float, gamma: float, project_weight: float) -> DataFrame:
+    near = near.join(priority.select("id", "priority"), "id", "left")
     if projects is None:
         near = near.withColumn("project", F.lit(0.0))
     else:
         best = projects.groupBy("query_id", "id").agg(F.max("relevance").alias("project"))
         near = near.join(best, ["query_id", "id"], "left").na.fill(0.0, ["project"])
     score = alpha * F.col("similarity") + beta * F.coalesce("priority", F.lit(0.0)) + gamma * F.col("neighbors") + project_weight * F.col("project")
-    return top_k(near.withColumn("score", score), k)
+    return near.withColumn("score", score)
+
+
+def rank_related(queries: DataFrame, similarity: DataFrame, people: DataFrame, edges: DataFrame, projects: DataFrame | None = None, k: int = 10, alpha: float = 0.8, beta: float = 0.2, gamma: float = 0.1, project_weight: float = 0.5) -> DataFrame:
+    """rank_people where similarity (query_id, id, score) holds only pairs over 0, and queries (query_id) all queries.
+
+    A pair without similarity, neighbours or project scores by its priority alone, so of those the k people of highest priority are
+    enough for every query: no query is laid over all people. Weights must be 0 or more."""
+    near = sparse_neighbor_mean(edges, similarity, people).withColumnRenamed("score", "similarity")
+    first = people.select("id", F.coalesce("priority", F.lit(0.0)).alias("priority")).orderBy(F.desc("priority"), "id").limit(max(0, k))
+    rest = queries.select("query_id").crossJoin(F.broadcast(first.select("id")))  # k rows
+    if projects is not None:
+        rest = rest.union(projects.select("query_id", "id"))
+    rest = rest.distinct().join(near, ["query_id", "id"], "left_anti").select("query_id", "id", F.lit(0.0).alias("similarity"), F.lit(0.0).alias("neighbors"))
+    return top_k(_scored(near.select("query_id", "id", "similarity", "neighbors").unionByName(rest), people, projects, alpha, beta, gamma, project_weight), k)
 
 
 def rank_startups(semantic: DataFrame, edges: DataFrame, k: int = 10, alpha: float = 1.0, gamma: float = 0.1) -> DataFrame:
-    """semantic: query_id, id, score. score = alpha * semantic + gamma * neighbours; one result at least."""
+    """semantic: query_id, id, score (every pair). score = alpha * semantic + gamma * neighbours; one result at least."""
     near = neighbor_mean(edges, semantic).withColumnRenamed("score", "semantic")
     return top_k(near.withColumn("score", alpha * F.col("semantic") + gamma * F.col("neighbors")), max(1, k))
 
 
+def rank_related_startups(queries: DataFrame, semantic: DataFrame, startups: DataFrame, edges: DataFrame, k: int = 10, alpha: float = 1.0, gamma: float = 0.1) -> DataFrame:
+    """rank_startups where semantic holds only pairs over 0; the k smallest ids stand for the pairs without any score."""
+    k = max(1, k)
+    near = sparse_neighbor_mean(edges, semantic, startups).withColumnRenamed("score", "semantic")
+    first = startups.select("id").orderBy("id").limit(k)
+    rest = queries.select("query_id").crossJoin(F.broadcast(first)).join(near, ["query_id", "id"], "left_anti").select("query_id", "id", F.lit(0.0).alias("semantic"), F.lit(0.0).alias("neighbors"))
+    both = near.select("query_id", "id", "semantic", "neighbors").unionByName(rest)
+    return top_k(both.withColumn("score", alpha * F.col("semantic") + gamma * F.col("neighbors")), k)
+
+
 def prepare(queries: DataFrame, corpus: DataFrame, model: TfIdf, validate_query: bool = True, use_keywords: bool = True) -> DataFrame:
     """queries: query_id, query. Adds rule, status, confidence, message, suggestions and match_text, the text to compare.
 
@@ -94,12 +120,8 @@ def prepare(queries: DataFrame, corpus: DataFrame, model: TfIdf, validate_query:
     return ruled.join(sound.select("query_id", "match_text"), "query_id", "left")
 
 
-def every_pair(queries: DataFrame, entities: DataFrame, similarity: DataFrame) -> DataFrame:
-    """query_id, id, score for a bounded query set against all entities; pairs without a common term score 0."""
-    if (n := queries.count()) > MAX_QUERIES:
-        raise ValueError(f"{n} queries at once; at most {MAX_QUERIES} are laid over all entities")
-    pairs = entities.select("id").crossJoin(F.broadcast(queries.select("query_id")))
-    return pairs.join(similarity.select("query_id", F.col("entity_id").alias("id"), "similarity"), ["query_id", "id"], "left").select("query_id", "id", F.coalesce("similarity", F.lit(0.0)).alias("score"))
+def related(similarity: DataFrame) -> DataFrame:
+    return similarity.where("similarity > 0").select("query_id", F.col("entity_id").alias("id"), F.col("similarity").alias("score"))
 
 
 def match_people(queries: DataFrame, people: DataFrame, edges: DataFrame, projects: DataFrame | None = None, k: int = 10, validate_query: bool = True, use_keywords: bool = True, **weights: float) -> tuple[DataFrame, DataFrame]:
@@ -112,13 +134,13 @@ def match_people(queries: DataFrame, people: DataFrame, edges: DataFrame, projec
     checked = prepare(queries, corpus, model, validate_query, use_keywords).persist()
     asked = checked.where("match_text is not null")
     vector = model.transform(asked.select(F.col("query_id").alias("id"), F.col("match_text").alias("text")))
-    sims = every_pair(asked, people, sparse_cosine(vector, model.transform(corpus)))
+    sims = related(sparse_cosine(vector, model.transform(corpus)))
     ranked = None
     if projects is not None:
         keyed = projects.withColumn("key", F.concat_ws("/", "id", "project"))
         near = sparse_cosine(vector, model.transform(keyed.select(F.col("key").alias("id"), "text"))).withColumnRenamed("entity_id", "key")
         ranked = rank_projects(near.join(keyed.select("key", "id", "project", (F.trim("text") == "").alias("blank")), "key").drop("key"))
-    return checked, rank_people(sims, people, edges, ranked, k=k, **weights)
+    return checked, rank_related(asked, sims, people, edges, ranked, k=k, **weights)
 
 
 def match_startups(queries: DataFrame, startups: DataFrame, edges: DataFrame, k: int = 10, weights: Mapping[str, float] = FIELD_WEIGHTS, validate_query: bool = True, use_keywords: bool = True, alpha: float = 1.0, gamma: float = 0.1) -> tuple[DataFrame, DataFrame]:
@@ -137,4 +159,4 @@ def match_startups(queries: DataFrame, startups: DataFrame, edges: DataFrame, k:
     near = sparse_cosine(vector, model.transform(keyed)).join(long.select(F.concat_ws("/", "id", "field").alias("entity_id"), "id", "field"), "entity_id")
     wide = near.groupBy("query_id", "id").agg(*[F.max(F.when(F.col("field") == f, F.col("similarity"))).alias(f) for f in fields])
     semantic = wide.select("query_id", F.col("id").alias("entity_id"), semantic_score({f: F.col(f) for f in fields}, weights).alias("similarity"))
-    return checked, rank_startups(every_pair(asked, startups, semantic), edges, k=k, alpha=alpha, gamma=gamma)
+    return checked, rank_related_startups(asked, related(semantic), startups, edges, k=k, alpha=alpha, gamma=gamma)

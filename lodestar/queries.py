@@ -43,16 +43,6 @@ _TOKEN_SET = "list_distinct(regexp_extract_all(lower({t}), '[a-z0-9]+'))"
 # Dense vectors --------------------------------------------------------------------------------------------------------
 
 
-@query(f"""
-SELECT e.vec_id, round({_COSINE.format(a='q.embedding', b='e.embedding')}, 6) AS similarity
-FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY similarity DESC, vec_id LIMIT 5
-""")
-def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    near = vectors.dense_cosine(e.where("id = 0"), e).select(F.col("entity_id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
-    return near.orderBy(F.desc("similarity"), "vec_id").limit(5)
-
-
 _SIMS = f"""
 WITH q AS (SELECT vec_id AS query_id, embedding AS eq FROM embeddings WHERE vec_id % 50 = 0),
 sims AS (SELECT query_id, vec_id AS id, label, round({_COSINE.format(a='eq', b='embedding')}, 9) AS similarity FROM embeddings, q)
@@ -65,6 +55,14 @@ def _similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.dense_cosine(e.where("id % 50 = 0"), e).select("query_id", F.col("entity_id").alias("id"), F.round("similarity", 9).alias("score"))
 
 
+@query(f"""{_SIMS}
+SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM sims QUALIFY rank <= 5
+""")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    return match.top_k(_similarities(spark, sf_dir).withColumnRenamed("score", "similarity"), 5, by="similarity").select("query_id", "id", "similarity", "rank")
+
+
 @query(f"""{_SIMS}
 SELECT query_id, label, id AS project, similarity AS relevance, row_number() OVER (PARTITION BY query_id, label ORDER BY similarity DESC, id) AS project_rank
 FROM sims
@@ -87,8 +85,10 @@ def blended_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The person ranking: similarity, priority, mean over graph neighbours, best project (labels stand for persons with projects)."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
     sims = _similarities(spark, sf_dir)
-    a, b = e.select(F.col("id").alias("src"), "label"), e.select(F.col("id").alias("dst"), "label")
-    edges = a.join(b, "label").where("src < dst and dst - src <= 20").select("src", "dst")
+    # Ids at most 20 apart stand in the same or in neighbouring ranges of 20: an equi-join, not a label's rows with each other.
+    a = e.select(F.col("id").alias("src"), "label", F.explode(F.array(F.floor(F.col("id") / 20), F.floor(F.col("id") / 20) + 1)).alias("at"))
+    b = e.select(F.col("id").alias("dst"), "label", F.floor(F.col("id") / 20).alias("at"))
+    edges = a.join(b, ["label", "at"]).where("src < dst and dst - src <= 20").select("src", "dst")
     projects = sims.join(e, "id").select("query_id", F.col("label").cast("long").alias("id"), F.col("id").alias("project"), F.lit(False).alias("blank"), F.col("score").alias("similarity"))
     priority = e.select("id", (1 / (1.0 + F.col("label"))).alias("priority"))
     ranked = match.rank_people(sims, priority, edges, match.rank_projects(projects), k=10**9).withColumn("score", F.round("score", 6))
@@ -166,18 +166,18 @@ def domain_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH corpus AS (SELECT p_partkey * 3 AS id, p_name AS text FROM part UNION ALL SELECT p_partkey * 3 + 1, p_type || ' ' || p_brand FROM part UNION ALL SELECT p_partkey * 3 + 2, p_type FROM part), {_tfidf_sql('corpus')},
-sims AS (SELECT q.id // 3 AS query_id, v.id // 3 AS id, v.id % 3 AS field, sum(q.weight * v.weight) AS s FROM vec q JOIN vec v USING (term) WHERE q.id % 3 = 0 AND (q.id // 3) % 500 = 0 GROUP BY 1, 2, 3),
+sims AS (SELECT q.id // 3 AS query_id, v.id // 3 AS id, v.id % 3 AS field, sum(q.weight * v.weight) AS s FROM vec q JOIN vec v USING (term) WHERE q.id % 3 = 0 AND (q.id // 3) % 50 = 0 GROUP BY 1, 2, 3),
 wide AS (SELECT query_id, id, round(coalesce(max(CASE WHEN field = 0 THEN s END), 0), 9) AS a, round(coalesce(max(CASE WHEN field = 1 THEN s END), 0), 9) AS b, round(coalesce(max(CASE WHEN field = 2 THEN s END), 0), 9) AS c FROM sims GROUP BY 1, 2),
 scored AS (SELECT query_id, id, round(greatest(0, (0.3 * a + 0.5 * b + 0.2 * c) * (0.55 + 0.45 * (CASE WHEN a >= 0.2 THEN 0.3 ELSE 0 END + CASE WHEN b >= 0.2 THEN 0.5 ELSE 0 END + CASE WHEN c >= 0.2 THEN 0.2 ELSE 0 END))), 6) AS score FROM wide)
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 10
 """)
 def startup_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Startup scores over three fields (parts stand for startups, every 500th part's name is a query)."""
+    """Startup scores over three fields (parts stand for startups, every 50th part's name is a query)."""
     part = table(spark, sf_dir, "part")
     field = {"company": F.col("p_name"), "description": F.concat_ws(" ", "p_type", "p_brand"), "category": F.col("p_type")}
     long = part.select(F.inline(F.array(*[F.struct((F.col("p_partkey") * 3 + i).alias("id"), match.field_text(c, k).alias("text")) for i, (k, c) in enumerate(field.items())])))
     vec = vectors.TfIdf.fit(long).transform(long)
-    asked = vec.where("id % 3 = 0 and floor(id / 3) % 500 = 0")
+    asked = vec.where("id % 3 = 0 and floor(id / 3) % 50 = 0")
     sims = vectors.sparse_cosine(asked, vec).select(F.floor(F.col("query_id") / 3).alias("query_id"), F.floor(F.col("entity_id") / 3).alias("id"), (F.col("entity_id") % 3).alias("field"), "similarity")
     wide = sims.groupBy("query_id", "id").agg(*[F.round(F.coalesce(F.max(F.when(F.col("field") == i, F.col("similarity"))), F.lit(0.0)), 9).alias(k) for i, k in enumerate(field)])
     scored = wide.select("query_id", "id", F.round(match.semantic_score({k: F.col(k) for k in field}), 6).alias("score"))
@@ -187,45 +187,72 @@ def startup_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Graphs ---------------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH t AS (SELECT doc_id AS id, lang, source, {_TOKEN_SET.format(t='text')} AS tokens FROM documents)
-SELECT a.id AS src, b.id AS dst, round(len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens)))::DOUBLE, 6) AS jaccard
-FROM t a JOIN t b ON a.lang = b.lang AND a.source = b.source AND a.id < b.id WHERE jaccard >= 0.15
+@query(f"""WITH t AS (SELECT doc_id AS id, list_sort({_TOKEN_SET.format(t='text')}) AS tokens FROM documents), k AS (SELECT min(id) AS id, tokens FROM t WHERE len(tokens) > 0 GROUP BY tokens),
+u AS (SELECT id, len(tokens) AS n, unnest(tokens) AS w FROM k), p AS (SELECT a.id AS src, b.id AS dst, a.n AS na, b.n AS nb, count(*) AS c FROM u a JOIN u b ON a.w = b.w AND a.id < b.id GROUP BY ALL)
+SELECT src, dst, round(c / (na + nb - c)::DOUBLE, 6) AS jaccard, 'link' AS kind FROM p WHERE c / (na + nb - c)::DOUBLE >= 0.5
+UNION ALL SELECT k.id, t.id, 1.0::DOUBLE, 'copy' FROM t JOIN k ON t.tokens = k.tokens WHERE t.id <> k.id
 """)
 def jaccard_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents of one language and source by common tokens."""
-    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", text.token_set(F.col("text")).alias("tokens"))
-    pairs = graph.jaccard_pairs(t, ["lang", "source"]).withColumn("jaccard", F.round("jaccard", 6))
-    return pairs.where("jaccard >= 0.15")
+    """Pairs of documents that share half of their tokens: links of class representatives, and each other member of a class with its representative."""
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.token_set(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    sets, members = graph.classes(t)
+    links = graph.jaccard_pairs(sets, 0.5).select("src", "dst", F.round("jaccard", 6).alias("jaccard"), F.lit("link").alias("kind"))
+    return links.unionByName(graph.copies(members).select("src", "dst", F.lit(1.0).alias("jaccard"), F.lit("copy").alias("kind")))
 
 
 def _jac(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))::DOUBLE END"
 
 
-_FAMILIES = {"interests": ("substr(text, 1, 100)", lambda c: F.substring(c, 1, 100)), "projects": ("substr(text, 30, 60)", lambda c: F.substring(c, 30, 60)), "papers": ("substr(text, 80, 90)", lambda c: F.substring(c, 80, 90)), "deeptech": ("text", lambda c: c)}
+#: Families of a person's tokens: those of a text by their length.
+_FAMILIES = {"interests": (1, 4), "projects": (5, 6), "papers": (7, 8), "deeptech": (9, 99)}
 
 
-@query(f"""WITH t AS (SELECT item_id AS id, item_id % 5 AS department, {', '.join(f"{_TOKEN_SET.format(t=s)} AS {k}" for k, (s, _) in _FAMILIES.items())} FROM benchmark),
-p AS (SELECT a.id AS src, b.id AS dst, a.department = b.department AND a.department <> 0 AS same, {' + '.join(f"{graph.PERSON_WEIGHTS[k]} * ({_jac('a.' + k, 'b.' + k)})" for k in _FAMILIES)} AS combined FROM t a JOIN t b ON a.id < b.id)
-SELECT src, dst, round(greatest(CASE WHEN same THEN 0.05 ELSE 0 END, CASE WHEN combined >= 0.15 THEN combined ELSE 0 END), 6) AS weight FROM p WHERE weight > 0
+@query(f"""WITH t AS (SELECT item_id AS id, list_sort({_TOKEN_SET.format(t='text')}) AS tokens FROM benchmark), k AS (SELECT min(id) AS id, tokens FROM t GROUP BY tokens),
+s AS (SELECT id, {', '.join(f"list_filter(tokens, lambda x: length(x) BETWEEN {lo} AND {hi}) AS {k}" for k, (lo, hi) in _FAMILIES.items())} FROM k),
+p AS (SELECT a.id AS src, b.id AS dst, {' + '.join(f"{graph.PERSON_WEIGHTS[k]} * ({_jac('a.' + k, 'b.' + k)})" for k in _FAMILIES)} AS combined FROM s a JOIN s b ON a.id < b.id)
+SELECT src, dst, round(combined, 6) AS weight, 'link' AS kind FROM p WHERE combined >= 0.15
+UNION ALL SELECT k.id, t.id, 1.0::DOUBLE, 'copy' FROM t JOIN k ON t.tokens = k.tokens WHERE t.id <> k.id
 """)
 def person_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges by four families of tokens and equal departments (benchmark items stand for persons; department 0 is blank)."""
-    b = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "id")
-    families = {k: graph.jaccard_pairs(b.select("id", text.token_set(f(F.col("text"))).alias("tokens"))) for k, (_, f) in _FAMILIES.items()}
-    people = b.select("id", F.when(F.col("id") % 5 == 0, "").otherwise((F.col("id") % 5).cast("string")).alias("department"))
-    return graph.person_edges(graph.combined(families, graph.PERSON_WEIGHTS), people).select("src", "dst", F.round("weight", 6).alias("weight"))
-
-
-@query(f"""WITH t AS (SELECT item_id AS id, list_distinct(list_filter(list_transform(string_split(lower(text), '.'), lambda x: trim(x)), lambda x: x <> '')) AS cats, {_TOKEN_SET.format(t='text')} AS tokens FROM benchmark),
-p AS (SELECT a.id AS src, b.id AS dst, {_jac('a.cats', 'b.cats')} AS cat_sim, {_jac('a.tokens', 'b.tokens')} AS desc_sim FROM t a JOIN t b ON a.id < b.id)
-SELECT src, dst, round(cat_sim, 6) AS cat_sim, round(desc_sim, 6) AS desc_sim, round(0.571 * cat_sim + 0.429 * desc_sim, 6) AS combined FROM p WHERE 0.571 * cat_sim + 0.429 * desc_sim >= 0.05
+    """Edges by four families of tokens (benchmark items stand for persons)."""
+    tokens = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), text.token_set(F.col("text")).alias("t"))
+    of_length = lambda lo, hi: F.filter("t", lambda x: F.length(x).between(lo, hi))
+    parts = tokens.select("id", *[of_length(*ends).alias(k) for k, ends in _FAMILIES.items()])
+    sets, members = graph.classes(parts, *_FAMILIES)
+    links = graph.person_edges(sets).select("src", "dst", F.round("weight", 6).alias("weight"), F.lit("link").alias("kind"))
+    return links.unionByName(graph.copies(members).select("src", "dst", F.lit(1.0).alias("weight"), F.lit("copy").alias("kind")))
+
+
+@query("""SELECT source || ' ' || lang AS department, count(*) AS people, 0.05::DOUBLE AS weight FROM documents GROUP BY ALL HAVING count(*) > 1""")
+def department_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "source", "lang").alias("department"))
+    return graph.department_links(people)
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, c_mktsegment AS department, round(c_acctbal, 2) AS score FROM customer), e AS (SELECT DISTINCT least(l_suppkey, l_partkey % 150 + 1) AS src, greatest(l_suppkey, l_partkey % 150 + 1) AS dst FROM lineitem WHERE l_suppkey <> l_partkey % 150 + 1),
+n AS (SELECT src AS id, dst AS near FROM e UNION SELECT dst, src FROM e UNION SELECT a.id, b.id FROM s a JOIN s b ON a.department = b.department AND a.id <> b.id)
+SELECT 1 AS query_id, s.id, round(coalesce(avg(o.score), 0) + 1e-9, 6) AS neighbors FROM s LEFT JOIN n ON n.id = s.id LEFT JOIN s o ON o.id = n.near GROUP BY ALL""")
+def neighbor_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean over neighbours by edges and by departments (customers stand for persons, order lines for edges)."""
+    people = table(spark, sf_dir, "customer").select(F.lit(1).alias("query_id"), F.col("c_custkey").alias("id"), F.round("c_acctbal", 2).alias("score"), F.col("c_mktsegment").alias("department"))
+    a, b = F.col("l_suppkey"), F.col("l_partkey") % 150 + 1
+    edges = table(spark, sf_dir, "lineitem").select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+    told = graph.neighbor_mean(edges, people.drop("department"), people)
+    return told.select("query_id", "id", F.round(F.col("neighbors") + 1e-9, 6).alias("neighbors"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS id, list_sort(list_distinct(string_split(lower(p_type), ' '))) AS cats, list_sort({_TOKEN_SET.format(t='p_name')}) AS tokens FROM part), k AS (SELECT min(id) AS id, cats, tokens FROM t GROUP BY cats, tokens),
+p AS (SELECT a.id AS src, b.id AS dst, {_jac('a.cats', 'b.cats')} AS cat_sim, {_jac('a.tokens', 'b.tokens')} AS desc_sim FROM k a JOIN k b ON a.id < b.id)
+SELECT src, dst, round(cat_sim, 6) AS cat_sim, round(desc_sim, 6) AS desc_sim, round(0.571 * cat_sim + 0.429 * desc_sim, 6) AS combined FROM p WHERE 0.571 * cat_sim + 0.429 * desc_sim >= 0.22
+UNION ALL SELECT k.id, t.id, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE FROM t JOIN k ON t.tokens = k.tokens AND t.cats = k.cats WHERE t.id <> k.id
 """)
 def startup_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "id")
-    cats = F.array_distinct(text.split_list(F.lower("text"), r"\."))
-    edges = graph.startup_edges(graph.jaccard_pairs(b.select("id", cats.alias("tokens"))), graph.jaccard_pairs(b.select("id", text.token_set(F.col("text")).alias("tokens"))), threshold=0.05)
-    return edges.select("src", "dst", *[F.round(c, 6).alias(c) for c in ("cat_sim", "desc_sim", "combined")])
+    """Edges of startups (parts: the type's words as categories, the name as description); members of a class with their representative."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_distinct(text.split_list(F.lower("p_type"), " ")).alias("categories"), text.token_set(F.col("p_name")).alias("description"))
+    sets, members = graph.classes(parts, "categories", "description")
+    edges = graph.startup_edges(sets).select("src", "dst", *[F.round(c, 6).alias(c) for c in ("cat_sim", "desc_sim", "combined")])
+    return edges.unionByName(graph.copies(members).select("src", "dst", *[F.lit(1.0).alias(c) for c in ("cat_sim", "desc_sim", "combined")]))
 
 
 # Profiles -------------------------------------------------------------------------------------------------------------
@@ -309,11 +336,10 @@ def match_people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def match_startups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole startup search (parts stand for startups, sample needs for queries)."""
+    """The whole startup search (parts stand for startups; every 50th makes a query)."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("company"), F.concat_ws(" ", "p_type", "p_brand").alias("description"), F.col("p_type").alias("category"))
     edges = parts.where("id % 2 = 0").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
-    needs = ["deep learning for red widget inspection", "efficient steel anvil design", "polished brand sensor system", "hello there"]
-    asked = spark.createDataFrame(list(enumerate(needs)), "query_id int, query string")
+    asked = parts.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.concat(F.lit("efficient "), "company", F.lit(" sensor system for "), "description").alias("query"))
     _, ranked = match.match_startups(asked, parts, edges, k=5)
     return ranked.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -444,9 +470,10 @@ def token_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(_joined(F.sort_array("t"), " ").cast("binary")).alias("digest"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(replace(replace(replace(replace(replace(replace(left(text, 80), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'Ä', 'AE'), 'Ö', 'OE'), 'Ü', 'UE'), 'ß', 'ss'))), '\s+', ' ', 'g')) AS name FROM documents""")
+@query(r"""SELECT doc_id, md5(name) AS digest, length(name) AS n FROM (SELECT doc_id, trim(regexp_replace(lower(strip_accents(replace(replace(replace(replace(replace(replace(replace(text, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'Ä', 'AE'), 'Ö', 'OE'), 'Ü', 'UE'), 'ß', 'ss'))), '\s+', ' ', 'g')) AS name FROM documents)""")
 def normalize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.strong_key(F.substring("text", 1, 80)).alias("name"))
+    named = table(spark, sf_dir, "documents").select("doc_id", text.strong_key(F.col("text")).alias("name"))
+    return named.select("doc_id", F.md5(F.col("name").cast("binary")).alias("digest"), F.length("name").cast("long").alias("n"))
 
 
 @query("SELECT p_partkey, p_name || '|' || p_brand AS numbered, p_name AS unmarked, lower(p_brand) || '|x' AS listed FROM part")
@@ -524,16 +551,20 @@ def remove_departed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT p_partkey AS id, lower(p_name) AS key FROM part WHERE p_partkey % 10 = 0), l AS (SELECT lower(p_name) AS pkey, min(p_partkey) AS place, max_by('u' || p_partkey, p_partkey) AS url FROM part WHERE p_partkey % 7 = 0 GROUP BY 1),
+WITH n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 100 = 0 THEN lower(p_name) ELSE split_part(lower(p_name), ' ', 2) || ' of ' || split_part(lower(p_name), ' ', 1) END AS key FROM part WHERE p_partkey % 50 = 0),
+l AS (SELECT lower(p_name) AS pkey, min(p_partkey) AS place, 'u' || max(p_partkey) AS url FROM part GROUP BY 1),
 e AS (SELECT id, url, 1.0 AS overlap, 'exact' AS how FROM n JOIN l ON key = pkey),
 r AS (SELECT * FROM n WHERE id NOT IN (SELECT id FROM e)),
 f AS (SELECT id, url, place, len(list_intersect(string_split(key, ' '), string_split(pkey, ' '))) / greatest(len(list_distinct(string_split(key, ' '))), len(list_distinct(string_split(pkey, ' '))))::DOUBLE AS overlap FROM r, l)
 SELECT * FROM e UNION ALL SELECT id, url, overlap, 'fuzzy' FROM (SELECT * FROM f WHERE overlap >= 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY overlap DESC, place) = 1)
 """)
 def fuzzy_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of every 50th part, half of them in another order with a word more, against all parts' names."""
     p = table(spark, sf_dir, "part")
-    listed = p.where("p_partkey % 7 = 0").select(F.col("p_name").alias("name"), F.concat(F.lit("u"), "p_partkey").alias("url"), F.col("p_partkey").alias("_row"))
-    return maintain.resolve(p.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("name")), listed)
+    listed = p.select(F.col("p_name").alias("name"), F.concat(F.lit("u"), "p_partkey").alias("url"), F.col("p_partkey").alias("_row"))
+    turned = F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" of "), F.split_part("p_name", F.lit(" "), F.lit(1)))
+    asked = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), F.upper(F.when(F.col("p_partkey") % 100 == 0, F.col("p_name")).otherwise(turned)).alias("name"))
+    return maintain.resolve(asked, listed)
 
 
 _USERS = "SELECT 'user ' || user_id AS name, min(event_id) AS _row FROM events WHERE event_type = '{}' GROUP BY user_id"
@@ -556,11 +587,15 @@ def read_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.read_changes(maintain.padded_changes(*_changes(spark, sf_dir)).withColumnRenamed("n", "_row")).select("name", "op")
 
 
-@query("""SELECT '# Update' || chr(10) || chr(10) || 'Generated: 2024-02-01 00:00:00' || chr(10) || chr(10) || '## Added' || chr(10) || chr(10) || string_agg('- ' || event_type || ': ' || n, chr(10) ORDER BY event_type) || chr(10) || chr(10) || 'Total: ' || sum(n) || chr(10) AS markdown
-FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)""")
+@query("""WITH c AS (SELECT event_type AS name, count(*) AS n FROM events GROUP BY 1), r AS (
+SELECT * FROM (VALUES (0, '', '# Update'), (1, '', ''), (2, '', 'Generated: 2024-02-01 00:00:00'), (3, '', ''), (4, '', '## Added'), (5, '', ''), (7, '', '')) AS t(part, name, line)
+UNION ALL SELECT 6, name, '- ' || name || ': ' || n FROM c UNION ALL SELECT 8, '', 'Total: ' || sum(n) FROM c)
+SELECT 0 AS report, * FROM r UNION ALL SELECT 1, * FROM r UNION ALL SELECT 1, * FROM (VALUES (-3, '', ''), (-2, '', '---'), (-1, '', '')) AS t(part, name, line)""")
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of counts, and the same once more as the second part of a merged report."""
     counts = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("number"))
-    return maintain.report(counts, "Update", "Added", "2024-02-01 00:00:00")
+    lines = maintain.report(counts, "Update", "Added", "2024-02-01 00:00:00")
+    return maintain.merge_reports([lines, lines])
 
 
 @query("""

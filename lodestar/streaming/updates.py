@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -74,39 +75,58 @@ def progress_stream(lines: DataFrame) -> DataFrame:
 
 
 def upsert_stream(changes: DataFrame, target: str, checkpoint: str, key: str, order: str):
-    """Streams change rows (op add or delete) into a Parquet table: of each key the latest change of a batch counts.
+    """Streams change rows (op add or delete) into a Parquet table: of each key the latest change of all batches counts, by ``order``.
 
-    Each batch writes a new version of the table beside the old one; the pointer moves last, so a batch that is
-    run again changes nothing."""
+    Deletes are kept as rows, so that an older change in a later batch does not bring a key back. Each batch writes a new version
+    of the table beside the old one, and a batch that is run again writes the same; versions before the last two are deleted."""
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = batch.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
-        rows = last.where("op = 'add'").drop("op")
-        old = read_versioned(spark, target, number)
-        if old is not None:
-            rows = old.join(last.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
-        rows.write.mode("overwrite").parquet(f"{target}/version={number}")
+        old = _newest(spark, target, number)
+        rows = batch if old is None else old.unionByName(batch, allowMissingColumns=True)
+        rest = [c for c in rows.columns if c != key]
+        last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
+        last.write.mode("overwrite").parquet(f"{target}/version={number}")
+        for n in _versions(spark, target):
+            if n < number - 1:
+                _path(spark, f"{target}/version={n}")[1].delete(_path(spark, f"{target}/version={n}")[0], True)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def working_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, else under the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or on one machine under its temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}"
     return f"{root.rstrip('/')}/streams-{uuid.uuid4().hex}"
 
 
-def read_versioned(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
-    """The newest complete version (below a number); null before the first."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _path(spark: SparkSession, place: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, target: str) -> list[int]:
+    path, fs = _path(spark, target)
     if not fs.exists(path):
-        return None
-    numbers = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if s.getPath().getName().startswith("version=") and fs.exists(s.getPath().suffix("/_SUCCESS"))]
-    numbers = [n for n in numbers if below is None or n < below]
+        return []
+    found = [s.getPath() for s in fs.listStatus(path)]
+    return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith("version=") and fs.exists(p.suffix("/_SUCCESS")))
+
+
+def _newest(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
+    numbers = [n for n in _versions(spark, target) if below is None or n < below]
     return spark.read.parquet(f"{target}/version={max(numbers)}") if numbers else None
 
 
+def read_versioned(spark: SparkSession, target: str) -> DataFrame | None:
+    """The rows of the newest complete version; null before the first."""
+    rows = _newest(spark, target)
+    return None if rows is None else rows.where("op = 'add'").drop("op")
+
+
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts of events by type in tumbling windows with a watermark (an extension; works on streams and tables)."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")

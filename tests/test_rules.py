@@ -1,6 +1,7 @@
 """Hand-worked cases of text rules, profiles, validation, keywords, graphs, metrics and maintenance."""
 
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -105,14 +106,34 @@ def test_keywords(spark):
 
 def test_jaccard_and_edges(spark):
     t = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["b", "c", "d"]), (3, [])], "id long, tokens array<string>")
-    assert [tuple(r) for r in graph.jaccard_pairs(t).collect()] == [(1, 2, 0.5)]
-    pairs = spark.createDataFrame([(1, 2, 0.5)], "src long, dst long, jaccard double")
-    deeptech = spark.createDataFrame([(1, 2, 0.25), (2, 3, 0.25)], "src long, dst long, jaccard double")
+    assert [tuple(r) for r in graph.jaccard_pairs(t, 0.15).collect()] == [(1, 2, 0.5)]
+    kinds = ("interests", "projects", "papers", "deeptech")
+    sets = spark.createDataFrame([(1, ["a", "b", "c"], [], None, ["x", "y", "z", "u", "v"]), (2, ["b", "c", "d"], ["p"], [], ["x", "y", "r", "s", "t"]), (3, [], [], [], ["q"])], "id long, interests array<string>, projects array<string>, papers array<string>, deeptech array<string>")
+    assert [(r.src, r.dst, round(r.weight, 6)) for r in graph.person_edges(sets.select("id", *kinds)).collect()] == [(1, 2, 0.225)]
     people = spark.createDataFrame([(1, "d"), (3, "d"), (4, ""), (5, "")], "id long, department string")
-    edges = graph.person_edges(graph.combined({"interests": pairs, "deeptech": deeptech}, graph.PERSON_WEIGHTS), people)
-    assert {(r.src, r.dst): round(r.weight, 6) for r in edges.collect()} == {(1, 2): 0.225, (1, 3): 0.05}
+    assert [tuple(r) for r in graph.department_links(people).collect()] == [("d", 2, 0.05)]
+    edges = spark.createDataFrame([(1, 2, 0.225), (1, 3, 0.3)], "src long, dst long, weight double")
     scores = spark.createDataFrame([(9, 1, 0.5), (9, 2, 0.2), (9, 3, 0.4), (9, 4, 1.0)], "query_id long, id long, score double")
     assert {r.id: round(r.neighbors, 6) for r in graph.neighbor_mean(edges, scores).collect()} == {1: 0.3, 2: 0.5, 3: 0.5, 4: 0.0}
+    assert {r.id: round(r.neighbors, 6) for r in graph.neighbor_mean(edges.limit(1), scores, people).collect()} == {1: 0.3, 2: 0.5, 3: 0.5, 4: 0.0}
+
+
+@pytest.mark.parametrize("chunk,least", [(2000, 0.15), (3, 0.15), (3, 0.5), (2, 0.8)])
+def test_prefixes_lose_no_pair(spark, monkeypatch, chunk, least):
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    sets = {i: sorted({f"t{min(rng.randrange(1, 60), rng.randrange(1, 60))}" for _ in range(rng.randrange(12))}) for i in range(70)}
+    df = spark.createDataFrame([(i, t) for i, t in sets.items()], "id long, tokens array<string>")
+    want = {(i, j): len(set(a) & set(b)) / len(set(a) | set(b)) for i, a in sets.items() for j, b in sets.items() if i < j and a and b}
+    got = {(r.src, r.dst): r.jaccard for r in graph.jaccard_pairs(df, least).collect()}
+    assert got == {k: v for k, v in want.items() if v >= least}
+    reps, members = graph.classes(df)
+    whole = graph.expanded(graph.jaccard_pairs(reps, least), members).collect()
+    assert {(r.src, r.dst) for r in whole} == {k for k, v in want.items() if v >= least and sets[k[0]] != sets[k[1]]}
+    first = {}
+    for i, t in sets.items():
+        first.setdefault(tuple(t), i)
+    assert {(r.src, r.dst) for r in graph.copies(members).collect()} == {(first[tuple(t)], i) for i, t in sets.items() if first[tuple(t)] != i}
 
 
 def test_scores(spark):
