@@ -203,3 +203,20 @@ def progress_marker(line: Column) -> Column:
 def name_in_line(line: Column) -> Column:
     """The person that a log line is about, by the first shape that fits."""
     return F.coalesce(*[F.nullif(strip(F.regexp_extract(line, f"(?i){shape}", 1)), F.lit("")) for shape in NAMED])
+
+
+def attribute_label(c: Column) -> Column:
+    """``research_area`` as ``Research Area``."""
+    return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
+
+
+def fixed(c: Column, digits: int = 3) -> Column:
+    """A number with so many digits after the point; null as a dash."""
+    return F.coalesce(F.format_string(f"%.{digits}f", c.cast("double")), F.lit("-"))
+
+
+def short_name(c: Column, most: int = 24) -> Column:
+    """A file name of more than ``most`` characters: its beginning, three dots and its ending with the extension."""
+    extension = F.regexp_extract(c, r"(\.[^.]*)$", 1)
+    head = F.substring(c, F.lit(1), F.greatest(F.lit(most) - F.length(extension) - 3, F.lit(1)))
+    return F.when(F.length(c) > most, F.concat(head, F.lit("..."), extension)).otherwise(c)

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions.vectors import TfIdf, sparse_cosine
 from ..operators import keywords, validate
 from ..operators.graph import neighbor_mean, sparse_neighbor_mean
@@ -29,6 +30,12 @@ def scaled_weights(given: Mapping[str, object] | None, default: Mapping[str, flo
     return {k: v / total for k, v in raw.items()} if total > 0 else dict(default)
 
 
+def people_weights(settings: Mapping[str, Mapping[str, float]] | None = None) -> dict[str, float]:
+    """alpha, beta and gamma of ``match_people`` from settings (``config.load``), with the defaults for what they leave out."""
+    given = {**config.DEFAULTS["people"], **((settings or {}).get("people") or {})}
+    return {k: max(0.0, float(given[k])) for k in ("alpha", "beta", "gamma")}
+
+
 def field_text(c: Column, field: str) -> Column:
     """A field's text before it becomes a vector; blank ones get a placeholder."""
     return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(PLACEHOLDERS[field]))
@@ -160,3 +167,40 @@ def match_startups(queries: DataFrame, startups: DataFrame, edges: DataFrame, k:
     wide = near.groupBy("query_id", "id").agg(*[F.max(F.when(F.col("field") == f, F.col("similarity"))).alias(f) for f in fields])
     semantic = wide.select("query_id", F.col("id").alias("entity_id"), semantic_score({f: F.col(f) for f in fields}, weights).alias("similarity"))
     return checked, rank_related_startups(asked, related(semantic), startups, edges, k=k, alpha=alpha, gamma=gamma)
+
+
+def result_rows(ranked: DataFrame, entities: DataFrame, fields: list[str], projects: DataFrame | None = None, most_projects: int = 50) -> DataFrame:
+    """Ranked results with the entity's fields, the parts of the score and, best first, up to ``most_projects`` of its ranked projects as structs."""
+    out = ranked.join(entities.select("id", *fields), "id", "left")
+    if projects is not None:
+        kept = projects.where(F.col("project_rank") <= most_projects).join(ranked.select("query_id", "id"), ["query_id", "id"], "left_semi")
+        lists = kept.groupBy("query_id", "id").agg(F.array_sort(F.collect_list(F.struct("project_rank", "project", "relevance"))).alias("projects"))
+        out = out.join(lists, ["query_id", "id"], "left").withColumn("projects", F.coalesce("projects", F.array().cast(lists.schema["projects"].dataType)))
+    return out
+
+
+def keyword_pairs(ranked: DataFrame, texts: DataFrame, weighed: DataFrame, model: TfIdf, weights: Mapping[str, float] = FIELD_WEIGHTS, top: int = 6) -> DataFrame:
+    """Keywords against the ``top`` first results of their query, by vectors.
+
+    ranked: query_id, id, rank. texts: id, field, text. weighed: query_id, keyword, weight. Rows query_id, entity_id, keyword, weight,
+    sim, literal, described, as ``keywords.matched_keywords`` and ``keywords.display_keywords`` take them."""
+    focus = ranked.where(F.col("rank") <= top).select("query_id", "id")
+    said = weighed.select("keyword").distinct()
+    kv = model.transform(said.select(F.col("keyword").alias("id"), F.col("keyword").alias("text")))
+    wanted = texts.join(focus.select("id").distinct(), "id", "left_semi").withColumn("key", F.concat_ws("/", "id", "field"))
+    near = sparse_cosine(kv, model.transform(wanted.select(F.col("key").alias("id"), "text"))).select(F.col("query_id").alias("keyword"), F.col("entity_id").alias("key"), "similarity")
+    pairs = focus.join(weighed, "query_id").join(wanted, "id").join(near, ["keyword", "key"], "left")
+    holds = F.contains(F.lower("text"), F.lower("keyword"))
+    wide = pairs.groupBy("query_id", "id", "keyword", "weight").agg(
+        *[F.max(F.when(F.col("field") == f, F.col("similarity"))).alias(f) for f in weights], F.max(holds).alias("literal"), F.coalesce(F.max(F.when(F.col("field") == "description", holds)), F.lit(False)).alias("described")
+    )
+    sim = keywords.record_similarity({f: F.col(f) for f in weights}, dict(weights), F.col("literal"))
+    return wide.select("query_id", F.col("id").alias("entity_id"), "keyword", "weight", sim.alias("sim"), "literal", "described")
+
+
+def nearest_texts(queries: DataFrame, corpus: DataFrame, model: TfIdf, most: int = 3, length: int = 100) -> DataFrame:
+    """query_id, suggestions: for queries (query_id, query) the beginnings of the ``most`` nearest texts of the corpus (id, text), best first."""
+    near = sparse_cosine(model.transform(queries.select(F.col("query_id").alias("id"), F.col("query").alias("text"))), model.transform(corpus))
+    best = top_k(near.select("query_id", F.col("entity_id").alias("id"), F.round("similarity", 9).alias("score")), most).join(corpus, "id")
+    said = F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, length).alias("t"))))
+    return best.groupBy("query_id").agg(F.transform(said, lambda x: x["t"]).alias("suggestions"))

@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import terms, text, vectors
 from .operators import evaluate, graph, keywords, maintain, profile, validate
 from .plans import match
+from .registry import ORACLE_SQL, QUERIES, query, table
 from .sources import pages
 from .streaming import updates
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _joined(c: Column, separator: str = "|") -> Column:
     return F.array_join(c, separator)
 
@@ -648,3 +629,8 @@ SELECT page_id, count(*) AS paragraphs, count(*) FILTER (WHERE regexp_matches(t,
 def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = pages.elements(table(spark, sf_dir, "pages"), "p").where(text.strip(F.col("content")) != "")
     return lines.groupBy("page_id").agg(F.count("*").alias("paragraphs"), F.count_if(text.latest_year(F.col("content")).isNotNull()).alias("dated"))
+
+
+from . import source_queries  # noqa: E402, F401  registers the queries over files
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, split_list, split_numbered, startup_id
+from ..operators.profile import number_rows
 
+# Encodings in the order they are tried, header synonyms and the columns of people.
 ENCODINGS = ("utf-8", "gb18030", "gbk", "big5", "iso-8859-1")
 SYNONYMS = {"names": "name", "research interest": "research_interests", "research interests": "research_interests", "research_interest": "research_interests"}
 # Fixed value: names of yearly files.
@@ -58,15 +63,77 @@ def decodable(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCOD
     return next((name for name in encodings if name not in bad), encodings[-1])
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """All columns as strings, headers normal, ``_row`` in file order (file, then line); quotes and line breaks as usual."""
-    encoding = encoding or decodable(spark, path)
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place))
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
+    """The first path that is there; None if none is."""
+    return next((p for p in paths if exists(spark, p)), None)
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, missing: tuple[str, ...] | None = None, replace: bool = False) -> DataFrame:
+    """All columns as strings, headers normal, ``_row`` in file order (file, then line); quotes and line breaks as usual.
+
+    missing: columns of the empty table that stands for a path that is not there (an error where it is not given).
+    replace: bytes that the encoding cannot read become replacement characters, whatever the files hold."""
+    if missing is not None and not exists(spark, path):
+        return with_rows(spark.createDataFrame([], ", ".join(f"`{c}` string" for c in missing)))
+    encoding = encoding or ("utf-8" if replace else decodable(spark, path))
     if encoding.lower() not in ("utf-8", "iso-8859-1"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark 4 reads other charsets only then
     df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
     return with_rows(normalize(df))
 
 
+def row_count(spark: SparkSession, path: str) -> int:
+    """Data rows of CSV files; 0 if they cannot be read."""
+    try:
+        return read_csv(spark, path).count()
+    except Exception:  # whatever is wrong with the file, it counts as empty
+        return 0
+
+
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of each workbook as strings, a row a row under the first file's header, ``_row`` and ``_file``; a task reads a file."""
+    cells = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_sheet_rows, "_file string, at long, cells array<string>")
+    first = cells.where("at = 0").orderBy("_file").first()
+    names = [c or f"column {i}" for i, c in enumerate(first.cells)] if first else []
+    wide = cells.where("at > 0").select("_file", "at", *[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
+    return normalize(wide).withColumnRenamed("at", "_row") if names else with_rows(wide.drop("at"))
+
+
+_CELL = re.compile(r"([A-Z]+)\d+")
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _sheet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows = list(_cells(content))
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["_file", "at", "cells"])
+
+
+def _cells(content: bytes) -> Iterator[list[str]]:
+    """Rows of the first sheet of a workbook: shared and inline strings, numbers as they are written."""
+    text = lambda e: "".join(t.text or "" for t in e.iter(f"{_MAIN}t"))
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        names = book.namelist()
+        shared = [text(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")] if "xl/sharedStrings.xml" in names else []
+        sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: (len(n), n))
+        for row in ElementTree.fromstring(book.read(sheet)).iter(f"{_MAIN}row"):
+            out: list[str] = []
+            for c in row.iter(f"{_MAIN}c"):
+                m = _CELL.match(c.get("r", ""))
+                at = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(m[1]))) - 1 if m else len(out)
+                value = c.find(f"{_MAIN}v")
+                said = "" if value is None else value.text or ""
+                out += [""] * (at - len(out))
+                out.append(shared[int(said)] if c.get("t") == "s" else text(c) if c.get("t") == "inlineStr" else said)
+            yield out
+
+
 def with_rows(df: DataFrame) -> DataFrame:
     """``_row``: increasing in the order that the files are read; taken at the scan, before any shuffle."""
     return df.withColumn("_row", F.monotonically_increasing_id())
@@ -76,22 +143,46 @@ def files(spark: SparkSession, folder: str, pattern: str = FILE_NAME, recursive:
     """path, source (upper case), year, modified of the files whose name fits; sorted by source, year (-1 without), path.
 
     A pattern that cannot be compiled is replaced by the default; named groups are written as in Python."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder).select("path", F.col("modificationTime").alias("modified"))
+    return named_files(listing, pattern, default)
+
+
+def named_files(listing: DataFrame, pattern: str = FILE_NAME, default: str = FILE_NAME) -> DataFrame:
+    """The same for a listing (path, modified)."""
     try:
         re.compile(pattern)
     except re.error:
         pattern = default
     java = "(?i)" + pattern.replace("(?P<", "(?<")
     groups = re.compile(pattern).groupindex
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder).select("path", F.col("modificationTime").alias("modified"))
     name = F.element_at(F.split("path", "/"), -1)
     part = lambda g: F.nullif(F.regexp_extract(name, java, groups[g]), F.lit("")) if g in groups else F.lit(None).cast("string")
     found = listing.where(name.rlike(java)).select("path", F.upper(part("source")).alias("source"), part("year").cast("int").alias("year"), "modified")
     return found.orderBy(F.col("source"), F.coalesce("year", F.lit(-1)), F.lower("path"))
 
 
-def latest(listing: DataFrame) -> DataFrame:
-    """The path changed last; of equal times the largest path."""
-    return listing.agg(F.max_by("path", F.struct("modified", "path")).alias("path"))
+def latest(listing: DataFrame, by: str = "modified") -> DataFrame:
+    """The path changed last, of equal times the largest; or, by ``path``, the largest path."""
+    order = F.struct("modified", "path") if by == "modified" else F.struct("path")
+    return listing.agg(F.max_by("path", order).alias("path"))
+
+
+def enabled_sources(sources: DataFrame, fallback: str | None = None) -> DataFrame:
+    """sources: path, source_id, enabled (null counts as enabled). Those that are enabled; without any the fallback path alone."""
+    kept = sources.where(F.coalesce("enabled", F.lit(True))).select("path", "source_id")
+    if fallback is None:
+        return kept
+    one = sources.sparkSession.createDataFrame([(fallback, None)], "path string, source_id string")
+    return kept.unionByName(one.join(kept.select(F.lit(True).alias("any")).limit(1), how="left_anti"))
+
+
+def union_sources(tables: dict[str, DataFrame], columns: dict[str, str]) -> DataFrame:
+    """Technology projects of several sources, in the order given (``_row`` goes on from source to source)."""
+    out = None
+    for k, (source, df) in enumerate(tables.items()):
+        mine = deeptech(df, columns, source).withColumn("_row", F.col("_row") + F.lit(k << 50))
+        out = mine if out is None else out.unionByName(mine)
+    return out
 
 
 def merge_sources(discovered: DataFrame, configured: DataFrame) -> DataFrame:
@@ -119,8 +210,7 @@ def startups(df: DataFrame, columns: dict[str, str], file: str) -> DataFrame:
     lookup = {header(c): c for c in df.columns}
     col = lambda key: clean_text(F.col(f"`{lookup[header(columns.get(key, key))]}`")) if header(columns.get(key, key)) in lookup else F.lit("")
     year = re.search(r"(\d{4})", file)
-    row = F.row_number().over(Window.partitionBy(F.lit(file)).orderBy("_row"))
-    named = df.withColumn("raw_row_index", row) if "raw_row_index" not in df.columns else df
+    named = number_rows(df, "raw_row_index") if "raw_row_index" not in df.columns else df
     year_col: Column = F.lit(int(year[1]) if year else None).cast("int")
     return named.select(
         startup_id(col("company_name"), year_col, F.col("raw_row_index")).alias("startup_id"), year_col.alias("source_year"), F.lit(file).alias("source_file"), col("company_name").alias("company_name"),
