@@ -109,8 +109,12 @@ def title_class(c: Column) -> Column:
     return F.when(t.contains("assistant"), "assistant").when(t.contains("lecturer"), "lecturer").when(t.contains("associate"), "associate").otherwise("professor")
 
 
+#: Years in a text (fixed format).
+YEAR = r"\b(19\d{2}|20\d{2})\b"
+
+
 def latest_year(c: Column) -> Column:
-    return F.array_max(F.transform(F.regexp_extract_all(c, F.lit(r"\b(19\d{2}|20\d{2})\b"), F.lit(1)), lambda y: y.cast("int")))
+    return F.array_max(F.transform(F.regexp_extract_all(c, F.lit(YEAR), F.lit(1)), lambda y: y.cast("int")))
 
 
 def valid_keyword(c: Column, stop: list[str]) -> Column:
@@ -181,15 +185,14 @@ def truncate(c: Column, most: int) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 3), F.lit("..."))).otherwise(c)
 
 
-#: ``[n/m]`` in a log line, with two groups.
+#: ``[n/m]`` in a log line, with two groups (fixed format).
 MARKER = r"\[\s*(\d{1,9})\s*/\s*(\d{1,9})\s*\]"
-_MARK = r"\[\s*\d+\s*/\s*\d+\s*\]\s*"
 #: Shapes of log lines that name a person (fixed formats), in order of precedence.
 NAMED = (
-    rf"{_MARK}Scraping:\s*(.+)$",
-    rf"{_MARK}Processing\s+(?:publication|project):\s*(.+)$",
-    rf"^\s*(?:{_MARK})?([^:]{{2,120}}):\s+\d+\s+publications\b",
-    rf"^\s*(?:{_MARK})?([^:]{{2,120}}):\s+\d+\s+leading projects\b",
+    r"\[\s*\d+\s*/\s*\d+\s*\]\s*Scraping:\s*(.+)$",
+    r"\[\s*\d+\s*/\s*\d+\s*\]\s*Processing\s+(?:publication|project):\s*(.+)$",
+    r"^\s*(?:\[\s*\d+\s*/\s*\d+\s*\]\s*)?([^:]{2,120}):\s+\d+\s+publications\b",
+    r"^\s*(?:\[\s*\d+\s*/\s*\d+\s*\]\s*)?([^:]{2,120}):\s+\d+\s+leading projects\b",
     r"Processing\s*:\s*([a-zA-Z][a-zA-Z\s.\-']{1,120})",
 )
 

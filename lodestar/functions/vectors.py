@@ -45,8 +45,11 @@ class TfIdf:
     def transform(self, texts: DataFrame, stop: list[str] = STOPWORDS) -> DataFrame:
         """(id, term, weight); terms outside the vocabulary do not count."""
         raw = self.counts(texts, stop).join(self.idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-        norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return raw.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+        # The terms of one text, which is as long as it is: the norm needs no second look at the texts and no join.
+        listed = raw.groupBy("id").agg(F.collect_list(F.struct("term", "w")).alias("x"))
+        norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+        told = listed.withColumn("norm", norm).select("id", "norm", F.inline("x"))
+        return told.select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def sparse_cosine(queries: DataFrame, corpus: DataFrame) -> DataFrame:

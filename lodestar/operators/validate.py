@@ -15,9 +15,9 @@ from ..functions.vectors import TfIdf, sparse_cosine
 
 INVALID, WEAK, UNCLEAR, VALID = "invalid", "weak_relevance", "needs_clarification", "valid"
 _HINTS = {
-    INVALID: ["Describe the technology or research area you are interested in", "Example: 'machine learning for medical imaging'"],
-    WEAK: ["Emphasise the technical side of your query", "The experts here work in engineering and technology"],
-    UNCLEAR: ["Add specific technologies or methods", "Mention the application domain"],
+    INVALID: ["Name a technology or a field of research", "For instance: sensors that find leaks in water pipes"],
+    WEAK: ["Say what is technical about the task", "People and companies here do engineering"],
+    UNCLEAR: ["Add a method or a material", "Add what it is to be used for"],
     VALID: [],
 }
 
