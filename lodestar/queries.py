@@ -186,7 +186,7 @@ def _jac(a: str, b: str) -> str:
 
 
 #: Families of a person's tokens: those of a text by their length.
-_FAMILIES = {"interests": (1, 4), "projects": (5, 6), "papers": (7, 8), "deeptech": (9, 99)}
+_FAMILIES = {"deeptech": (1, 3), "papers": (4, 5), "interests": (6, 7), "projects": (8, 99)}
 
 
 @query(f"""WITH t AS (SELECT item_id AS id, list_sort({_TOKEN_SET.format(t='text')}) AS tokens FROM benchmark), k AS (SELECT min(id) AS id, tokens FROM t GROUP BY tokens),
