@@ -18,8 +18,10 @@ at once.  Chunks are combined per digest before the shuffle, and the join back i
 an equi-join whose skewed side Spark splits, so a passage in a third of all
 documents stays spread.
 
-Runs are built per row: each row gets a key of its own, which is written once with
-its chunks.  The doc_id only says which document keeps a passage.
+Runs are built per text: a row's key is its doc_id and a hash of its text, so that the
+texts need no copy with numbers to find their spans again.  Rows with one key are
+equal and have the same spans; how many there are is counted.  The doc_id alone says
+which document keeps a passage.
 
 Defined results: null and empty texts have no chunks; repeats inside one document
 (or between rows of one id) are left alone; each row of a repeated id has its own
@@ -114,23 +116,29 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parts, rows = [], 0
 
 
-def _passages(docs: DataFrame, row: Column, min_words: int) -> DataFrame:
-    """row, doc, first_word, n_words, first_doc_id. row: a key of each row, evaluated once."""
-    keyed = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
+def _key() -> tuple[Column, Column]:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc")
+
+
+def _passages(docs: DataFrame, min_words: int) -> DataFrame:
+    """row, doc, first_word, n_words, first_doc_id, rows (how many equal rows have it)."""
+    keyed = docs.select("doc_id", "text").select(*_key(), "text")
     rows = materialize(keyed.mapInArrow(_chunk_rows, "digest long, row long, doc long, at int, n int"), "chunks")
     shared = rows.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("latest")).where("first < latest").select("digest", "first")
-    later = rows.join(shared, "digest").where("doc > first").select("row", "doc", "at", "n", "first")
-    along = Window.partitionBy("row").orderBy("at")
+    # Equal rows have equal chunks: they are combined before the shuffle.
+    later = rows.join(shared, "digest").where("doc > first").groupBy("row", "doc", "at", "n").agg(F.min("first").alias("first"), F.count("*").alias("rows"))
+    along = Window.partitionBy("row", "doc").orderBy("at")
     gap = F.col("at") != F.lag(F.col("at") + F.col("n"), 1, -1).over(along)
     runs = later.withColumn("run", F.sum(gap.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    passages = runs.groupBy("row", "run").agg(F.min("doc").alias("doc"), F.min("at").alias("first_word"), F.sum("n").cast("int").alias("n_words"), F.min("first").alias("first_doc_id"))
+    passages = runs.groupBy("row", "doc", "run").agg(F.min("at").alias("first_word"), F.sum("n").cast("int").alias("n_words"), F.min("first").alias("first_doc_id"), F.min("rows").alias("rows"))
     return passages.where(F.col("n_words") >= min_words)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, first_word, n_words of passages that an earlier document has, row by row; first_doc_id: that document."""
-    passages = _passages(docs, F.monotonically_increasing_id(), min_words)
-    return passages.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "first_word", "n_words", "first_doc_id")
+    passages = _passages(docs, min_words)
+    each = passages.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return each.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "first_word", "n_words", "first_doc_id")
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -139,7 +147,7 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
     space = np.concatenate(([True], _SPACES[np.frombuffer(raw, np.uint8)], [True]))
     starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
     kept, at = [], 0
-    for first, count in sorted(spans):
+    for first, count in sorted(x for x in spans if x[0] + x[1] <= len(starts)):
         kept.append(raw[at : starts[first]])
         at = int(ends[first + count - 1])
         while at < len(raw) and _SPACES[raw[at]]:
@@ -152,10 +160,11 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with repeated passages cut out (n_chars follows the text); documents of which nothing is left go.
 
     All columns are kept.  Documents without a passage stay as they are, whatever their text."""
-    row, found, was_cut = (unused(docs.columns, name) for name in ("__row", "__spans", "__cut"))
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    spans = _passages(numbered, F.col(row), min_words).groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("first_word", "n_words")).alias(found))
-    joined = numbered.join(spans, row, "left").select(*docs.columns, found)
+    row, doc, found, was_cut = (unused(docs.columns, name) for name in ("__row", "__doc", "__spans", "__cut"))
+    passages = _passages(docs, min_words)
+    spans = passages.groupBy(F.col("row").alias(row), F.col("doc").alias(doc)).agg(F.collect_list(F.struct("first_word", "n_words")).alias(found))
+    keys = [k.alias(name) for k, name in zip(_key(), (row, doc), strict=True)]
+    joined = docs.select(*docs.columns, *keys).join(spans, [row, doc], "left").select(*docs.columns, found)
     names = docs.columns
     place = names.index("text")
 
