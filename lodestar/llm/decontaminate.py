@@ -257,11 +257,11 @@ def _hits(docs: DataFrame, seeds: DataFrame, count: int) -> DataFrame:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows: row, doc_id, text, laid (a list of item, words, diagonal). The overlaps that are long enough."""
+    """Rows: row, doc_id, text_hash, text, laid (a list of item, words, diagonal). The overlaps that are long enough."""
     with np.errstate(over="ignore"):
         for batch in batches:
             found = []
-            for k, (text, laid) in enumerate(zip(batch.column(2).cast(pa.binary()), batch.column(3), strict=True)):
+            for k, (text, laid) in enumerate(zip(batch.column(3).cast(pa.binary()), batch.column(4), strict=True)):
                 words = word_hashes(text.as_py() or b"")
                 for x in laid:
                     told = overlap(words, np.frombuffer(x["words"].as_py(), np.uint64), x["diagonal"].as_py())
@@ -269,7 +269,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         found.append((k, x["item"].as_py(), *told))
             columns = list(zip(*found, strict=True)) if found else [()] * 5
             rows, *rest = (pa.array(c, pa.int64()) for c in columns)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *rest], names=["row", "doc_id", "item", "first_word", "n_words", "equal_words"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(3)), *rest], names=["row", "doc_id", "text_hash", "item", "first_word", "n_words", "equal_words"])
 
 
 def _tables(benchmark: DataFrame, min_item: int) -> tuple[DataFrame, DataFrame]:
@@ -313,14 +313,14 @@ def _overlaps(docs: DataFrame, items: DataFrame, seeds: DataFrame) -> DataFrame:
     keys = bounded_broadcast(sizes.select("d", "t"), sizes.count(), FOUND_ROWS)
     again = docs.select(F.monotonically_increasing_id().alias("row"), *_key(), "text").join(keys, _same("d", "t"), "left_semi")
     return materialize(
-        again.join(laid, _same("d", "t")).select("row", "doc_id", "text", "laid").mapInArrow(_verified, "row long, doc_id long, item long, first_word long, n_words long, equal_words long"), "overlaps"
+        again.join(laid, _same("d", "t")).select("row", "doc_id", "text_hash", "text", "laid").mapInArrow(_verified, "row long, doc_id long, text_hash long, item long, first_word long, n_words long, equal_words long"), "overlaps"
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_item: int = 1) -> DataFrame:
     """The documents, all columns, without those that overlap with an item; they are not shuffled while the found ones are few."""
     items, seeds = _tables(benchmark, min_item)
-    row = unused(docs.columns, "__row")
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = _overlaps(numbered.select(F.col(row).alias("doc_id"), "text"), items, seeds).select(F.col("doc_id").alias(row)).distinct()
-    return numbered.join(bounded_broadcast(found, found.count(), FOUND_ROWS), row, "left_anti").select(*docs.columns)
+    d, t = (unused(docs.columns, name) for name in ("__doc", "__text"))
+    found = _overlaps(docs, items, seeds).select(F.col("doc_id").alias(d), F.col("text_hash").alias(t)).distinct()
+    found = bounded_broadcast(found, found.count(), FOUND_ROWS)
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found[d]) & (F.xxhash64(docs["text"]) == found[t]), "left_anti").select(*docs.columns)
