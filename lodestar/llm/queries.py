@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, html_extract, langid, license_scan, mixing, simhash, syncmer, url_filter, warc
+from . import centroids, chunk_dedup, decontaminate, html_extract, langid, license_scan, line_frequency, mixing, resample, simhash, syncmer, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.judge(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 _ALL = (
     op1_benchmark_decontamination,
     op2_url_filter,
@@ -64,6 +76,16 @@ _ALL = (
     op8_warc_bundles,
     op9_syncmer_fingerprints,
     op10_html_main_text,
+    op11_line_quality,
+    op12_centroid_clusters,
+    op13_importance_resample,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL = {"op8_warc_bundles": warc.SQL, "op4_mix_sources": mixing.SQL, "op6_license_scan": license_scan.SQL}
+ORACLE_SQL = {
+    "op8_warc_bundles": warc.SQL,
+    "op4_mix_sources": mixing.SQL,
+    "op6_license_scan": license_scan.SQL,
+    "op11_line_quality": line_frequency.SQL,
+    "op12_centroid_clusters": centroids.SQL,
+    "op13_importance_resample": resample.SQL,
+}
