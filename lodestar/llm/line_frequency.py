@@ -28,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,9 +117,8 @@ def _measured(texts: list[str]) -> list[pa.Array]:
 
 
 def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    sizes = batch.column(text).to_pandas().str.len().fillna(0).astype(int)
     start = chars = 0
-    for i, n in enumerate(sizes):
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()):
         if i > start and (i - start >= BATCH_TEXTS or chars + n > BATCH_CHARS):
             yield batch.slice(start, i - start)
             start, chars = i, 0
@@ -191,7 +191,8 @@ def clean(docs: DataFrame, host: str = "source") -> DataFrame:
     lines = held.groupBy("row").agg(F.collect_list("line").alias(cut))
     told = _judged(measured, held).where("kept").select(F.col("row").alias(row)).join(lines.withColumnRenamed("row", row), row, "left")
     joined = numbered.join(told, row).select(*[F.col(f"`{c}`") for c in docs.columns], cut)
-    place = [c.lower() for c in docs.columns].index("text")
+    names = docs.columns
+    place = [c.lower() for c in names].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,7 +202,7 @@ def clean(docs: DataFrame, host: str = "source") -> DataFrame:
             ]
             columns = [*batch.columns[:-1]]
             columns[place] = pa.array(texts, columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(run, docs.schema)
 
