@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from functools import reduce
 
@@ -14,6 +15,7 @@ from pyspark.sql.types import StringType
 SPACE = r"(?U)\s+"
 # Invisible characters that names lose, and letters that are spelt out.
 INVISIBLE = r"[\x{200b}-\x{200f}\x{2028}-\x{202f}\x{2060}\x{feff}\x{00ad}]"
+_INVISIBLE = re.compile("[\u200b-\u200f\u2028-\u202f\u2060\ufeff\u00ad]")
 SPELT_OUT = {"ä": "ae", "ö": "oe", "ü": "ue", "Ä": "AE", "Ö": "OE", "Ü": "UE", "ß": "ss"}
 
 
@@ -35,23 +37,42 @@ def weak_key(c: Column) -> Column:
     return F.lower(clean_whitespace(c))
 
 
+def _letters() -> tuple[dict[str, str], str]:
+    """Letters up to Latin Extended-B that lose their accents to one ASCII letter, and those (with dashes and quotation marks) that have none to lose."""
+    bare = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in (*range(0xA1, 0x250), *range(0x2010, 0x2028))}
+    plain = {k: "".join(ch for ch in v if unicodedata.category(ch) != "Mn") for k, v in bare.items()}
+    return {k: v for k, v in plain.items() if len(v) == 1 and v.isascii() and v.isalpha()}, "".join(k for k, v in bare.items() if k == v and k not in SPELT_OUT and k != "\u00ad")
+
+
+_BARE, _SAME = _letters()
+#: Texts that the built-in functions bring into plain letters: no reference, no letter but these.
+_BUILT_IN = r"^[\x00-\x25\x27-\x7F" + "".join(rf"\x{{{ord(c):x}}}" for c in (*_BARE, *_SAME, *SPELT_OUT)) + "]*$"
+
+
+def _plain(name: str) -> str:
+    """References decoded, invisible characters gone, umlauts spelt out, accents gone."""
+    seen = _INVISIBLE.sub("", html.unescape(name))
+    for letter, spelt in SPELT_OUT.items():
+        seen = seen.replace(letter, spelt)
+    return "".join(ch for ch in unicodedata.normalize("NFKD", seen) if unicodedata.category(ch) != "Mn")
+
+
 @F.pandas_udf(StringType())
 def _decompose(names: pd.Series) -> pd.Series:
-    def one(name: str | None) -> str | None:
-        if name is None or name.isascii() and "&" not in name:
-            return name
-        for letter, spelt in SPELT_OUT.items():
-            name = html.unescape(name).replace(letter, spelt)
-        return "".join(ch for ch in unicodedata.normalize("NFKD", name) if unicodedata.category(ch) != "Mn")
-
-    return names.map(one, na_action="ignore")
+    return names.map(_plain, na_action="ignore")
 
 
 def strong_key(c: Column) -> Column:
-    """References decoded, invisible characters and accents gone, umlauts spelt out, lower case, single blanks."""
-    seen = F.regexp_replace(F.coalesce(c, F.lit("")), INVISIBLE, "")
-    plain = seen.rlike(r"^[\x00-\x25\x27-\x7F]*$")
-    return F.lower(clean_whitespace(F.regexp_replace(F.when(plain, seen).otherwise(_decompose(F.when(~plain, seen))), INVISIBLE, "")))
+    """References decoded once, invisible characters and accents gone, umlauts spelt out, lower case, single blanks.
+
+    Python sees only texts with a reference or with letters that the built-in functions do not know."""
+    given = F.coalesce(c, F.lit(""))
+    spelt = F.regexp_replace(given, INVISIBLE, "")
+    for letter, letters in SPELT_OUT.items():
+        spelt = F.replace(spelt, F.lit(letter), F.lit(letters))
+    spelt = F.translate(spelt, "".join(_BARE), "".join(_BARE.values()))
+    simple = F.regexp_replace(given, INVISIBLE, "").rlike(_BUILT_IN)
+    return F.lower(clean_whitespace(F.when(simple, spelt).otherwise(_decompose(F.when(~simple, given)))))
 
 
 def ascii_only(c: Column) -> Column:
@@ -59,8 +80,8 @@ def ascii_only(c: Column) -> Column:
 
 
 def clean_quoted(c: Column) -> Column:
-    """ASCII, single blanks, no quotes at the ends (project names and funding)."""
-    return strip(F.regexp_replace(F.regexp_replace(clean_whitespace(ascii_only(c)), r"""^["']+""", ""), r"""["']+$""", ""))
+    """ASCII, single blanks, no quotes in front and no double ones at the end (project names and funding)."""
+    return F.regexp_replace(F.regexp_replace(clean_whitespace(ascii_only(c)), r"""^["']+""", ""), r'''["]+$''', "")
 
 
 def token_set(c: Column) -> Column:

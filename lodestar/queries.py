@@ -9,7 +9,6 @@ from .functions import terms, text, vectors
 from .operators import evaluate, graph, keywords, maintain, profile, validate
 from .plans import match
 from .registry import ORACLE_SQL, QUERIES, query, table
-from .sources import pages
 from .streaming import updates
 
 def _joined(c: Column, separator: str = "|") -> Column:
@@ -612,25 +611,6 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates.event_windows(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
-# Stored pages ---------------------------------------------------------------------------------------------------------
-
-
-@query(r"""
-WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS name, generate_subscripts(regexp_extract_all(html, '<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1), 1) AS pos FROM pages)
-SELECT page_id, name, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://site.example/' || ltrim(href, '/') END AS url FROM a WHERE trim(name) <> '' QUALIFY row_number() OVER (PARTITION BY page_id, name ORDER BY pos DESC) = 1
-""")
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names and urls of a page's cards: relative urls get the base, of equal names the last counts."""
-    return pages.name_urls(table(spark, sf_dir, "pages"), "https://site.example/").select("page_id", "name", "url")
-
-
-@query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<p>([^<]*)', 1)) AS t FROM pages)
-SELECT page_id, count(*) AS paragraphs, count(*) FILTER (WHERE regexp_matches(t, '\b(19|20)\d{2}\b')) AS dated FROM l WHERE trim(t, E' \t\n\r') <> '' GROUP BY 1""")
-def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = pages.elements(table(spark, sf_dir, "pages"), "p").where(text.strip(F.col("content")) != "")
-    return lines.groupBy("page_id").agg(F.count("*").alias("paragraphs"), F.count_if(text.latest_year(F.col("content")).isNotNull()).alias("dated"))
-
-
 from . import source_queries  # noqa: E402, F401  registers the queries over files
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import stored
 from .functions import terms, text, vectors
 from .operators import keywords, profile
 from .plans import match, update
 from .queries import _CANDIDATES, _PAIRS, _RELEVANCE, _asked, _in, _texts
 from .registry import query, table
-from .sources import ingest, pages
+from .sources import ingest, markup, pages
 from .streaming import updates
 
 
@@ -96,28 +97,106 @@ def clean_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.clean_people(raw).select(F.col("_row").alias("r"), "name", "department", "title", "is_engineering", years.alias("years"))
 
 
-@query("""SELECT c_custkey AS page_id, 'Department of ' || c_mktsegment AS department, 'Associate Professor' AS title, 'Person ' || c_custkey AS name, 'lasers; ' || lower(c_mktsegment) || ' dots' AS interests,
- CASE WHEN c_custkey % 2 = 0 THEN 'http://home/' || c_custkey ELSE '/own' END AS web, 'Solar cell ' || c_custkey AS project, 'RGC' AS funding, 'A|B' AS papers FROM customer""")
-def profile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts from stored profile pages: lines by rules, interests, the personal page, leading projects, recent publications."""
-    c = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey").cast("string"))
-    lines = F.concat(F.lit("Home\nDepartment of "), "c_mktsegment", F.lit("\nAssociate Professor\nPhD, Some University\nPerson "), "k", F.lit("\nResearch Interests\nlasers\nLASERS\nox\n"), F.lower("c_mktsegment"), F.lit(" dots\nPublications\nold paper"))
-    home = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('<a href="http://home/'), "k", F.lit('"><i class="fa fa-home"></i></a>'))).otherwise(F.lit('<a href="/own">My personal  web</a>'))
-    html = F.concat(home, F.lit('<li data-proj="leading"><span>"Solar cell '), "k", F.lit('"</span><span class="text-info">RGC</span></li><li data-proj="leading" style="display: none"><span>x</span></li>'))
-    texts, web = c.select(F.col("c_custkey").alias("page_id"), lines.alias("text")), c.select(F.col("c_custkey").alias("page_id"), html.alias("html"))
-    blocks = c.select(F.col("c_custkey").alias("page_id"), F.inline(F.expr("array(struct(0 AS pos, '2019 - 2021' AS heading, array('A', 'a', ' B ') AS titles), struct(1 AS pos, '2018' AS heading, array('C') AS titles))")))
-    recent = pages.publications(blocks).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "i", "title"))), lambda x: x["title"]), "|").alias("papers"))
-    told = pages.profile(texts).join(pages.interests(texts), "page_id").join(pages.personal_web(web).withColumnRenamed("url", "web"), "page_id").join(pages.leading_projects(web).drop("pos"), "page_id")
-    return told.join(recent, "page_id")
-
-
-@query("""SELECT c_custkey AS at, 'Name ' || c_custkey AS name FROM customer WHERE c_custkey % 10 <> 3 OR c_custkey < 10""")
+# Stored pages ---------------------------------------------------------------------------------------------------------
+
+
+_LINKS = {"card": "nav li", "card link": "nav li > a[href]"}
+_KEY = "strip_accents(lower(replace(replace(replace(replace(trim(name), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')))"
+
+
+@query(rf"""
+WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS name, generate_subscripts(regexp_extract_all(html, '<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1), 1) AS pos FROM pages)
+SELECT page_id, trim(name) AS name, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://site.example' || href END AS url FROM a WHERE trim(name) <> ''
+QUALIFY row_number() OVER (PARTITION BY page_id, {_KEY} ORDER BY pos DESC) = 1
+""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and urls of the entries of a page's menu: relative urls get the base, of names with one key the last counts."""
+    return pages.name_urls(markup.read(table(spark, sf_dir, "pages"), _LINKS), "https://site.example").select("page_id", "name", "url")
+
+
+@query(r"""
+WITH p AS (SELECT page_id, unnest(string_split(html, '<p>')[2:]) AS part FROM pages),
+t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(part, '^(.*?)(?:</p>|</article>|<footer|<h1|<div|<ul|$)', 1, 's'), '<[^>]*(>|$)', ' ', 'g'), '&[a-z]*;?', ' ', 'g') AS t FROM p)
+SELECT page_id, count(*) AS paragraphs, count(*) FILTER (WHERE regexp_matches(t, '\b(19|20)\d{2}\b')) AS dated, sum(len(regexp_extract_all(t, '[^\s]+')))::BIGINT AS words FROM t WHERE trim(t, E' \t\n\r') <> '' GROUP BY 1""")
+def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of pages, closed or not, with text of their own; those that name a year; their words (a reference counts as a blank)."""
+    given = table(spark, sf_dir, "pages").withColumn("html", F.regexp_replace("html", "&[a-z]*;?", " "))
+    lines = pages.elements(given, "p").where(text.strip(F.col("text")) != "")
+    words = F.size(F.split(text.clean_whitespace(F.col("text")), " "))
+    return lines.groupBy("page_id").agg(F.count("*").alias("paragraphs"), F.count_if(text.latest_year(F.col("text")).isNotNull()).alias("dated"), F.sum(words).alias("words"))
+
+
+@query(rf"""
+WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1)) AS name, generate_subscripts(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1), 1) AS pos FROM pages)
+SELECT page_id AS at, trim(name) AS name FROM a WHERE trim(name) <> '' QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY page_id, pos) = 1""")
 def site_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names on a page's cards in order, the first of each key (case, blanks and special blanks ignored)."""
-    key = F.col("c_custkey")
-    name = F.when((key % 10 == 3) & (key >= 10), F.lit("NAME 3")).otherwise(F.concat(F.lit("Name\u00a0 "), key.cast("string")))
-    cards = table(spark, sf_dir, "customer").select(key.alias("page_id"), F.lit(0).alias("pos"), name.alias("name"))
-    return pages.site_names(cards).select(F.col("at.page_id").alias("at"), "name")
+    """Names of all menus in page order, the first of each key (case, accents and special blanks ignored)."""
+    found = markup.read(table(spark, sf_dir, "pages"), _LINKS)
+    return pages.site_names(pages.cards(found)).select(F.col("at.page_id").alias("at"), "name")
+
+
+_LINES = (
+    "Chair Professor, Institute for Advanced Study", "Global Search", "Wei CHAN", "Division of Life Science", "Director, Example Centre", "Contact Lee", "A", "x", "PhD in Physics", "School of  Law, Dean", "陈 Professor", "Research Interest", "Lasers",
+    "lasers", "ox", "Awards and Honours", "My Research Interest list", "Office of Institutional Research", "Department office", "(852) 2", "a@b.edu", "Professorial ties", "PUBLICATIONS 2020", "A research interest with very many words", "Lecturer at University",
+)
+_DEPARTMENT, _RANK, _DEGREE = r"^(Department|Division|School)\s+of\b", r"\b(Professor|Lecturer|Instructor|Director|Dean)\b", r"\b(PhD|Ph[.]D|M[.]S|M[.]Phil|B[.]S|B[.]Eng|University|Institute)\b"
+
+
+def _says(pattern: str, line: str = "e.l") -> str:
+    return f"regexp_matches({line}, '{pattern}', 'i')"
+
+
+def _state(name: str = "s.name", department: str = "s.department", title: str = "s.title", line: str = "''") -> str:
+    return f"{{'name': {name}, 'department': {department}, 'title': {title}, 'l': {line}}}"
+
+
+@query(rf"""
+WITH g AS (SELECT p_partkey // 7 AS page_id, list(CASE WHEN p_size % 5 = 0 THEN p_name ELSE [{", ".join(f"'{' '.join(x.split())}'" for x in _LINES)}][(p_partkey * 31 + p_size) % {len(_LINES)} + 1] END ORDER BY p_partkey) AS x FROM part GROUP BY 1),
+k AS (SELECT page_id, list_filter(x, lambda l: length(l) > 1 AND NOT {_says('^(A|Global Search|Research Interest|Publications|Projects|Teaching|RPG Supervision|Privacy Policy|Copyright|Office of Institutional|Google Scholar|ORCID|Scopus|[(][0-9]{3}[)]\\s*[0-9]|Room\\s+[0-9]|.*@.*[.].*|Personal Web|View Profile)$', 'l')} AND NOT regexp_matches(l, '[一-鿿㐀-䶿]')) AS x FROM g),
+f AS (SELECT page_id, list_reduce(list_prepend({_state("''", "''", "''")}, list_transform(x, lambda l: {_state("''", "''", "''", 'l')})), lambda s, e: CASE
+  WHEN {_says(_DEPARTMENT)} AND s.department = '' THEN {_state(department='e.l')}
+  WHEN {_says(_RANK)} AND s.title = '' AND NOT {_says(_DEPARTMENT)} THEN {_state(title='e.l')}
+  WHEN s.name = '' AND NOT {_says(_DEPARTMENT)} AND NOT {_says(_DEGREE)} THEN {_state(name='e.l')}
+  ELSE {_state()} END) AS s FROM k),
+h AS (SELECT page_id, x, coalesce(list_max(list_filter(range(1, len(x) + 1), lambda i: lower(x[i]) = 'research interest')), list_max(list_filter(range(1, len(x) + 1), lambda i: contains(lower(x[i]), 'research interest') AND length(x[i]) < 30))) AS b FROM g),
+e AS (SELECT *, list_min(list_filter(range(b + 1, len(x) + 1), lambda i: {_says('^(Publications|Projects|Teaching|RPG Supervision|Privacy Policy|Copyright|Office of Institutional|Awards|Qualifications|Work Experience|Professional Activity|Courses Taught|Education)', 'x[i]')})) AS e FROM h WHERE b IS NOT NULL),
+i AS (SELECT page_id, list_filter(x[b + 1:coalesce(e - 1, len(x))], lambda l: length(l) >= 3) AS x FROM e),
+o AS (SELECT page_id, list_reduce(list_prepend('', x), lambda s, l: CASE WHEN contains('; ' || lower(s) || '; ', '; ' || lower(l) || '; ') THEN s WHEN s = '' THEN l ELSE s || '; ' || l END) AS interests FROM i)
+SELECT g.page_id, coalesce(s.name, '') AS name, coalesce(s.department, '') AS department, coalesce(s.title, '') AS title, coalesce(interests, '') AS interests FROM g LEFT JOIN f USING (page_id) LEFT JOIN o USING (page_id)""")
+def profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules for the lines of a profile, against the same rules as a loop over lines: names of parts among lines that are easily mistaken."""
+    part = table(spark, sf_dir, "part")
+    some = F.element_at(F.array(*[F.lit(x) for x in _LINES]), ((F.col("p_partkey") * 31 + F.col("p_size")) % len(_LINES) + 1).cast("int"))
+    rows = part.select(F.expr("p_partkey div 7").alias("page_id"), "p_partkey", F.when(F.col("p_size") % 5 == 0, F.col("p_name")).otherwise(some).alias("line"))
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"])
+    texts = rows.groupBy("page_id").agg(F.array_join(lists, " \n\t").alias("text"))
+    told = texts.select("page_id").join(pages.profile(texts), "page_id", "left").join(pages.interests(texts), "page_id", "left")
+    return told.select("page_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("name", "department", "title", "interests")])
+
+
+#: A profile page with what real pages have: quotes of both kinds and none, ends left out, nested tags, comments, a hidden item, references.
+_PROFILE = """<!doctype html><html><head><title>Professor Nobody</title><script>if (a < b) document.write("<h1>Dean</h1>")</script></head><body>
+<header><a href=/>Global  Search</a></header><h2>Wei <b>PERSON</b> {k}</h2><div>Department of<br>(852) 2</div><div class='dept'>Department of {segment}</div><p>Chair Professor, Institute for Advanced Study<p>PhD, Some University
+<div class="card contact"><ul class="list fa-ul"><li><i class="fas fa-phone"></i> <a href="tel:1">(852) 2</a><li><span class='fa-li'><i class="fas fa-{icon}"></i></span><a title='x > y' href='{web}'>{said}</a></ul></div>
+<h3>Research Interest</h3><ul><li>lasers<li>LASERS<li>ox</li><li>R&amp;D of <em>{segment}</em> dots</ul><h3>Awards and Honours</h3><p>none</p>
+<div class="pubBlock"><h5>2019 &ndash; 2021</h5><blockquote><a href=1>Paper   {k}</a>, <a href='2'>Second <i>paper</i></a><a name=x>no link</a></blockquote><blockquote><a href=3>Paper {k}</a></blockquote></div>
+<!-- <div class="pubBlock"><h5>2024</h5><blockquote><a href=4>no</a></blockquote></div> --><div class='pubBlock'><h5>2018</h5><blockquote><a href=5>old</a></blockquote></div>
+<ul><li data-proj="leading"><span>outside</span><div class="row col-12"><span class="fa-li">x</span><span class='badge'>PI</span><span>&quot;Tom's <b>cell</b> {k}'&quot;</span><span>later</span></div><span class="small text-info">RGC "{k}"</span></li>
+<li data-proj=leading style="DISPLAY : none"><div class=col-12><span>hidden</span></div></li><li data-proj="other"><div class=col-12><span>other</span></div></ul></body>"""
+
+
+@query("""SELECT c_custkey AS page_id, 'Department of' AS department, 'Chair Professor, Institute for Advanced Study' AS title, 'Wei PERSON ' || c_custkey AS name, 'lasers; R&D of ' || c_mktsegment || ' dots' AS interests,
+ CASE c_custkey % 3 WHEN 2 THEN 'http://page/' || c_custkey ELSE '/own?a=1&b=2' END AS url, 'Tom''s cell ' || c_custkey || chr(39) AS project, 'RGC "' || c_custkey AS funding, 'Paper ' || c_custkey || '|Second paper' AS papers FROM customer""")
+def profile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facts of stored profile pages: lines by rules, interests, the personal page (by icon, by text, else the page's own), leading projects, recent papers."""
+    c, n = table(spark, sf_dir, "customer"), F.col("c_custkey") % 3
+    html = F.lit(_PROFILE.replace("{web}", "/own?a=1&amp;b=2"))
+    for name, value in {"k": F.col("c_custkey").cast("string"), "segment": F.col("c_mktsegment"), "icon": F.when(n == 0, "id-card-alt").otherwise("globe"), "said": F.when(n == 1, "Personal  <b>WEB</b>").otherwise("My web")}.items():
+        html = F.replace(html, F.lit(f"{{{name}}}"), value)
+    found = stored.materialize(markup.read(c.select(F.col("c_custkey").alias("page_id"), html.alias("html")), pages.SELECTORS), "pages")
+    urls = c.select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("http://page/"), "c_custkey").alias("url"))
+    papers = pages.publications(found).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda x: x["title"]), "|").alias("papers"))
+    return pages.facts(found, urls).join(pages.leading_projects(found).drop("pos"), "page_id", "left").join(papers, "page_id", "left")
 
 
 @query(r"""SELECT p_partkey, 'P Retail Price' AS label, printf('%.3f', p_retailprice) AS price, CASE WHEN length(p_name || '_' || p_brand || '.xlsx') > 24 THEN left(p_name || '_' || p_brand || '.xlsx', 16) || '...' || '.xlsx' ELSE p_name || '_' || p_brand || '.xlsx' END AS file,
