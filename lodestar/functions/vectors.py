@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .terms import STOPWORDS
 from .text import vector_tokens
-
-#: Queries that are broadcast against a corpus at once.
-BLOCK_QUERIES = 10_000
+from .topk import sparse_topk
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,14 +40,18 @@ class TfIdf:
         frequency = cls.counts(texts, stop).groupBy("term").agg(F.count("*").alias("df"))
         return cls(frequency.crossJoin(F.broadcast(size)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
 
-    def transform(self, texts: DataFrame, stop: list[str] = STOPWORDS) -> DataFrame:
-        """(id, term, weight); terms outside the vocabulary do not count."""
+    def vectors(self, texts: DataFrame, stop: list[str] = STOPWORDS) -> DataFrame:
+        """(id, terms, weights): unit vectors as two arrays; terms outside the vocabulary do not count, texts without one have no row."""
         raw = self.counts(texts, stop).join(self.idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
         # The terms of one text, which is as long as it is: the norm needs no second look at the texts and no join.
         listed = raw.groupBy("id").agg(F.collect_list(F.struct("term", "w")).alias("x"))
         norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-        told = listed.withColumn("norm", norm).select("id", "norm", F.inline("x"))
-        return told.select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+        told = listed.withColumn("n", F.array_repeat(norm, F.size("x")))
+        return told.select("id", F.col("x.term").alias("terms"), F.zip_with("x.w", "n", lambda w, n: w / n).alias("weights"))
+
+    def transform(self, texts: DataFrame, stop: list[str] = STOPWORDS) -> DataFrame:
+        """The same as rows (id, term, weight)."""
+        return self.vectors(texts, stop).select("id", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("weights").alias("weight"))))
 
 
 def sparse_cosine(queries: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -59,30 +61,6 @@ def sparse_cosine(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return q.join(c, "term").groupBy("query_id", "entity_id").agg(F.sum(F.col("wq") * F.col("wc")).alias("similarity"))
 
 
-def unit(c: Column) -> Column:
-    """The vector in double at length 1; of length 0 (norm at most 1e-6) it stays zero."""
-    norm = F.sqrt(dot(c, c))
-    return F.transform(F.arrays_zip(c.alias("x"), F.array_repeat(norm, F.size(c)).alias("n")), lambda p: F.when(p["n"] > 1e-6, p["x"].cast("double") / p["n"]).otherwise(0.0))
-
-
-def query_blocks(queries: DataFrame, rows: int = BLOCK_QUERIES) -> list[DataFrame]:
-    """The query set in parts of about ``rows`` rows by a hash of the id: each is small enough to be broadcast."""
-    n = -(-queries.count() // rows)
-    part = F.pmod(F.xxhash64("id"), F.lit(n))
-    return [queries] if n <= 1 else [queries.where(part == k) for k in range(n)]
-
-
-def dense_cosine(queries: DataFrame, corpus: DataFrame, best: int | None = None) -> DataFrame:
-    """The same for tables (id, embedding): a stated query set, in blocks, against all rows; with ``best`` only so many of each query.
-
-    Norms are worked out once a row. Vectors of different lengths have similarity 0."""
-    c = corpus.select(F.col("id").alias("entity_id"), unit(F.col("embedding")).alias("ec"))
-    out = None
-    for block in query_blocks(queries):
-        q = block.select(F.col("id").alias("query_id"), unit(F.col("embedding")).alias("eq"))
-        near = c.crossJoin(F.broadcast(q)).select("query_id", "entity_id", F.when(F.size("eq") == F.size("ec"), dot(F.col("eq"), F.col("ec"))).otherwise(0.0).alias("similarity"))
-        if best is not None:
-            order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "entity_id")
-            near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
-        out = near if out is None else out.unionByName(near)
-    return out
+def nearest_texts(model: TfIdf, queries: DataFrame, corpus: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """The k texts of the corpus (id, text) nearest to each query (id, text): query_id, entity_id, similarity, rank. No pair is shuffled."""
+    return sparse_topk(model.vectors(queries), model.vectors(corpus), k, digits)

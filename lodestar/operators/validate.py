@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions.text import strip, words
-from ..functions.vectors import TfIdf, sparse_cosine
+from ..functions.vectors import TfIdf, nearest_texts
 
 INVALID, WEAK, UNCLEAR, VALID = "invalid", "weak_relevance", "needs_clarification", "valid"
 _HINTS = {
@@ -20,6 +20,7 @@ _HINTS = {
     UNCLEAR: ["Add a method or a material", "Add what it is to be used for"],
     VALID: [],
 }
+_SOME_AREAS = "sensors, robotics, materials, circuits"
 
 
 def _known(w: Column) -> Column:
@@ -59,10 +60,16 @@ def _named(matches: Column, most: int | None = None) -> Column:
     return F.array_join(F.slice(ordered, 1, most) if most else ordered, ", ")
 
 
-def validate(queries: DataFrame, similarity: Column | None = None, low: float = 0.25, weak: float = 0.35) -> DataFrame:
+def area_names(areas: Column, most: int = 2) -> Column:
+    """The first part (before a semicolon) of the nearest texts, as a list in one text; empty without any."""
+    return F.array_join(F.transform(F.slice(F.coalesce(areas, F.array().cast("array<string>")), 1, most), lambda x: F.get(F.split(x, ";"), F.lit(0))), ", ")
+
+
+def validate(queries: DataFrame, similarity: Column | None = None, low: float = 0.25, weak: float = 0.35, areas: Column | None = None) -> DataFrame:
     """queries: query_id, query (and more). Adds rule, status, confidence, message, suggestions.
 
-    similarity: the best cosine with the corpus, null where it is not known; without it those two rules never fire."""
+    similarity: the best cosine with the corpus, null where it is not known; without it those two rules never fire.
+    areas: the nearest texts of the corpus, best first; a query that those rules turn away is pointed to them."""
     q = F.col("__q")
     df = queries.withColumn("__q", strip(F.coalesce("query", F.lit("")))).withColumn("__lower", F.lower("__q"))
     df = df.withColumn("__tokens", F.filter(F.split("__lower", r"(?U)\s+"), lambda x: x != "")).withColumn("__words", words(F.col("__lower")))
@@ -96,11 +103,17 @@ def validate(queries: DataFrame, similarity: Column | None = None, low: float =
     hints = F.lit(None)
     for status, said in _HINTS.items():
         hints = F.when(F.col("__r.status") == status, F.array(*map(F.lit, said)).cast("array<string>")).otherwise(hints)
+    if areas is not None:
+        near = area_names(areas)
+        covered = F.concat(F.lit("Some areas that are covered: "), F.coalesce(F.nullif(near, F.lit("")), F.lit(_SOME_AREAS)))
+        hints = F.when(F.col("__r.rule") == "V11", F.array(F.lit(_HINTS[INVALID][0]), covered)).when((F.col("__r.rule") == "V12") & (near != ""), F.array(F.lit(_HINTS[WEAK][0]), F.concat(F.lit("Related areas: "), near))).otherwise(hints)
     return df.withColumn("__r", first).select(*queries.columns, "__r.rule", "__r.status", "__r.confidence", "__r.message", hints.alias("suggestions"))
 
 
-def corpus_similarity(queries: DataFrame, corpus: DataFrame, model: TfIdf) -> DataFrame:
-    """Adds ``similarity``: the best cosine of each query with the corpus texts (id, text), 0 without a common term."""
-    near = sparse_cosine(model.transform(queries.select(F.col("query_id").alias("id"), F.col("query").alias("text"))), model.transform(corpus))
-    best = near.groupBy("query_id").agg(F.max("similarity").alias("similarity"))
-    return queries.join(best, "query_id", "left").na.fill(0.0, ["similarity"])
+def corpus_similarity(queries: DataFrame, corpus: DataFrame, model: TfIdf, most: int = 3, length: int = 100) -> DataFrame:
+    """Adds ``similarity``, the best cosine of each query with the corpus texts (id, text), 0 without a common term, and ``areas``: the beginnings of the ``most`` nearest texts, best first."""
+    near = nearest_texts(model, queries.select(F.col("query_id").alias("id"), F.col("query").alias("text")), corpus, most)
+    said = near.join(corpus.select(F.col("id").alias("entity_id"), F.substring("text", 1, length).alias("t")), "entity_id", "left")
+    best = said.groupBy("query_id").agg(F.max("similarity").alias("similarity"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]).alias("areas"))
+    told = queries.join(best, "query_id", "left").na.fill(0.0, ["similarity"])
+    return told.withColumn("areas", F.coalesce("areas", F.array().cast("array<string>")))

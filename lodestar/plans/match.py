@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import config
+from .. import config, stored
 from ..functions.vectors import TfIdf, sparse_cosine
 from ..operators import keywords, validate
 from ..operators.graph import neighbor_mean, sparse_neighbor_mean
@@ -66,9 +66,14 @@ def rank_projects(projects: DataFrame) -> DataFrame:
 
 
 def rank_people(similarity: DataFrame, priority: DataFrame, edges: DataFrame, projects: DataFrame | None = None, k: int = 10, alpha: float = 0.8, beta: float = 0.2, gamma: float = 0.1, project_weight: float = 0.5) -> DataFrame:
+    """The k best of ``score_people``."""
+    return top_k(score_people(similarity, priority, edges, projects, alpha, beta, gamma, project_weight), k)
+
+
+def score_people(similarity: DataFrame, priority: DataFrame, edges: DataFrame, projects: DataFrame | None = None, alpha: float = 0.8, beta: float = 0.2, gamma: float = 0.1, project_weight: float = 0.5) -> DataFrame:
     """similarity: query_id, id, score (every pair). score = alpha * sim + beta * priority + gamma * neighbours + 0.5 * best project."""
     near = neighbor_mean(edges, similarity).withColumnRenamed("score", "similarity")
-    return top_k(_scored(near, priority, projects, alpha, beta, gamma, project_weight), k)
+    return _scored(near, priority, projects, alpha, beta, gamma, project_weight)
 
 
 def _scored(near: DataFrame, priority: DataFrame, projects: DataFrame | None, alpha: float, beta: float, gamma: float, project_weight: float) -> DataFrame:
@@ -118,7 +123,7 @@ def prepare(queries: DataFrame, corpus: DataFrame, model: TfIdf, validate_query:
     Without validation there are no keywords either; invalid queries keep their row but have no match_text."""
     if not validate_query:
         return queries.withColumn("status", F.lit(validate.VALID)).withColumn("match_text", F.col("query"))
-    ruled = validate.validate(validate.corpus_similarity(queries, corpus, model), similarity=F.col("similarity"))
+    ruled = validate.validate(validate.corpus_similarity(queries, corpus, model), similarity=F.col("similarity"), areas=F.col("areas"))
     sound = ruled.where(F.col("status") != validate.INVALID).select("query_id", "query")
     if use_keywords:
         sound = keywords.filtered_query(sound, keywords.score(keywords.candidates(sound))).withColumnRenamed("filtered_query", "match_text")
@@ -135,10 +140,10 @@ def match_people(queries: DataFrame, people: DataFrame, edges: DataFrame, projec
     """queries: query_id, query. people: id, text (the weighted profile), priority. projects: id, project, text.
 
     Returns the checked queries, and query_id, id, score, rank with the parts of the score, for queries that are not invalid.
-    The vocabulary and the checked queries are used several times, so they are persisted (spilled where memory is short)."""
+    The vocabulary and the checked queries are used several times, so they are written once."""
     corpus = people.select("id", "text")
-    model = TfIdf(TfIdf.fit(corpus).idf.persist())
-    checked = prepare(queries, corpus, model, validate_query, use_keywords).persist()
+    model = TfIdf(stored.materialize(TfIdf.fit(corpus).idf, "vocabulary"))
+    checked = stored.materialize(prepare(queries, corpus, model, validate_query, use_keywords), "checked-queries")
     asked = checked.where("match_text is not null")
     vector = model.transform(asked.select(F.col("query_id").alias("id"), F.col("match_text").alias("text")))
     sims = related(sparse_cosine(vector, model.transform(corpus)))
@@ -155,8 +160,8 @@ def match_startups(queries: DataFrame, startups: DataFrame, edges: DataFrame, k:
     fields = list(weights)
     long = startups.select("id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), field_text(F.col(f), f).alias("text")) for f in fields])))
     keyed = long.select(F.concat_ws("/", "id", "field").alias("id"), "text")
-    model = TfIdf(TfIdf.fit(keyed).idf.persist())
-    checked = prepare(queries, keyed, model, validate_query, False).persist()
+    model = TfIdf(stored.materialize(TfIdf.fit(keyed).idf, "vocabulary"))
+    checked = stored.materialize(prepare(queries, keyed, model, validate_query, False), "checked-queries")
     asked = checked.where("match_text is not null").select("query_id", F.col("query").alias("base_query"))
     if use_keywords and validate_query:
         asked = keywords.match_query(asked, keywords.score(keywords.candidates(asked.withColumnRenamed("base_query", "query"))))
@@ -196,11 +201,3 @@ def keyword_pairs(ranked: DataFrame, texts: DataFrame, weighed: DataFrame, model
     )
     sim = keywords.record_similarity({f: F.col(f) for f in weights}, dict(weights), F.col("literal"))
     return wide.select("query_id", F.col("id").alias("entity_id"), "keyword", "weight", sim.alias("sim"), "literal", "described")
-
-
-def nearest_texts(queries: DataFrame, corpus: DataFrame, model: TfIdf, most: int = 3, length: int = 100) -> DataFrame:
-    """query_id, suggestions: for queries (query_id, query) the beginnings of the ``most`` nearest texts of the corpus (id, text), best first."""
-    near = sparse_cosine(model.transform(queries.select(F.col("query_id").alias("id"), F.col("query").alias("text"))), model.transform(corpus))
-    best = top_k(near.select("query_id", F.col("entity_id").alias("id"), F.round("similarity", 9).alias("score")), most).join(corpus, "id")
-    said = F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, length).alias("t"))))
-    return best.groupBy("query_id").agg(F.transform(said, lambda x: x["t"]).alias("suggestions"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import terms, text, vectors
+from .functions import terms, text, topk, vectors
 from .operators import evaluate, graph, keywords, maintain, profile, validate
 from .plans import match
 from .registry import ORACLE_SQL, QUERIES, query, table
@@ -32,7 +32,7 @@ sims AS (SELECT query_id, vec_id AS id, label, round({_COSINE.format(a='eq', b='
 def _similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query set (ids divisible by 50) against all vectors, rounded so that ties are ties everywhere."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return vectors.dense_cosine(e.where("id % 50 = 0"), e).select("query_id", F.col("entity_id").alias("id"), F.round("similarity", 9).alias("score"))
+    return topk.dense_pairs(e.where("id % 50 = 0"), e).select("query_id", F.col("entity_id").alias("id"), F.round("similarity", 9).alias("score"))
 
 
 @query(f"""{_SIMS}
@@ -40,7 +40,8 @@ SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER
 """)
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every vector whose id is divisible by 50."""
-    return match.top_k(_similarities(spark, sf_dir).withColumnRenamed("score", "similarity"), 5, by="similarity").select("query_id", "id", "similarity", "rank")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return topk.dense_topk(e.where("id % 50 = 0"), e, 5).select("query_id", F.col("entity_id").alias("id"), "similarity", "rank")
 
 
 @query(f"""{_SIMS}
@@ -71,8 +72,8 @@ def blended_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = a.join(b, ["label", "at"]).where("src < dst and dst - src <= 20").select("src", "dst")
     projects = sims.join(e, "id").select("query_id", F.col("label").cast("long").alias("id"), F.col("id").alias("project"), F.lit(False).alias("blank"), F.col("score").alias("similarity"))
     priority = e.select("id", (1 / (1.0 + F.col("label"))).alias("priority"))
-    ranked = match.rank_people(sims, priority, edges, match.rank_projects(projects), k=10**9).withColumn("score", F.round("score", 6))
-    return match.top_k(ranked.drop("rank"), 10).select("query_id", "id", "score", "rank")
+    scored = match.score_people(sims, priority, edges, match.rank_projects(projects)).withColumn("score", F.round("score", 6))
+    return match.top_k(scored, 10).select("query_id", "id", "score", "rank")
 
 
 @query(f"""{_SIMS},
@@ -86,7 +87,7 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
     own = labels.select(F.col("id").alias("query_id"), F.col("label").alias("own"))
     truth = sims.join(labels, "id").join(own, "query_id").where("label = own and id <> query_id").groupBy("query_id").agg(F.min("id").alias("id"))
-    out = evaluate.metrics(evaluate.relevant_rank(match.top_k(sims, 10**9), truth), 50)
+    out = evaluate.metrics(evaluate.rank_among(sims, truth), 50)
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
@@ -129,8 +130,7 @@ SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = _texts(table(spark, sf_dir, "documents"), "doc_id"), _texts(table(spark, sf_dir, "benchmark"), "item_id")
     model = vectors.TfIdf.fit(docs)
-    sims = vectors.sparse_cosine(model.transform(asked), model.transform(docs)).select("query_id", F.col("entity_id").alias("id"), F.round("similarity", 6).alias("similarity"))
-    return match.top_k(sims, 3, by="similarity").select("query_id", "id", "similarity", "rank")
+    return vectors.nearest_texts(model, asked, docs, 3, 6).select("query_id", F.col("entity_id").alias("id"), "similarity", "rank")
 
 
 @query(f"""{_RELEVANCE}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import stored
 from .functions import terms, text, vectors
-from .operators import keywords, profile
+from .operators import keywords, profile, validate
 from .plans import match, update
 from .queries import _CANDIDATES, _PAIRS, _RELEVANCE, _asked, _in, _texts
 from .registry import query, table
@@ -236,14 +236,14 @@ def merged_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.merged_highlights(keywords.matched_keywords(pairs, most=1000), fallback).withColumn("score", F.round("score", 6))
 
 
-@query(f"""{_RELEVANCE}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 6) DESC, id) AS rank FROM sims QUALIFY rank <= 3)
-SELECT query_id, string_agg(left(text, 100), '|' ORDER BY rank) AS suggestions FROM r JOIN documents ON doc_id = id GROUP BY 1""")
+@query(f"""{_RELEVANCE}, r AS (SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 6) DESC, id) AS rank FROM sims QUALIFY rank <= 3)
+SELECT query_id, round(max(similarity), 6) AS similarity, string_agg(left(text, 100), '|' ORDER BY rank) AS suggestions, string_agg(split_part(left(text, 100), ';', 1), ', ' ORDER BY rank) FILTER (WHERE rank <= 2) AS areas FROM r JOIN documents ON doc_id = id GROUP BY 1""")
 def query_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a weak query is pointed to: the beginnings of the three nearest texts of the corpus."""
+    """What a weak query is pointed to: the beginnings of the three nearest texts of the corpus, and the first parts of the best two."""
     docs = _texts(table(spark, sf_dir, "documents"), "doc_id")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    told = match.nearest_texts(asked, docs, vectors.TfIdf.fit(docs))
-    return told.select("query_id", F.array_join("suggestions", "|").alias("suggestions"))
+    told = validate.corpus_similarity(asked, docs, vectors.TfIdf.fit(docs)).where("similarity > 0")
+    return told.select("query_id", F.round("similarity", 6).alias("similarity"), F.array_join("areas", "|").alias("suggestions"), validate.area_names(F.col("areas")).alias("areas"))
 
 
 @query("""SELECT * FROM (VALUES (0, 0.0, 'info', 'ok'), (1, 33.3, 'publication', 'ok'), (2, 66.6, 'project', 'failed: no file')) AS t(n, percent, stage, status)

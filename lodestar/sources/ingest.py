@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -46,21 +48,33 @@ def complete(df: DataFrame, wanted: tuple[str, ...] = PEOPLE, attributes: bool =
     return df.select(*out)
 
 
-def decodable(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> str:
-    """The first encoding that all files decode with, else the last: each file is tried by a task, encodings that fail come back."""
+def tried_encodings(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> list[tuple[str, str | None]]:
+    """Every encoding with the first file (by name) that it cannot read, or None. Files are read in parts; lines break where bytes do in all of these encodings."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad: dict[str, str] = {}
         for batch in batches:
-            bad = set()
-            for content in batch.column(0):
+            files = batch.column(1).to_pylist()
+            for file in set(files):
+                lines = b"\n".join(x for x, f in zip(batch.column(0).to_pylist(), files, strict=True) if f == file and x is not None)
                 for name in encodings:
                     try:
-                        content.as_py().decode(name)
+                        lines.decode(name)
                     except UnicodeDecodeError:
-                        bad.add(name)
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(bad), pa.string())], names=["bad"])
+                        bad[name] = min(file, bad.get(name, file))
+        yield pa.RecordBatch.from_arrays([pa.array(list(bad)), pa.array(list(bad.values()))] if bad else [pa.array([], pa.string())] * 2, names=["bad", "file"])
+
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
+    bad = {r.bad: r.file for r in lines.mapInArrow(run, "bad string, file string").groupBy("bad").agg(F.min("file").alias("file")).collect()}
+    return [(name, bad.get(name)) for name in encodings]
 
-    bad = {r.bad for r in spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "bad string").distinct().collect()}
-    return next((name for name in encodings if name not in bad), encodings[-1])
+
+def decodable(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> str:
+    """The first encoding that reads all files; an error that names every attempt if none does."""
+    tried = tried_encodings(spark, path, encodings)
+    for name, file in tried:
+        if file is None:
+            return name
+    raise ValueError(f"no encoding reads {path}: " + "; ".join(f"{name} fails in {file}" for name, file in tried))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -73,18 +87,50 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
     return next((p for p in paths if exists(spark, p)), None)
 
 
+#: Encodings that Spark's own reader knows.
+NATIVE = ("utf-8", "iso-8859-1")
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, missing: tuple[str, ...] | None = None, replace: bool = False) -> DataFrame:
-    """All columns as strings, headers normal, ``_row`` in file order (file, then line); quotes and line breaks as usual.
+    """All columns as strings, headers normal, ``_row`` in file order (file name, then line); quotes and line breaks as usual.
 
     missing: columns of the empty table that stands for a path that is not there (an error where it is not given).
-    replace: bytes that the encoding cannot read become replacement characters, whatever the files hold."""
+    replace: bytes that no encoding (or the one that is given) can read become replacement characters."""
     if missing is not None and not exists(spark, path):
         return with_rows(spark.createDataFrame([], ", ".join(f"`{c}` string" for c in missing)))
-    encoding = encoding or ("utf-8" if replace else decodable(spark, path))
-    if encoding.lower() not in ("utf-8", "iso-8859-1"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark 4 reads other charsets only then
-    df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
-    return with_rows(normalize(df))
+    if encoding is None:
+        tried = tried_encodings(spark, path)
+        encoding = next((name for name, file in tried if file is None), "utf-8" if replace else None) or decodable(spark, path)
+    if encoding.lower() in NATIVE:
+        df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
+        return _in_file_order(normalize(df.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))))
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_csv_rows(encoding, "replace" if replace else "strict"), "_file string, _at long, cells array<string>")
+    first = rows.where("_at = 0").orderBy("_file").first()
+    names = first.cells if first else []
+    wide = rows.where("_at > 0").select("_file", "_at", *[F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(f"{i}:{n}") for i, n in enumerate(names)])
+    return _in_file_order(normalize(wide.toDF("_file", "_at", *names)))
+
+
+def _csv_rows(encoding: str, errors: str):
+    """Rows of whole files in an encoding that only Python reads; for legacy files, which a task holds one by one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                reader = csv.reader(io.TextIOWrapper(io.BytesIO(content.as_py()), encoding, errors, newline=""))
+                at = 0
+                while rows := [r for r in itertools.islice(reader, 10_000) if r]:
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(range(at, at + len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["_file", "_at", "cells"])
+                    at += len(rows)
+
+    return run
+
+
+def _in_file_order(df: DataFrame) -> DataFrame:
+    """``_row`` from _file and _at (increasing inside a file): the number of the file by name, then its rows. The listing is on the driver anyway; a file has fewer than 2**33 rows."""
+    names = sorted({f.path for f in df.select(F.col("_file").alias("path")).distinct().collect()})
+    table = df.sparkSession.createDataFrame([(name, i) for i, name in enumerate(names)], "_file string, __n long")
+    place = F.shiftleft("__n", 33) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return df.join(F.broadcast(table) if len(names) <= 100_000 else table, "_file").withColumn("_row", place).drop("_file", "_at", "__n")
 
 
 def row_count(spark: SparkSession, path: str) -> int:

@@ -163,8 +163,9 @@ def compile_selector(text: str) -> list[list[Compound]]:
                 tag = m[6].lower()
             elif m[7]:
                 tests.append((m[7].lower(), m[8] or "", m[9] or m[10] or m[11] or ""))
+    dangling = child and not open_
     flush()
-    if not all(out):
+    if dangling or not all(out):
         raise ValueError(f"selector {text!r} has an empty part")
     return out
 
@@ -254,7 +255,7 @@ def parse(html: str, selectors: Selectors) -> tuple[str, list[dict]]:
             if stack[-1].tag == "textarea":
                 say(html[start:after])
             continue
-        if tag not in INLINE and not stack[-1].silent:
+        if tag not in INLINE and tag not in SILENT and not stack[-1].silent:
             pieces.append("\n")
         if attributes is None:
             depth = last(tag)

@@ -83,9 +83,9 @@ def test_boilerplate_is_rejected_and_cut(spark):
     rng = random.Random(1)
     prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
     menu = "Home News Sport Weather Contact us today for all offers and prices"
-    rows = [(i, f"{menu}\n{prose(60)}\n{menu}", "h") for i in range(40)] + [(100 + i, f"{menu}\n{prose(2)}", "h") for i in range(20)] + [(200, f"{menu}\n{prose(3)}", "other")]
+    rows = [(i, f"{menu}\n{prose(120)}\n{menu}", "h") for i in range(40)] + [(100 + i, f"{menu}\n{prose(2)}", "h") for i in range(20)] + [(200, f"{menu}\n{prose(3)}", "other")]
     got = {r.doc_id: r for r in lf.judge(table(spark, rows)).collect()}
-    assert all(got[i].kept and got[i].words_left == 60 for i in range(40)) and not any(got[100 + i].kept or got[100 + i].base_failed for i in range(20))
+    assert all(got[i].kept and got[i].words_left == 120 for i in range(40)) and not any(got[100 + i].kept or got[100 + i].base_failed for i in range(20))
     assert got[200].kept
     docs = table(spark, rows).withColumn("__row", F.lit(5)).withColumn("a.b", F.lit("x"))
     cleaned = lf.clean(docs)

@@ -7,11 +7,12 @@ import random
 import re
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.functions import terms, text, vectors
-from lodestar.operators import graph
+from lodestar.functions import terms, text, topk, vectors
+from lodestar.operators import evaluate, graph
 from lodestar.plans import match
 from lodestar.sources import ingest
 from lodestar.streaming import updates
@@ -120,16 +121,66 @@ def test_sparse_and_whole_neighbour_means_agree(spark):
     assert all(a[k] == pytest.approx(b.get(k, 0.0)) for k in a)
 
 
-def test_blocks_of_queries(spark, monkeypatch):
+def test_dense_scans_in_passes(spark, monkeypatch):
     rng = random.Random(5)
-    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(40)] + [(90, [0.0] * 4), (91, [1.0])]
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(40)] + [(90, [0.0] * 4), (91, [1.0]), (92, None), (93, [None, 1.0, 1.0, 1.0])] + [(100 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(30)]
     df = spark.createDataFrame(rows, "id long, embedding array<float>")
-    plain = lambda x, y: 0.0 if len(x) != len(y) or not any(x) or not any(y) else sum(a * b for a, b in zip(x, y, strict=True)) / math.hypot(*x) / math.hypot(*y)
-    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 3)
-    got = {(r.query_id, r.entity_id): r.similarity for r in vectors.dense_cosine(df, df).collect()}
+    good = lambda x: x is not None and None not in x and any(x)
+    plain = lambda x, y: 0.0 if not good(x) or not good(y) or len(x) != len(y) else sum(a * b for a, b in zip(x, y, strict=True)) / math.hypot(*x) / math.hypot(*y)
+    monkeypatch.setattr(topk, "PASS_QUERIES", 30)
+    monkeypatch.setattr(topk, "MATRIX", 600)
+    got = {(r.query_id, r.entity_id): r.similarity for r in topk.dense_pairs(df, df).collect()}
     assert len(got) == len(rows) ** 2 and all(got[i, j] == pytest.approx(plain(x, y), abs=1e-5) for i, x in rows for j, y in rows)
-    best = vectors.dense_cosine(df, df, best=2).collect()
-    assert len(best) == 2 * len(rows) and all(r.similarity == got[r.query_id, r.entity_id] for r in best)
+    best = {}
+    for r in topk.dense_topk(df, df, 3).orderBy("query_id", "rank").collect():
+        best.setdefault(r.query_id, []).append(r.entity_id)
+    for i, _ in rows:
+        assert best[i] == sorted((j for j, _ in rows), key=lambda j: (-round(got[i, j], 9), j))[:3]
+    none = spark.createDataFrame([], df.schema)
+    assert topk.dense_topk(none, df, 3).count() == 0 and topk.dense_topk(df, none, 3).count() == 0 and topk.dense_pairs(none, df).count() == 0
+
+
+def test_dense_bounds_skip_far_groups():
+    rng = np.random.default_rng(3)
+    middles = topk.unit_rows(rng.normal(size=(40, 32)))
+    rows = topk.unit_rows(np.repeat(middles, 200, axis=0) + rng.normal(size=(8000, 32)) * 0.02)
+    queries = topk.unit_rows(middles[:20] + rng.normal(size=(20, 32)) * 0.02)
+    scan, best = topk.DenseScan(queries, topk.directions(rows[::7], 64)), topk.Best(20, 10, np.full(20, -np.inf), 9)
+    for i in range(0, len(rows), 1000):
+        best.add(scan.scores(rows[i : i + 1000], best.bound), np.arange(i, i + 1000))
+        best.compact()
+    q, s, e = best.compact()
+    exact = np.round(queries @ rows.T, 9)
+    for k in range(20):
+        assert e[q == k].tolist() == sorted(range(len(rows)), key=lambda j: (-exact[k, j], j))[:10]
+    assert scan.skipped > 3 * scan.visited
+
+
+def test_sparse_scan_against_the_join(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: f"w{int(rng.paretovariate(0.7)) % 60}"
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.choice([1, 5, 40])))) for i in range(120)] + [(500 + i, "w1 w2 w3") for i in range(20)] + [(900, None), (901, "")], "id long, text string")
+    asked = spark.createDataFrame([(f"q{i}", " ".join(word() for _ in range(6))) for i in range(25)] + [("none", "unheard"), ("null", None)], "id string, text string")
+    model = vectors.TfIdf.fit(docs)
+    pairs = {}
+    for r in vectors.sparse_cosine(model.transform(asked), model.transform(docs)).collect():
+        pairs.setdefault(r.query_id, {})[r.entity_id] = round(r.similarity, 9)
+    monkeypatch.setattr(topk, "PASS_QUERIES", 10)
+    monkeypatch.setattr(topk, "MATRIX", 200)
+    got = {}
+    for r in vectors.nearest_texts(model, asked, docs, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.entity_id, r.similarity))
+    assert got == {q: [(i, pytest.approx(s, abs=2e-9)) for i, s in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:4]] for q, found in pairs.items()}
+
+
+def test_rank_among(spark):
+    rng = random.Random(8)
+    scored = [(q, i, rng.choice([0.1, 0.2, 0.3])) for q in range(6) for i in range(15)]
+    truth = [(q, rng.randrange(20)) for q in range(7)]
+    got = {r.query_id: r["rank"] for r in evaluate.rank_among(spark.createDataFrame(scored, "query_id int, id int, score double"), spark.createDataFrame(truth, "query_id int, id int")).collect()}
+    for q, t in truth:
+        order = [i for _, i, s in sorted((r for r in scored if r[0] == q), key=lambda r: (-r[2], r[1]))]
+        assert got[q] == (order.index(t) + 1 if t in order else None)
 
 
 def plain_summary(t, words, most=200):

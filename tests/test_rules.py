@@ -21,8 +21,11 @@ def one(spark, column, *values):
 
 def test_names(spark):
     assert one(spark, text.strong_key, "MÜLLER, José &amp; Co", " Ann​  Lee ", None, "A&B") == ["mueller, jose & co", "ann lee", "", "a&b"]
+    odd = ["a &amp;amp; b", "ﬁne ½", "Łódź", "e\u0301x", "İz", "“Q” – ä", "&#196;&lrm;b"]
+    assert one(spark, text.strong_key, *odd) == ["a &amp; b", "fine 1⁄2", "łodz", "ex", "iz", "“q” – ae", "aeb"]
+    assert one(spark, text.clean_quoted, "\"Tom's plan'\"", '“ x”') == ["Tom's plan'", "x"]
     assert one(spark, text.weak_key, " Ann\t LEE ", None) == ["ann lee", ""]
-    assert one(spark, text.clean_quoted, "\"'Projéct  one'\"", None) == ["Projct one", ""]
+    assert one(spark, text.clean_quoted, "\"'Projéct  one'\"", None) == ["Projct one'", ""]
 
 
 def test_lists(spark):
@@ -93,6 +96,8 @@ def test_validation(spark):
     got = {r["query"]: (r.rule, r.status, r.confidence) for r in validate.validate(df).collect()}
     assert got == cases
     scored = df.where("query = 'deep learning for medical imaging'").crossJoin(spark.createDataFrame([(0.2,), (0.3,), (0.4,)], "s double"))
+    near = validate.validate(scored, similarity=F.col("s"), areas=F.array(F.lit("lasers; optics"), F.lit("dots"), F.lit("x")))
+    assert {r.rule: r.suggestions[-1] for r in near.where("rule <> 'V14'").collect()} == {"V11": "Some areas that are covered: lasers, dots", "V12": "Related areas: lasers, dots"}
     assert sorted((r.s, r.rule) for r in validate.validate(scored, similarity=F.col("s")).collect()) == [(0.2, "V11"), (0.3, "V12"), (0.4, "V14")]
 
 

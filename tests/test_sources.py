@@ -1,8 +1,9 @@
 """Loose tables, folders of files, stored pages and streams."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from lodestar.sources import ingest, pages
+from lodestar.sources import ingest
 from lodestar.streaming import updates
 
 
@@ -15,7 +16,20 @@ def test_csv_in_any_encoding(spark, tmp_path):
         got = ingest.complete(df, ("name", "research_interests", "title")).orderBy("_row").collect()
         assert [(r.name, r.research_interests, r.title, r.attributes) for r in got] == [("Zoë", 'a "b"\nc', "", {"office": "R1"}), ("王", None, "", {"office": ""})]
     (tmp_path / "latin.csv").write_bytes(b"name\nZo\xeb\xff\n")
-    assert ingest.decodable(spark, f"file://{tmp_path}/latin.csv", ("utf-8", "iso-8859-1")) == "iso-8859-1"
+    latin = f"file://{tmp_path}/latin.csv"
+    assert ingest.decodable(spark, latin, ("utf-8", "iso-8859-1")) == "iso-8859-1"
+    with pytest.raises(ValueError, match="utf-8 fails in .*latin.csv; gbk fails in .*latin.csv"):
+        ingest.decodable(spark, latin, ("utf-8", "gbk"))
+    assert ingest.read_csv(spark, latin, encoding="utf-8", replace=True).first().name == "Zo\ufffd\ufffd"
+    assert ingest.read_csv(spark, latin, encoding="gbk", replace=True).first().name.startswith("Zo")
+
+
+def test_rows_follow_file_names_and_lines(spark, tmp_path):
+    for name, n in (("a.csv", 2), ("b c.csv", 500), ("z.csv", 5)):
+        (tmp_path / name).write_text("name\n" + "".join(f"{name} {i}\n" for i in range(n)))
+    want = [f"{name} {i}" for name, n in (("a.csv", 2), ("b c.csv", 500), ("z.csv", 5)) for i in range(n)]
+    for encoding in ("utf-8", "gbk"):
+        assert [r.name for r in ingest.read_csv(spark, f"file://{tmp_path}", encoding=encoding).orderBy("_row").collect()] == want
 
 
 def test_missing_extra_values_as_text(spark):
@@ -44,22 +58,6 @@ def test_projects_and_startups(spark):
     assert (row.startup_id, row.people, row.categories, row.source_year) == ("med-ai-lab-2025-1", ["Ann", "Bo"], ["AI", "Health"], 2025)
 
 
-def test_stored_pages(spark):
-    text = "Home\nDepartment of Physics\n王\nAssociate Professor\nPhD, Some University\nAnn Lee\nResearch Interests\nlasers\nLASERS\nox\nquantum dots\nPublications\nold paper"
-    df = spark.createDataFrame([(1, text), (2, None)], "page_id long, text string")
-    assert [tuple(r) for r in pages.profile(df).collect()] == [(1, "Department of Physics", "Associate Professor", "Ann Lee")]
-    assert [tuple(r) for r in pages.interests(df).collect()] == [(1, "lasers; quantum dots")]
-    html = '<li data-proj="leading"><span>"Solar cells"</span><span class="text-info">RGC</span></li><li data-proj="leading" style="display: none"><span>x</span></li><a href="h"><i class="fa fa-home"></i></a>'
-    web = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
-    assert [(r.project, r.funding) for r in pages.leading_projects(web).collect()] == [("Solar cells", "RGC")]
-    assert {r.page_id: r.url for r in pages.personal_web(web).collect()} == {1: "h", 2: ""}
-    blocks = spark.createDataFrame([(1, 0, "2019 - 2021", ["A", "a", " B "]), (1, 1, "2018", ["C"])], "page_id long, pos int, heading string, titles array<string>")
-    assert [r.title for r in pages.publications(blocks).orderBy("pos", "i").collect()] == ["A", "B"]
-    cards = pages.name_urls(spark.createDataFrame([(1, '<a href="/x">Ann</a><a href="http://h/y">Ann</a><a href="z">ANN</a>')], "page_id long, html string"), "http://b/")
-    assert {(r.name, r.url) for r in cards.collect()} == {("Ann", "http://h/y"), ("ANN", "http://b/z")}
-    assert [r.name for r in pages.site_names(cards).collect()] == ["Ann"]
-
-
 LINES = ["[1/4] Scraping: Ann", "noise", "[3/4] Scraping: Ann", "[2/4] x", "[9/4] y", "Processing: Cy"]
 
 
