@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import materialize, unused
+from .storage import cols, materialize, unused
 
 WINDOW = 16
 REACH = 3
@@ -157,16 +157,17 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with repeated passages cut out (n_chars follows the text); documents of which nothing is left go.
+    """The documents with repeated passages cut out (n_chars follows the text); documents of which nothing but white space is left go.
 
     All columns are kept.  Documents without a passage stay as they are, whatever their text."""
     row, doc, found, was_cut = (unused(docs.columns, name) for name in ("__row", "__doc", "__spans", "__cut"))
     passages = _passages(docs, min_words)
     spans = passages.groupBy(F.col("row").alias(row), F.col("doc").alias(doc)).agg(F.collect_list(F.struct("first_word", "n_words")).alias(found))
     keys = [k.alias(name) for k, name in zip(_key(), (row, doc), strict=True)]
-    joined = docs.select(*docs.columns, *keys).join(spans, [row, doc], "left").select(*docs.columns, found)
-    names = docs.columns
-    place = names.index("text")
+    joined = docs.select("*", *keys).join(spans, [row, doc], "left").select(*cols(docs.columns), found)
+    # Arrow functions take no names with dots in them: the columns are numbered meanwhile.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    place = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,10 +179,10 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     if texts[i] is not None:
                         texts[i] = without_words(texts[i], [(x["first_word"], x["n_words"]) for x in spans[i].as_py()])
                 columns[place] = pa.array(texts, columns[place].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(cut)], names=[*names, was_cut])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cut)], names=[*names, "cut"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(was_cut, T.BooleanType())])
-    kept = joined.mapInArrow(run, schema).where(~F.col(was_cut) | (F.length(F.trim("text")) > 0))
+    schema = T.StructType([*[T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)], T.StructField("cut", T.BooleanType())])
+    kept = joined.toDF(*names, "spans").mapInArrow(run, schema).toDF(*docs.columns, was_cut).where(~F.col(was_cut) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col(was_cut), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    return kept.select(*cols(docs.columns))

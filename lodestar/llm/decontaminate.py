@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .mixing import bounded_broadcast
-from .storage import materialize, unused
+from .storage import cols, materialize, unused
 
 #: Positions that a seed hashes, relative to its first word (fixed masks).
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 3, 6, 7), (0, 1, 4, 5, 6, 7), (0, 1, 2, 3, 8, 9), (0, 1, 6, 7, 8, 9), (0, 1, 4, 5, 8, 9))
@@ -323,4 +323,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_item: int = 1) -> D
     d, t = (unused(docs.columns, name) for name in ("__doc", "__text"))
     found = _overlaps(docs, items, seeds).select(F.col("doc_id").alias(d), F.col("text_hash").alias(t)).distinct()
     found = bounded_broadcast(found, found.count(), FOUND_ROWS)
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found[d]) & (F.xxhash64(docs["text"]) == found[t]), "left_anti").select(*docs.columns)
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found[d]) & (F.xxhash64(docs["text"]) == found[t]), "left_anti").select(*cols(docs.columns))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import unused
+from .storage import cols, unused
 
 DIM = 512
 GRAM = 3
@@ -126,6 +126,11 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, 1000)
 
 
+def hash_below(sample: int, count: int) -> int:
+    """The bound of 64-bit hashes that ``sample`` of ``count`` rows are below, more or less; a row at least for every count below 2**63."""
+    return -(1 << 63) + ((sample << 64) // max(sample, count))
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages in order of code points and their unit prototypes, from columns doc_id, text and lang.
 
@@ -133,7 +138,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     count = rows.count()
     if count > sample:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * sample / count))
+        rows = rows.where(F.xxhash64(F.lit(5), "doc_id", "text") < hash_below(sample, count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -153,6 +158,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
     table = sums.limit((_MAX_PROTOTYPES + 1) * DIM).toArrow()
     names = np.array(table.column("lang").to_pylist(), object)
     languages = sorted(set(names))
+    if count and not languages:
+        raise ValueError(f"none of {count} labelled rows was taken: no prototype came out")
     if len(languages) > _MAX_PROTOTYPES:
         raise ValueError(f"more than {_MAX_PROTOTYPES} languages: these labels are not languages")
     out = np.zeros((len(languages), DIM), np.float32)
@@ -167,8 +174,10 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, pred:
 
     Columns of docs with one of these names are replaced; callers that want to keep them choose others."""
     model = docs.sparkSession.sparkContext.broadcast((languages, prototypes))
-    keep = [c for c in docs.columns if c not in (pred, score)]
-    docs = docs.select(*keep, F.col("text").alias(unused(keep, "__text")))
+    keep = [c for c in docs.columns if c.lower() not in (pred.lower(), score.lower())]
+    # Arrow functions take no names with dots in them: the columns are numbered meanwhile.
+    plain = [f"c{i}" for i in range(len(keep))]
+    docs = docs.select(*cols(keep), F.col("text").alias(unused(keep, "__text"))).toDF(*plain, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = model.value
@@ -179,10 +188,10 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, pred:
                 best, known = cosine.argmax(axis=1), unit.any(axis=1) & bool(names)
                 told = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 near = np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(told, pa.string()), pa.array(near)], names=[*keep, pred, score])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(told, pa.string()), pa.array(near)], names=[*plain, "pred", "told"])
 
-    schema = docs.select(*keep).schema.add(pred, "string").add(score, "double")
-    return docs.mapInArrow(run, schema)
+    schema = docs.select(*plain).schema.add("pred", "string").add("told", "double")
+    return docs.mapInArrow(run, schema).toDF(*keep, pred, score)
 
 
 def held_out(doc_id: Column) -> Column:

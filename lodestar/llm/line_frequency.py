@@ -32,9 +32,10 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .components import join_by_key
-from .storage import materialize, unused
+from .storage import cols, materialize, unused
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -190,9 +191,10 @@ def clean(docs: DataFrame, host: str = "source") -> DataFrame:
     held = materialize(_frequent_held(measured), "lines-cut")
     lines = held.groupBy("row").agg(F.collect_list("line").alias(cut))
     told = _judged(measured, held).where("kept").select(F.col("row").alias(row)).join(lines.withColumnRenamed("row", row), row, "left")
-    joined = numbered.join(told, row).select(*[F.col(f"`{c}`") for c in docs.columns], cut)
-    names = docs.columns
-    place = [c.lower() for c in names].index("text")
+    joined = numbered.join(told, row).select(*cols(docs.columns), cut)
+    # Arrow functions take no names with dots in them: the columns are numbered meanwhile.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    place = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +206,8 @@ def clean(docs: DataFrame, host: str = "source") -> DataFrame:
             columns[place] = pa.array(texts, columns[place].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)])
+    return joined.toDF(*names, "cut").mapInArrow(run, schema).toDF(*docs.columns)
 
 
 SQL = rf"""

@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import cols, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Source tables up to this many rows are broadcast; larger ones are shuffled.
@@ -108,20 +108,21 @@ def _mixed(docs: DataFrame, carried: list[str], weights: Sequence[float], share:
 def mixture(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """The documents in the mixture, all columns, with size, source_size, target, taken and copies (1 or more).
 
-    Columns of docs with one of these names are replaced."""
+    Columns of docs with one of these names, in any case, are replaced."""
     made = ("size", "source_size", "target", "taken", "copies")
-    kept = [c for c in docs.columns if c not in made]
-    further = [c for c in kept if c not in ("doc_id", "source")]
-    named = docs.select("doc_id", "source", "text", *[F.col(c).alias(f"__{c}") for c in further])
-    told = _mixed(named, [f"__{c}" for c in further], weights, share, max_epochs, seed).where("copies > 0")
-    return told.select(*[F.col(f"__{c}" if c in further else c).alias(c) for c in kept], *made)
+    kept = [c for c in docs.columns if c.lower() not in made]
+    own = {f"__{i}": c for i, c in enumerate(kept) if c.lower() not in ("doc_id", "source")}
+    named = docs.select("doc_id", "source", "text", *[x.alias(n) for n, x in zip(own, cols(list(own.values())), strict=True)])
+    told = _mixed(named, list(own), weights, share, max_epochs, seed).where("copies > 0")
+    back = {c: n for n, c in own.items()}
+    return told.select(*[F.col(back.get(c, c)).alias(c) for c in kept], *made)
 
 
 def repeat_rows(docs: DataFrame, **kw) -> DataFrame:
     """The mixture itself: a row of docs for each of its copies, with ``copy`` counted from 1."""
-    kept = [c for c in docs.columns if c != "copy"]
-    told = mixture(docs.select(*kept), **kw).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return told.select(*[c for c in kept if c in told.columns], "copy")
+    kept = [c for c in docs.columns if c.lower() not in ("copy", "size", "source_size", "target", "taken", "copies")]
+    told = mixture(docs.select(*cols(kept)), **kw).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return told.select(*cols(kept), "copy")
 
 
 SQL = r"""

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, release, unused
+from .storage import cols, materialize, unused
 
 BUCKETS = 10_000
 LEAST_WORDS, PERCENT, SEED = 20, 10, 2024
@@ -110,8 +110,8 @@ def scored(docs: DataFrame, gain: np.ndarray, seed: int = SEED) -> DataFrame:
                 weights.append(sum(table[buckets[w]] for w in found) // len(found) if found else 0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(features, pa.int64()), pa.array(weights, pa.int64())], names=[*kept, "n_features", "weight"])
 
-    read = docs.select(*[F.col(f"`{c}`") for c in kept], "text")
-    schema = read.select(*[F.col(f"`{c}`") for c in kept]).schema.add("n_features", "long").add("weight", "long")
+    read = docs.select(*cols(kept), "text")
+    schema = read.select(*cols(kept)).schema.add("n_features", "long").add("weight", "long")
     return read.mapInArrow(run, schema).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
 
 

@@ -16,7 +16,8 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: list[str] = []
 #: Folders of tables that are still held, by the frame that reads them.
@@ -45,6 +46,11 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def cols(columns: list[str]) -> list[Column]:
+    """The columns, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
