@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import stored
 from .functions import terms, text, topk, vectors
 from .operators import evaluate, graph, keywords, maintain, profile, validate
 from .plans import match
 from .registry import ORACLE_SQL, QUERIES, query, table
-from .streaming import updates
+from .streaming import keyed, updates
 
 def _joined(c: Column, separator: str = "|") -> Column:
     return F.array_join(c, separator)
@@ -578,21 +579,43 @@ def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.merge_reports([lines, lines])
 
 
-@query("""
+_PROGRESS = """
 WITH l AS (SELECT user_id AS run, event_id AS pos, event_type AS name, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 AS fresh, abs(CAST(floor(value) AS INT)) % 45 AS current, event_id % 3 = 0 AS marked FROM events),
 s AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY pos) AS seen FROM l),
 t AS (SELECT run, pos, name, CASE WHEN marked THEN least(current, 40) / 40.0::DOUBLE WHEN fresh THEN seen / 50.0::DOUBLE END AS share FROM s),
 p AS (SELECT run, pos, name, least(greatest(10.0 + share * 30.0, 10.0), 40.0) AS percent FROM t WHERE share IS NOT NULL),
 m AS (SELECT *, coalesce(max(percent) OVER (PARTITION BY run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS last FROM p)
 SELECT run, pos, round(percent, 6) AS percent, name FROM m WHERE percent > last + 0.01
-""")
-def progress_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log lines of runs (users) folded into percentages that only rise."""
-    e = table(spark, sf_dir, "events")
+"""
+
+
+def _log_lines(events: DataFrame) -> DataFrame:
+    """Log lines of runs (users), made from events."""
     marked = F.concat(F.lit("[ "), (F.abs(F.floor("value")) % 45).cast("string"), F.lit("/40 ] Scraping: "), "event_type")
     line = F.when(F.col("event_id") % 3 == 0, marked).otherwise(F.concat(F.lit("Processing: "), "event_type"))
-    lines = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("pos"), line.alias("line"), F.lit(10.0).alias("start_pct"), F.lit(30.0).alias("stage_pct"), F.lit(50).alias("expected"))
-    return updates.progress(lines).withColumn("percent", F.round("percent", 6))
+    return events.select(F.col("user_id").alias("run"), F.col("event_id").alias("pos"), line.alias("line"), F.lit(10.0).alias("start_pct"), F.lit(30.0).alias("stage_pct"), F.lit(50).alias("expected"))
+
+
+@query(_PROGRESS)
+def progress_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines of runs folded into percentages that only rise."""
+    return updates.progress(_log_lines(table(spark, sf_dir, "events"))).withColumn("percent", F.round("percent", 6))
+
+
+@query(_PROGRESS)
+def progress_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of four files with keyed state."""
+    place = stored.new_folder(spark, "progress")
+    lines = _log_lines(table(spark, sf_dir, "events"))
+    bounds = lines.agg(F.expr("percentile_approx(pos, array(0.25, 0.5, 0.75))")).first()[0] or []
+    for i in range(4):
+        part = lines.where((F.col("pos") > bounds[i - 1] if i and bounds else F.lit(True)) & (F.col("pos") <= bounds[i] if i < 3 and bounds else F.lit(True)))
+        part.coalesce(1).write.parquet(f"{place}/lines/{i}")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/lines/*")
+    told = updates.progress_stream(stream).writeStream.format("parquet").option("path", f"{place}/told").option("checkpointLocation", f"{place}/offsets")
+    told.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    schema = f"run {lines.schema['run'].dataType.simpleString()}, pos long, percent double, name string"
+    return spark.read.schema(schema).parquet(f"{place}/told").withColumn("percent", F.round("percent", 6))
 
 
 @query("""SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id HAVING max_by(event_type, event_id) <> 'error'""")
@@ -601,9 +624,10 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     static = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parquet*")
     changes = stream.select("user_id", "event_id", F.when(F.col("event_type") == "error", "delete").otherwise("add").alias("op"))
-    place = updates.working_folder(spark)
-    updates.upsert_stream(changes, f"{place}/users", f"{place}/offsets", "user_id", "event_id").awaitTermination()
-    return updates.read_versioned(spark, f"{place}/users").select("user_id", "event_id")
+    place = stored.new_folder(spark, "changes")
+    users = keyed.KeyedTable(spark, f"{place}/users", "user_id", "event_id")
+    users.stream(changes, f"{place}/offsets").awaitTermination()
+    return users.read().select("user_id", "event_id")
 
 
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")

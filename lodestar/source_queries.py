@@ -23,7 +23,7 @@ def _csv(df: DataFrame, place: str) -> str:
 @query("""SELECT c_name AS name, c_mktsegment AS research_interests, '' AS title, CAST(c_nationkey AS VARCHAR) AS office, 0 AS missing, (SELECT count(*) FROM customer) AS counted, 0 AS broken FROM customer""")
 def people_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSV with loose headers: synonyms, a missing column, another column as attribute; a path that is not there is an empty table."""
-    place = updates.working_folder(spark)
+    place = stored.new_folder(spark, "files")
     c = table(spark, sf_dir, "customer")
     path = _csv(c.select(F.col("c_name").alias(" Names "), F.col("c_mktsegment").alias("Research  Interests"), F.col("c_nationkey").alias("Office")), f"{place}/people")
     chosen = ingest.first_existing(spark, [f"{place}/none", path, f"{place}/later"])
@@ -61,7 +61,7 @@ _COLUMNS = {"pi": "p i", "title": "Title", "overview": "Overview", "app_1": "App
 SELECT s_suppkey AS id, count(p_partkey) AS projects, count(p_partkey) FILTER (WHERE p_size % 2 = 0) AS eas, md5(coalesce(string_agg(t, '|' ORDER BY t), '')) AS texts FROM supplier LEFT JOIN p ON k = s_suppkey GROUP BY 1""")
 def deeptech_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Technology projects of two files with configured headers, attached to people by a key that ignores case and blanks."""
-    place = updates.working_folder(spark)
+    place = stored.new_folder(spark, "files")
     part = table(spark, sf_dir, "part")
     pi = F.when(F.col("p_partkey") % 13 == 0, " ").otherwise(F.concat(F.lit(" PERSON  "), (F.col("p_partkey") % 10 + 1).cast("string")))
     named = part.select("p_size", pi.alias("P I"), F.col("p_name").alias("TITLE"), F.concat(F.lit(" "), "p_name").alias("Overview"), F.col("p_type").alias("App 1"), F.lit("").alias("App 2"), F.lit(" ").alias("App 3"), F.col("p_brand").alias("Industry"))
@@ -76,7 +76,7 @@ def deeptech_people(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey AS raw_row_index, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') || '-2025-' || p_partkey AS startup_id, 2025 AS source_year, p_name AS company_name, 'Ann Lee|' || p_brand AS people, replace(p_type, ' ', '|') AS categories FROM part""")
 def startup_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Startups of a yearly file: ids, people as a numbered list, categories by comma."""
-    place = updates.working_folder(spark)
+    place = stored.new_folder(spark, "files")
     people = F.concat(F.lit("1. Ann  Lee;\n2. "), "p_brand")
     path = _csv(table(spark, sf_dir, "part").select(F.col("p_name").alias("Company_Name"), people.alias("People"), F.replace("p_type", F.lit(" "), F.lit(", ,")).alias("Category"), F.col("p_partkey").alias("raw_row_index")), f"{place}/startup_2025.csv")
     rows = ingest.startups(ingest.read_csv(spark, path), {}, "startup_2025.csv")
@@ -252,7 +252,7 @@ def update_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An update in stages: progress, a table swapped under its readers, a failure that ends it, and one that takes too long."""
     import time
 
-    place = updates.working_folder(spark)
+    place = stored.new_folder(spark, "files")
     seen: list[tuple[float, str]] = []
     c = table(spark, sf_dir, "customer")
 

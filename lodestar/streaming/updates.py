@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -47,84 +45,40 @@ def progress(lines: DataFrame) -> DataFrame:
     return rising.select("run", F.inline(F.aggregate("x", none, add, lambda state: state["out"])))
 
 
-def progress_stream(lines: DataFrame) -> DataFrame:
-    """The same as a stateful stream: per run the last percentage and the people seen."""
+def progress_stream(lines: DataFrame, silent_ms: int | None = None) -> DataFrame:
+    """The same as a stream with keyed state: per run the last percentage and the people seen, in the order in which they appeared.
+
+    silent_ms: a run that brings no line for so long is forgotten. It is for streams that go on: with a timer Spark never ends one that
+    reads what is there (``availableNow``). Lines of a run must come in order from batch to batch."""
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, seen = state.get if state.exists else (0.0, [])
-        names = set(seen)
         out = []
-        for r in pd.concat(list(parts)).sort_values("pos").itertuples(index=False):
-            known = r.name if isinstance(r.name, str) else None
-            target = None
-            if pd.notna(r.total):
-                target = r.start_pct + r.current / r.total * r.stage_pct
-            elif known and known not in names:
-                target = r.start_pct + (len(names) + 1) / max(r.expected, 1) * r.stage_pct
-            if known:
-                names.add(known)
-            if target is not None:
-                percent = min(max(target, r.start_pct), r.start_pct + r.stage_pct)
-                if percent > last + STEP:
-                    last = percent
-                    out.append((key[0], r.pos, percent, known))
-        state.update((last, sorted(names)))
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            last, seen = state.get if state.exists else (0.0, [])
+            names = set(seen)
+            for r in pd.concat(list(parts)).sort_values("pos").itertuples(index=False):
+                known = r.name if isinstance(r.name, str) else None
+                fresh = known is not None and known not in names
+                if fresh:
+                    names.add(known)
+                target = None
+                if pd.notna(r.total):
+                    target = r.start_pct + r.current / r.total * r.stage_pct
+                elif fresh:
+                    target = r.start_pct + len(names) / max(r.expected, 1) * r.stage_pct
+                if target is not None:
+                    percent = min(max(target, r.start_pct), r.start_pct + r.stage_pct)
+                    if percent > last + STEP:
+                        last = percent
+                        out.append((key[0], r.pos, percent, known))
+            state.update((last, [*seen, *sorted(names.difference(seen))]))
+            if silent_ms is not None:
+                state.setTimeoutDuration(silent_ms)
         yield pd.DataFrame(out, columns=["run", "pos", "percent", "name"])
 
     run = lines.schema["run"].dataType.simpleString()
-    return _targets(lines).groupBy("run").applyInPandasWithState(fold, f"run {run}, pos long, percent double, name string", "last double, seen array<string>", "append", GroupStateTimeout.NoTimeout)
-
-
-def upsert_stream(changes: DataFrame, target: str, checkpoint: str, key: str, order: str):
-    """Streams change rows (op add or delete) into a Parquet table: of each key the latest change of all batches counts, by ``order``.
-
-    Deletes are kept as rows, so that an older change in a later batch does not bring a key back. Each batch writes a new version
-    of the table beside the old one, and a batch that is run again writes the same; versions before the last two are deleted."""
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = _newest(spark, target, number)
-        rows = batch if old is None else old.unionByName(batch, allowMissingColumns=True)
-        rest = [c for c in rows.columns if c != key]
-        last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
-        last.write.mode("overwrite").parquet(f"{target}/version={number}")
-        for n in _versions(spark, target):
-            if n < number - 1:
-                _path(spark, f"{target}/version={n}")[1].delete(_path(spark, f"{target}/version={n}")[0], True)
-
-    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def working_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or on one machine under its temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/streams-{uuid.uuid4().hex}"
-
-
-def _path(spark: SparkSession, place: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _versions(spark: SparkSession, target: str) -> list[int]:
-    path, fs = _path(spark, target)
-    if not fs.exists(path):
-        return []
-    found = [s.getPath() for s in fs.listStatus(path)]
-    return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith("version=") and fs.exists(p.suffix("/_SUCCESS")))
-
-
-def _newest(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
-    numbers = [n for n in _versions(spark, target) if below is None or n < below]
-    return spark.read.parquet(f"{target}/version={max(numbers)}") if numbers else None
-
-
-def read_versioned(spark: SparkSession, target: str) -> DataFrame | None:
-    """The rows of the newest complete version; null before the first."""
-    rows = _newest(spark, target)
-    return None if rows is None else rows.where("op = 'add'").drop("op")
+    return _targets(lines).groupBy("run").applyInPandasWithState(fold, f"run {run}, pos long, percent double, name string", "last double, seen array<string>", "append", GroupStateTimeout.NoTimeout if silent_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
