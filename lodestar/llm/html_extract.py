@@ -1,25 +1,25 @@
 """Operator 10: main text of web pages, from flat text blocks and a decision tree.
 
-A page is cut into a flat list of text blocks at block-level tags.  Elements that
-by their markup hold no main text are cut away: menus, footers, asides, forms,
-dialogs, page headers, what is hidden, and reader comments.  Every other block is
-judged by a small decision tree over its number of words and link density (share
-of words inside links), the same of the blocks before and after it (cut ones
-included), its place (in the article, outside the article of a page that marks one,
-or on a page that marks none), and whether an element around it is named as an advert, a notice or a sidebar.  The tree
-is trained on the labelled blocks of ``labelled_blocks.py``; words and densities come
-first in it, the names decide among short blocks alone.
+A page is cut into a flat list of text blocks at block-level tags.  What is no main
+text by its markup is cut away: menus, page headers, footers, asides, forms, dialogs,
+what is hidden, reader comments, and elements that are named as one of these or as an
+advert, a notice or a sidebar.  If the page marks its article (``article``, ``main``), what stands in it is
+the main text, lists of links in it as well, and what stands outside is not.  On all other
+pages a small decision tree judges each block by its number of words and link density (share of words inside
+links) and by those of the blocks before and after it (cut ones included).  The tree
+is trained on the labelled blocks of ``labelled_blocks.py``, which come from pages without an article.  If it finds
+no main text on a page, the blocks with fewer than half of their words in links are.
 
 Tags are read as browsers do: a quote opens a value only after an equals sign, an
 unclosed tag runs to the end of the page.  A quote without an end is no quote.  Every
-page is read once from left to right, whatever is broken in it.
+page is read once from left to right, whatever is broken in it, and an end tag costs what it closes.
 
 Pages are independent rows: one Arrow pass, no shuffle; the tree has a few nodes
 and is trained on the driver from the fixed small table.
 
 Defined results: null and empty html give the empty text with 0 characters; text
 without any tag is one block; unclosed and stray tags are tolerated; every row is
-kept, repeated ids too; other columns are ignored.
+kept, repeated ids too; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,12 +47,16 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 FRAMES = frozenset("html body main article section div nav header footer aside form fieldset dialog menu ul ol dl table figure details".split())
 CUT_TAGS = frozenset("nav footer aside form fieldset dialog menu".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-READERS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
-#: Words of class and id that name an advert, a notice or a sidebar.
+#: Names of class and id: reader comments; adverts, notices and sidebars (a word of a name is enough); headers, footers and menus (the whole name, outside an article).
+READERS = re.compile(r"(?:user|reader|post|page|article|blog)?comments?(?:s|list|area|section|form|thread|box|wrapper)?|respond|reply|replies|disqus|discussion")
 NAMED = frozenset(
     """ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices
     popup modal newsletter subscribe subscription sidebar related recommended recommendations breadcrumb breadcrumbs pagination pager share sharing""".split()
 )
+FRAMING = frozenset(
+    """header footer menu nav navbar navigation masthead topbar toolbar site-header site-footer site-nav site-menu page-header page-footer main-nav main-menu
+    main-navigation top-nav top-menu footer-nav footer-menu global-header global-footer""".split()
+)
 
 
 @dataclass
@@ -62,47 +66,50 @@ class Block:
     linked: int
     inside: bool
     cut: bool
-    named: bool
 
 
 class _Place:
     """Where the reader stands: the open frames, with what they say about their text."""
 
     def __init__(self) -> None:
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, inside an article, cut, named
+        self.open: list[tuple[str, bool, bool]] = []  # tag, inside an article, cut
+        self.count: dict[str, int] = {}
 
-    def now(self) -> tuple[bool, bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False, False)
+    def now(self) -> tuple[bool, bool]:
+        return self.open[-1][1:] if self.open else (False, False)
 
     def enter(self, tag: str, attributes: str) -> None:
-        inside, cut, named = self.now()
+        inside, cut = self.now()
         names, role, hidden = _names(attributes)
         article = tag in ("main", "article") or role in ("main", "article")
-        if tag in CUT_TAGS or role in CUT_ROLES or names & READERS or hidden or (tag == "header" and not inside):
+        words = {w for name in names for w in re.split(r"[^a-z]+", name)}
+        if tag in CUT_TAGS or role in CUT_ROLES or hidden or (tag == "header" and not inside):
             cut = True
         elif article and not cut:
-            # An article may stand in a frame with an unlucky name.
-            inside, named = True, False
-        elif tag not in ("html", "body") and names & NAMED:
-            named = True
-        self.open.append((tag, inside, cut, named))
+            # An article may have an unlucky name.
+            inside = True
+        elif tag not in ("html", "body") and (words & NAMED or any(map(READERS.fullmatch, words)) or (names & FRAMING and not inside)):
+            cut = True
+        self.open.append((tag, inside, cut))
+        self.count[tag] = self.count.get(tag, 0) + 1
 
     def leave(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
+        if self.count.get(tag):
+            last = ""
+            while last != tag:
+                last = self.open.pop()[0]
+                self.count[last] -= 1
 
 
 def _names(attributes: str) -> tuple[set[str], str, bool]:
-    """Words of class and id, the role, and whether the element is hidden."""
+    """Names of class and id, the role, and whether the element is hidden."""
     names: set[str] = set()
     role, hidden = "", False
     if attributes and not attributes.isspace():
         for key, value in _MARKS.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
-                names.update(re.split(r"[^a-z]+", value))
+                names.update(value.replace("_", "-").split())
             elif key == "role":
                 role = value.strip()
             elif key == "style":
@@ -224,9 +231,7 @@ def features(page: list[Block]) -> np.ndarray:
     """One row a block, columns as FEATURES; beyond the ends stand empty blocks."""
     words = np.array([0, *(b.words for b in page), 0], float)
     density = np.array([0, *(b.linked / b.words for b in page), 0], float)
-    marked = any(b.inside and not b.cut for b in page)
-    place = np.array([(2 if b.inside else 0 if marked else 1, b.named) for b in page], float).reshape(-1, 2)
-    return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], place])
+    return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:]])
 
 
 @dataclass
@@ -288,9 +293,17 @@ def is_main(tree: Node, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def chosen(page: list[Block], tree: Node) -> list[bool]:
+    """Which blocks of a page are main text."""
+    if any(b.inside and not b.cut for b in page):
+        return [b.inside and not b.cut for b in page]
+    told = [bool(m) and not b.cut for b, m in zip(page, is_main(tree, features(page)), strict=True)] if page else []
+    return told if any(told) else [not b.cut and 2 * b.linked < b.words for b in page]
+
+
 def main_text(html: str | None, tree: Node) -> str:
     page = blocks(html or "")
-    return " ".join(b.text for b, keep in zip(page, is_main(tree, features(page)), strict=True) if keep and not b.cut) if page else ""
+    return " ".join(b.text for b, keep in zip(page, chosen(page, tree), strict=True) if keep)
 
 
 def _extract(tree: Node) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -1,152 +1,101 @@
-"""The small labelled table of the block classifier: one row a text block of hand-made pages.
+"""The small labelled table of the block classifier: one row a text block of hand-made pages that do not mark their article.
 
-Numbers: words and link density of the block, of the one before and of the one
-after it; its place (0 outside the article of a page that marks one, 1 on a page that
-marks none, 2 inside the article); whether an element around it is named as an
-advert, a notice or a sidebar; last, whether the block is main text.
+Numbers: words and link density of the block, of the one before and of the one after it; last, whether the block is main text.
 """
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "place", "named")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after")
 
 LABELLED = (
     # A page without an article: menu of links, headline, paragraphs, a list, links below, a line at the end.
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0),
-    (2, 1.0, 1, 1.0, 2, 1.0, 1, 0, 0),
-    (1, 1.0, 2, 1.0, 3, 1.0, 1, 0, 0),
-    (3, 1.0, 1, 1.0, 8, 0.0, 1, 0, 0),
-    (8, 0.0, 3, 1.0, 55, 0.0, 1, 0, 1),
-    (55, 0.0, 8, 0.0, 33, 0.1, 1, 0, 1),
-    (33, 0.1, 55, 0.0, 5, 0.0, 1, 0, 1),
-    (5, 0.0, 33, 0.1, 140, 0.0, 1, 0, 1),
-    (140, 0.0, 5, 0.0, 4, 0.0, 1, 0, 1),
-    (4, 0.0, 140, 0.0, 6, 0.0, 1, 0, 1),
-    (6, 0.0, 4, 0.0, 7, 0.0, 1, 0, 1),
-    (7, 0.0, 6, 0.0, 26, 0.2, 1, 0, 1),
-    (26, 0.2, 7, 0.0, 12, 0.9, 1, 0, 1),
-    (12, 0.9, 26, 0.2, 10, 0.8, 1, 0, 0),
-    (10, 0.8, 12, 0.9, 7, 0.7, 1, 0, 0),
-    (7, 0.7, 10, 0.8, 2, 1.0, 1, 0, 0),
-    (2, 1.0, 7, 0.7, 5, 0.0, 1, 0, 0),
-    (5, 0.0, 2, 1.0, 0, 0.0, 1, 0, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 0),
+    (2, 1.0, 1, 1.0, 2, 1.0, 0),
+    (1, 1.0, 2, 1.0, 3, 1.0, 0),
+    (3, 1.0, 1, 1.0, 8, 0.0, 0),
+    (8, 0.0, 3, 1.0, 55, 0.0, 1),
+    (55, 0.0, 8, 0.0, 33, 0.1, 1),
+    (33, 0.1, 55, 0.0, 5, 0.0, 1),
+    (5, 0.0, 33, 0.1, 140, 0.0, 1),
+    (140, 0.0, 5, 0.0, 4, 0.0, 1),
+    (4, 0.0, 140, 0.0, 6, 0.0, 1),
+    (6, 0.0, 4, 0.0, 7, 0.0, 1),
+    (7, 0.0, 6, 0.0, 26, 0.2, 1),
+    (26, 0.2, 7, 0.0, 12, 0.9, 1),
+    (12, 0.9, 26, 0.2, 10, 0.8, 0),
+    (10, 0.8, 12, 0.9, 7, 0.7, 0),
+    (7, 0.7, 10, 0.8, 2, 1.0, 0),
+    (2, 1.0, 7, 0.7, 5, 0.0, 0),
+    (5, 0.0, 2, 1.0, 0, 0.0, 0),
     # Another one: a line of links, a short headline, a date, prose with links, a caption, links between prose.
-    (9, 0.9, 0, 0.0, 3, 0.0, 1, 0, 0),
-    (3, 0.0, 9, 0.9, 52, 0.05, 1, 0, 1),
-    (52, 0.05, 3, 0.0, 31, 0.3, 1, 0, 1),
-    (31, 0.3, 52, 0.05, 18, 0.0, 1, 0, 1),
-    (18, 0.0, 31, 0.3, 2, 0.0, 1, 0, 1),
-    (2, 0.0, 18, 0.0, 90, 0.1, 1, 0, 1),
-    (90, 0.1, 2, 0.0, 11, 0.0, 1, 0, 1),
-    (11, 0.0, 90, 0.1, 75, 0.0, 1, 0, 1),
-    (75, 0.0, 11, 0.0, 1, 1.0, 1, 0, 1),
-    (1, 1.0, 75, 0.0, 1, 1.0, 1, 0, 0),
-    (1, 1.0, 1, 1.0, 4, 1.0, 1, 0, 0),
-    (4, 1.0, 1, 1.0, 6, 0.0, 1, 0, 0),
-    (6, 0.0, 4, 1.0, 3, 1.0, 1, 0, 0),
-    (3, 1.0, 6, 0.0, 8, 0.0, 1, 0, 0),
-    (8, 0.0, 3, 1.0, 0, 0.0, 1, 0, 0),
+    (9, 0.9, 0, 0.0, 3, 0.0, 0),
+    (3, 0.0, 9, 0.9, 52, 0.05, 1),
+    (52, 0.05, 3, 0.0, 31, 0.3, 1),
+    (31, 0.3, 52, 0.05, 18, 0.0, 1),
+    (18, 0.0, 31, 0.3, 2, 0.0, 1),
+    (2, 0.0, 18, 0.0, 90, 0.1, 1),
+    (90, 0.1, 2, 0.0, 11, 0.0, 1),
+    (11, 0.0, 90, 0.1, 75, 0.0, 1),
+    (75, 0.0, 11, 0.0, 1, 1.0, 1),
+    (1, 1.0, 75, 0.0, 1, 1.0, 0),
+    (1, 1.0, 1, 1.0, 4, 1.0, 0),
+    (4, 1.0, 1, 1.0, 6, 0.0, 0),
+    (6, 0.0, 4, 1.0, 3, 1.0, 0),
+    (3, 1.0, 6, 0.0, 8, 0.0, 0),
+    (8, 0.0, 3, 1.0, 0, 0.0, 0),
     # Lists of links with short text between: a front page.
-    (6, 1.0, 5, 1.0, 4, 0.0, 1, 0, 0),
-    (4, 0.0, 6, 1.0, 7, 1.0, 1, 0, 0),
-    (7, 1.0, 4, 0.0, 3, 0.0, 1, 0, 0),
-    (3, 0.0, 7, 1.0, 9, 1.0, 1, 0, 0),
-    (9, 1.0, 3, 0.0, 16, 0.6, 1, 0, 0),
-    (16, 0.6, 9, 1.0, 2, 0.5, 1, 0, 0),
-    (2, 0.0, 16, 0.6, 5, 1.0, 1, 0, 0),
-    (25, 0.8, 2, 1.0, 30, 0.7, 1, 0, 0),
-    (30, 0.7, 25, 0.8, 14, 0.9, 1, 0, 0),
+    (6, 1.0, 5, 1.0, 4, 0.0, 0),
+    (4, 0.0, 6, 1.0, 7, 1.0, 0),
+    (7, 1.0, 4, 0.0, 3, 0.0, 0),
+    (3, 0.0, 7, 1.0, 9, 1.0, 0),
+    (9, 1.0, 3, 0.0, 16, 0.6, 0),
+    (16, 0.6, 9, 1.0, 2, 0.5, 0),
+    (2, 0.0, 16, 0.6, 5, 1.0, 0),
+    (25, 0.8, 2, 1.0, 30, 0.7, 0),
+    (30, 0.7, 25, 0.8, 14, 0.9, 0),
     # A shop's page: names and prices between links, labels, dates, counts.
-    (2, 0.0, 3, 1.0, 1, 0.0, 1, 0, 0),
-    (1, 0.0, 2, 0.0, 4, 1.0, 1, 0, 0),
-    (4, 0.0, 4, 1.0, 2, 1.0, 1, 0, 0),
-    (1, 0.0, 5, 1.0, 3, 1.0, 1, 0, 0),
-    (3, 0.0, 2, 1.0, 6, 0.8, 1, 0, 0),
-    (2, 0.0, 8, 0.9, 3, 1.0, 1, 0, 0),
-    (1, 0.0, 1, 1.0, 2, 1.0, 1, 0, 0),
-    (5, 0.0, 4, 0.9, 1, 1.0, 1, 0, 0),
-    (2, 0.0, 1, 1.0, 1, 1.0, 1, 0, 0),
-    (3, 0.0, 3, 1.0, 4, 1.0, 1, 0, 0),
-    (1, 0.0, 6, 1.0, 0, 0.0, 1, 0, 0),
-    (4, 0.0, 2, 1.0, 7, 1.0, 1, 0, 0),
-    (2, 0.3, 2, 1.0, 5, 1.0, 1, 0, 0),
-    (6, 0.2, 5, 1.0, 1, 1.0, 1, 0, 0),
+    (2, 0.0, 3, 1.0, 1, 0.0, 0),
+    (1, 0.0, 2, 0.0, 4, 1.0, 0),
+    (4, 0.0, 4, 1.0, 2, 1.0, 0),
+    (1, 0.0, 5, 1.0, 3, 1.0, 0),
+    (3, 0.0, 2, 1.0, 6, 0.8, 0),
+    (2, 0.0, 8, 0.9, 3, 1.0, 0),
+    (1, 0.0, 1, 1.0, 2, 1.0, 0),
+    (5, 0.0, 4, 0.9, 1, 1.0, 0),
+    (2, 0.0, 1, 1.0, 1, 1.0, 0),
+    (3, 0.0, 3, 1.0, 4, 1.0, 0),
+    (1, 0.0, 6, 1.0, 0, 0.0, 0),
+    (4, 0.0, 2, 1.0, 7, 1.0, 0),
+    (2, 0.3, 2, 1.0, 5, 1.0, 0),
+    (6, 0.2, 5, 1.0, 1, 1.0, 0),
     # Prose of pages without an article.
-    (44, 0.0, 38, 0.1, 61, 0.0, 1, 0, 1),
-    (61, 0.05, 44, 0.0, 29, 0.0, 1, 0, 1),
-    (29, 0.0, 61, 0.05, 85, 0.2, 1, 0, 1),
-    (85, 0.2, 29, 0.0, 47, 0.0, 1, 0, 1),
-    (47, 0.0, 85, 0.2, 2, 1.0, 1, 0, 1),
-    (36, 0.0, 4, 1.0, 58, 0.0, 1, 0, 1),
-    (58, 0.1, 36, 0.0, 3, 1.0, 1, 0, 1),
-    (72, 0.0, 1, 1.0, 41, 0.0, 1, 0, 1),
+    (44, 0.0, 38, 0.1, 61, 0.0, 1),
+    (61, 0.05, 44, 0.0, 29, 0.0, 1),
+    (29, 0.0, 61, 0.05, 85, 0.2, 1),
+    (85, 0.2, 29, 0.0, 47, 0.0, 1),
+    (47, 0.0, 85, 0.2, 2, 1.0, 1),
+    (36, 0.0, 4, 1.0, 58, 0.0, 1),
+    (58, 0.1, 36, 0.0, 3, 1.0, 1),
+    (72, 0.0, 1, 1.0, 41, 0.0, 1),
     # Short pages of bare text.
-    (3, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1),
-    (1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1),
-    (12, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1),
-    (40, 0.1, 0, 0.0, 0, 0.0, 1, 0, 1),
-    (4, 0.0, 0, 0.0, 6, 0.0, 1, 0, 1),
-    (6, 0.0, 4, 0.0, 0, 0.0, 1, 0, 1),
-    (5, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1),
-    (2, 0.0, 25, 0.0, 0, 0.0, 1, 0, 1),
-    # Adverts, notices and sidebars of pages without an article, named as such; long prose in an unlucky frame.
-    (6, 0.0, 3, 1.0, 8, 0.0, 1, 1, 0),
-    (10, 0.0, 40, 0.0, 55, 0.0, 1, 1, 0),
-    (9, 0.2, 80, 0.0, 61, 0.0, 1, 1, 0),
-    (3, 0.0, 50, 0.1, 20, 0.0, 1, 1, 0),
-    (17, 0.0, 0, 0.0, 30, 0.0, 1, 1, 0),
-    (24, 0.1, 66, 0.0, 5, 0.0, 1, 1, 0),
-    (28, 0.0, 10, 0.0, 12, 0.0, 1, 1, 0),
-    (65, 0.0, 12, 0.0, 80, 0.0, 1, 1, 1),
-    (80, 0.1, 65, 0.0, 48, 0.0, 1, 1, 1),
-    (48, 0.0, 80, 0.1, 120, 0.0, 1, 1, 1),
-    (120, 0.0, 48, 0.0, 6, 1.0, 1, 1, 1),
-    # Inside a marked article: headline, line of the author, prose, quotations, captions, a linked source, a list of tags.
-    (11, 0.0, 9, 0.0, 48, 0.0, 2, 0, 1),
-    (7, 0.0, 2, 1.0, 3, 0.3, 2, 0, 1),
-    (3, 0.3, 7, 0.0, 66, 0.0, 2, 0, 1),
-    (66, 0.0, 3, 0.3, 95, 0.0, 2, 0, 1),
-    (95, 0.0, 66, 0.0, 3, 0.0, 2, 0, 1),
-    (3, 0.0, 95, 0.0, 120, 0.1, 2, 0, 1),
-    (120, 0.1, 3, 0.0, 22, 0.3, 2, 0, 1),
-    (22, 0.3, 120, 0.1, 1, 0.0, 2, 0, 1),
-    (1, 0.0, 22, 0.3, 2, 0.0, 2, 0, 1),
-    (2, 0.0, 1, 0.0, 260, 0.05, 2, 0, 1),
-    (260, 0.05, 2, 0.0, 13, 0.0, 2, 0, 1),
-    (13, 0.0, 260, 0.05, 16, 0.1, 2, 0, 1),
-    (5, 0.0, 8, 1.0, 4, 0.0, 2, 0, 1),
-    (2, 0.0, 1, 1.0, 0, 0.0, 2, 0, 1),
-    (4, 0.0, 3, 1.0, 2, 1.0, 2, 0, 1),
-    (10, 0.0, 1, 1.0, 12, 0.0, 2, 0, 1),
-    (15, 0.45, 30, 0.0, 20, 0.0, 2, 0, 1),
-    (1, 1.0, 40, 0.0, 1, 1.0, 2, 0, 0),
-    (1, 1.0, 1, 1.0, 2, 1.0, 2, 0, 0),
-    (2, 1.0, 1, 1.0, 1, 1.0, 2, 0, 0),
-    (6, 1.0, 2, 1.0, 7, 1.0, 2, 0, 0),
-    (7, 1.0, 6, 1.0, 5, 0.0, 2, 0, 0),
-    (9, 0.9, 5, 1.0, 8, 0.8, 2, 0, 0),
-    # Inside a marked article, named as an advert, a notice, related pages or sharing; and a long text under such a name.
-    (5, 0.0, 260, 0.05, 40, 0.0, 2, 1, 0),
-    (12, 0.0, 60, 0.0, 70, 0.0, 2, 1, 0),
-    (2, 0.0, 20, 0.0, 3, 1.0, 2, 1, 0),
-    (16, 0.2, 75, 0.0, 90, 0.0, 2, 1, 0),
-    (21, 0.0, 41, 0.0, 22, 0.0, 2, 1, 0),
-    (70, 0.0, 20, 0.0, 55, 0.0, 2, 1, 1),
-    (55, 0.1, 70, 0.0, 44, 0.0, 2, 1, 1),
-    (110, 0.0, 44, 0.0, 12, 0.0, 2, 1, 1),
-    # Outside the article of a page that marks one.
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0),
-    (2, 1.0, 1, 1.0, 9, 0.0, 0, 0, 0),
-    (9, 0.0, 2, 1.0, 11, 0.0, 0, 1, 0),
-    (6, 0.0, 2, 1.0, 14, 0.0, 0, 0, 0),
-    (14, 0.1, 48, 0.0, 0, 0.0, 0, 0, 0),
-    (25, 0.1, 80, 0.0, 9, 0.6, 0, 0, 0),
-    (9, 0.6, 25, 0.1, 60, 0.0, 0, 0, 0),
-    (60, 0.0, 9, 0.6, 12, 0.0, 0, 0, 0),
-    (64, 0.0, 28, 0.0, 70, 0.0, 0, 1, 0),
-    (31, 0.0, 14, 0.1, 28, 0.0, 0, 1, 0),
-    (90, 0.0, 64, 0.0, 50, 0.0, 0, 1, 0),
-    (50, 0.1, 90, 0.0, 6, 1.0, 0, 1, 0),
-    (10, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0),
-    (7, 0.0, 1, 1.0, 95, 0.0, 0, 1, 0),
-    (12, 0.0, 3, 1.0, 44, 0.0, 0, 0, 0),
-    (41, 0.0, 2, 1.0, 70, 0.0, 0, 0, 0),
+    (3, 0.0, 0, 0.0, 0, 0.0, 1),
+    (1, 0.0, 0, 0.0, 0, 0.0, 1),
+    (12, 0.0, 0, 0.0, 0, 0.0, 1),
+    (40, 0.1, 0, 0.0, 0, 0.0, 1),
+    (4, 0.0, 0, 0.0, 6, 0.0, 1),
+    (6, 0.0, 4, 0.0, 0, 0.0, 1),
+    (5, 0.0, 60, 0.0, 0, 0.0, 1),
+    (2, 0.0, 25, 0.0, 0, 0.0, 1),
+    # Headlines between a menu and prose.
+    (1, 0.0, 1, 1.0, 40, 0.0, 1),
+    (2, 0.0, 3, 1.0, 55, 0.0, 1),
+    (1, 0.0, 2, 1.0, 31, 0.0, 1),
+    (3, 0.0, 5, 0.9, 70, 0.1, 1),
+    (4, 0.0, 1, 1.0, 28, 0.0, 1),
+    (6, 0.0, 2, 1.0, 36, 0.0, 1),
+    # A page of one paragraph under a menu; prose between lists of links; a list of links of a page of links.
+    (30, 0.0, 1, 1.0, 0, 0.0, 1),
+    (18, 0.0, 4, 1.0, 4, 1.0, 1),
+    (26, 0.1, 2, 1.0, 0, 0.0, 1),
+    (8, 1.0, 30, 0.0, 8, 1.0, 0),
+    (8, 1.0, 8, 1.0, 0, 0.0, 0),
+    (2, 1.0, 26, 0.1, 0, 0.0, 0),
 )
