@@ -1,4 +1,4 @@
-"""An update run: stages with their share of the progress, failures that end it, and a table swap that readers do not see."""
+"""An update run: stages with their share of the progress, and failures that end it. What a stage writes it publishes (``streaming.keyed``)."""
 
 from __future__ import annotations
 
@@ -52,25 +52,3 @@ def _limited(step: Callable[[], DataFrame | None], timeout: float | None) -> Dat
     if "error" in told:
         raise told["error"]  # type: ignore[misc]
     return told["result"]  # type: ignore[return-value]
-
-
-def swap(spark: SparkSession, df: DataFrame, view: str, root: str) -> DataFrame:
-    """Writes a table anew beside the old one and lets the view name it: readers see the old rows or all of the new."""
-    path = f"{root.rstrip('/')}/{view}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    new = spark.read.schema(df.schema).parquet(path)
-    new.createOrReplaceTempView(view)
-    return new
-
-
-def upload_problem(name: str, size: int, extensions: tuple[str, ...], pattern: str | None = None, most: int = 50 * 1024 * 1024) -> str | None:
-    """Why a file is not taken, or null: its extension, its name or its size."""
-    import re
-
-    if not name.lower().endswith(extensions):
-        return f"only {', '.join(extensions)} files are taken"
-    if pattern and not re.match(pattern, name, re.I):
-        return "the name does not fit the pattern"
-    if not 0 < size <= most:
-        return f"the size is not between 1 and {most} bytes"
-    return None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from .plans import match, update
 from .queries import _CANDIDATES, _PAIRS, _RELEVANCE, _asked, _in, _texts
 from .registry import query, table
 from .sources import ingest, markup, pages
-from .streaming import updates
+from .streaming import keyed
 
 
 def _csv(df: DataFrame, place: str) -> str:
@@ -33,25 +35,25 @@ def people_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.select("name", "research_interests", "title", F.col("attributes")["office"].alias("office"), F.lit(none).alias("missing"), F.lit(counts[0]).cast("long").alias("counted"), F.lit(counts[1]).alias("broken"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'BMH', 2022, 'bmh_2022.csv'), (2, 'BMH', 2023, 'BMH_2023.csv'), (3, 'EAS', 2024, 'eas_2024.csv'), (4, 'largest', 0, 'eas_2024.csv'), (5, 'merged EAS', 0, 'eas_2024.csv'), (6, 'merged MES', 0, 'mes_2020.csv'),
- (7, 'merged BMH', 0, 'bmh_2022.csv'), (7, 'merged BMH', 0, 'BMH_2023.csv'), (8, 'enabled', 0, 'a.csv'), (9, 'fallback', 0, 'f.csv')) AS t(n, kind, year, file)""")
+@query("""WITH y AS (SELECT DISTINCT split_part(o_orderpriority, '-', 2) AS s, year(o_orderdate) AS year FROM orders), f AS (SELECT s, year, CASE WHEN year % 2 = 0 THEN s ELSE lower(s) END || '_' || year || '.csv' AS file FROM y WHERE trim(s) <> '' AND NOT contains(s, ' ')),
+m AS (SELECT upper(s) AS source, file FROM f UNION ALL SELECT 'EAS', 'other_' || c_mktsegment FROM (SELECT DISTINCT c_mktsegment FROM customer))
+SELECT 'listed' AS what, upper(s) AS source, year, file FROM f
+UNION ALL SELECT 'largest', '', 0, max(file) FROM f UNION ALL SELECT 'merged', source, 0, file FROM m UNION ALL SELECT 'enabled', '', 0, file FROM f WHERE year % 2 = 0 UNION ALL SELECT 'fallback', '', 0, 'f.csv'""")
 def yearly_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yearly files of a folder, the largest name, discovered and configured sources together, enabled ones and the fallback."""
-    place = "x:/folder"
-    listing = spark.createDataFrame([(f"{place}/{n}", i) for i, n in enumerate(("eas_2024.csv", "BMH_2023.csv", "bmh_2022.csv", "notes.txt"))], "path string, modified long")
-    found = ingest.named_files(listing)
-    file = F.element_at(F.split("path", "/"), -1)
-    rank = F.when(F.col("source") == "EAS", 3).otherwise(F.col("year") - 2021)
-    listed = found.select(rank.alias("n"), F.col("source").alias("kind"), "year", file.alias("file"))
-    largest = ingest.latest(found, by="path").select(F.lit(4).alias("n"), F.lit("largest").alias("kind"), F.lit(0).alias("year"), file.alias("file"))
-    configured = spark.createDataFrame([(f"{place}/mes_2020.csv", None), (f"{place}/eas_2024.csv", "other")], "path string, source_id string")
+    """Yearly files named after priorities and years of orders: discovered, the largest name, merged with configured sources, those enabled, the fallback."""
+    orders = table(spark, sf_dir, "orders").select(F.split_part("o_orderpriority", F.lit("-"), F.lit(2)).alias("s"), F.year("o_orderdate").alias("y"), "o_orderdate")
+    name = F.concat(F.when(F.col("y") % 2 == 0, F.col("s")).otherwise(F.lower("s")), F.lit("_"), F.col("y").cast("string"), F.lit(".csv"))
+    listing = orders.groupBy(F.concat(F.lit("x:/folder/"), name).alias("path")).agg(F.unix_timestamp(F.max("o_orderdate")).alias("modified"))
+    found, file = ingest.named_files(listing), F.element_at(F.split("path", "/"), -1).alias("file")
+    none, zero = F.lit("").alias("source"), F.lit(0).alias("year")
+    configured = table(spark, sf_dir, "customer").select(F.concat(F.lit("x:/other_"), "c_mktsegment").alias("path"), F.lit(None).cast("string").alias("source_id")).distinct()
     merged = ingest.merge_sources(found.select("path", F.col("source").alias("source_id")), configured)
-    number = F.when(F.col("source_id") == "EAS", 5).when(F.col("source_id") == "MES", 6).otherwise(7)
-    told = merged.select(number.alias("n"), F.concat(F.lit("merged "), "source_id").alias("kind"), F.lit(0).alias("year"), file.alias("file"))
-    sources = spark.createDataFrame([("x/a.csv", "A", True), ("x/b.csv", "B", False)], "path string, source_id string, enabled boolean")
-    on = ingest.enabled_sources(sources, "x/f.csv").select(F.lit(8).alias("n"), F.lit("enabled").alias("kind"), F.lit(0).alias("year"), file.alias("file"))
-    off = ingest.enabled_sources(sources.where("NOT enabled"), "x/f.csv").select(F.lit(9).alias("n"), F.lit("fallback").alias("kind"), F.lit(0).alias("year"), file.alias("file"))
-    return listed.unionByName(largest).unionByName(told).unionByName(on).unionByName(off)
+    switched = found.select("path", F.col("source").alias("source_id"), (F.col("year") % 2 == 0).alias("enabled"))
+    told = [
+        found.select(F.lit("listed").alias("what"), "source", "year", file), ingest.latest(found, by="path").select(F.lit("largest").alias("what"), none, zero, file), merged.select(F.lit("merged").alias("what"), F.col("source_id").alias("source"), zero, file),
+        ingest.enabled_sources(switched, "x/f.csv").select(F.lit("enabled").alias("what"), none, zero, file), ingest.enabled_sources(switched.where("year(current_date()) < 0"), "x/f.csv").select(F.lit("fallback").alias("what"), none, zero, file),
+    ]
+    return functools.reduce(DataFrame.unionByName, told)
 
 
 _COLUMNS = {"pi": "p i", "title": "Title", "overview": "Overview", "app_1": "App 1", "app_2": "App 2", "app_3": "App 3", "industry_1": "Industry"}
@@ -246,32 +248,36 @@ def query_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("query_id", F.round("similarity", 6).alias("similarity"), F.array_join("areas", "|").alias("suggestions"), validate.area_names(F.col("areas")).alias("areas"))
 
 
-@query("""SELECT * FROM (VALUES (0, 0.0, 'info', 'ok'), (1, 33.3, 'publication', 'ok'), (2, 66.6, 'project', 'failed: no file')) AS t(n, percent, stage, status)
-UNION ALL SELECT 3, 100.0, 'rows', CAST((SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) AS VARCHAR) UNION ALL SELECT 4, 0.0, 'slow', 'failed: no result after 0.2 s' UNION ALL SELECT 5, 0.0, 'settings', '0.7 0.2'""")
+@query("""WITH kept AS (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0), o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM kept))
+SELECT c_custkey AS id, CAST(count(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS papers, CAST(count(o_orderkey) FILTER (WHERE o_orderstatus <> 'F') AS BIGINT) AS projects FROM kept LEFT JOIN o ON o_custkey = c_custkey GROUP BY 1""")
 def update_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An update in stages: progress, a table swapped under its readers, a failure that ends it, and one that takes too long."""
-    import time
-
-    place = stored.new_folder(spark, "files")
-    seen: list[tuple[float, str]] = []
-    c = table(spark, sf_dir, "customer")
-
-    def failing() -> None:
-        raise FileNotFoundError("no file")
-
-    def swapped() -> DataFrame:
-        update.swap(spark, c, "stored_people", place)
-        return update.swap(spark, c.where("c_custkey % 2 = 0"), "stored_people", place)
-
-    told = update.run_update({"info": swapped, "publication": lambda: None, "project": failing, "merge": failing}, lambda percent, stage: seen.append((percent, stage)))
-    status = {stage: "ok" for stage in told["results"]} | {told["stage"]: f"failed: {told['error']}"}
-    rows = [(n, percent, stage, status[stage]) for n, (percent, stage) in enumerate(seen)]
-    rows.append((3, 100.0, "rows", str(spark.table("stored_people").count())))
-    slow = update.run_update({"info": lambda: time.sleep(1)}, lambda percent, stage: None, timeout=0.2)
-    rows.append((4, 0.0, "slow", f"failed: {slow['error']}"))
-    weights = match.people_weights({"people": {"alpha": 0.7, "beta": 0.2}})
-    rows.append((5, 0.0, "settings", f"{weights['alpha']} {weights['beta']}"))
-    return spark.createDataFrame(rows, "n int, percent double, stage string, status string")
+    """An update in stages over keyed tables: people join and depart, papers and projects are added and go with their people, and the merged table is published.
+
+    Customers stand for people, their orders for papers and projects; the published table is read in another session."""
+    place = stored.new_folder(spark, "update")
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    people, papers, projects = (keyed.KeyedTable(spark, f"{place}/{n}", key, "at", buckets=8) for n, key in (("people", "id"), ("papers", "o_orderkey"), ("projects", "o_orderkey")))
+    departed = c.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("id"))
+
+    def info() -> None:
+        people.apply(c.select(F.col("c_custkey").alias("id"), F.lit("add").alias("op"), F.lit(1).alias("at")))
+        people.apply(departed.select("id", F.lit("delete").alias("op"), F.lit(2).alias("at")))
+
+    def added(to: keyed.KeyedTable, rows: DataFrame) -> None:
+        to.apply(rows.select("o_orderkey", F.col("o_custkey").alias("id"), F.lit("add").alias("op"), F.lit(1).alias("at")))
+        gone = to.read().join(departed, "id", "left_semi")
+        to.apply(gone.select("o_orderkey", "id", F.lit("delete").alias("op"), F.lit(2).alias("at")))
+
+    def merge() -> None:
+        count = lambda t, n: t.read().groupBy("id").agg(F.count("*").alias(n))
+        merged = people.read().select("id").join(count(papers, "papers"), "id", "left").join(count(projects, "projects"), "id", "left").na.fill(0, ["papers", "projects"])
+        keyed.publish(merged, f"{place}/merged")
+
+    steps = {"info": info, "publication": lambda: added(papers, o.where("o_orderstatus = 'F'")), "project": lambda: added(projects, o.where("o_orderstatus <> 'F'")), "merge": merge}
+    told = update.run_update(steps, lambda percent, stage: None)
+    if told["status"] != "completed":
+        raise RuntimeError(f"{told['stage']}: {told['error']}")
+    return keyed.published(spark, f"{place}/merged")
 
 
 def _similar(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, vectors.TfIdf]:

@@ -15,7 +15,6 @@ from lodestar.functions import terms, text, topk, vectors
 from lodestar.operators import evaluate, graph
 from lodestar.plans import match
 from lodestar.sources import ingest
-from lodestar.streaming import updates
 
 
 def tokens(t):
@@ -240,13 +239,3 @@ def test_files_that_are_not_there_or_broken(spark, tmp_path):
     (tmp_path / "bad.csv").write_bytes(b"name\nZo\xeb\n")
     assert ingest.read_csv(spark, f"file://{tmp_path}/bad.csv", replace=True).first()["name"] == "Zo�"
     assert ingest.row_count(spark, f"file://{tmp_path}/bad.csv") == 1 and ingest.row_count(spark, f"file://{tmp_path}/none.csv") == 0
-
-
-def test_an_older_change_in_a_later_batch_does_not_win(spark, tmp_path):
-    schema = "k long, v string, at long, op string"
-    source, target = f"{tmp_path}/in", f"file://{tmp_path}/out"
-    for rows in ([(1, "new", 5, "add"), (2, "", 6, "delete")], [(1, "old", 3, "add"), (2, "old", 4, "add"), (3, "x", 1, "add")], [(4, "y", 9, "add")], [(5, "z", 9, "add")]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        updates.upsert_stream(spark.readStream.schema(schema).parquet(source), target, f"{tmp_path}/offsets", "k", "at").awaitTermination()
-    assert {(r.k, r.v) for r in updates.read_versioned(spark, target).collect()} == {(1, "new"), (3, "x"), (4, "y"), (5, "z")}
-    assert updates._versions(spark, target) == [2, 3]

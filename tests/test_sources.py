@@ -83,14 +83,3 @@ def test_slow_steps_are_folded_exactly(spark):
             last = percent
             want.append(i)
     assert sorted(r.pos for r in got) == want
-
-
-def test_upserts_are_idempotent(spark, tmp_path):
-    schema = "k long, v string, at long, op string"
-    source, target = f"{tmp_path}/in", f"file://{tmp_path}/out"
-    for n, rows in enumerate(([(1, "a", 1, "add"), (2, "b", 2, "add")], [(1, "c", 3, "add"), (2, "", 4, "delete"), (3, "d", 5, "add"), (3, "e", 6, "add")])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        for _ in range(2):  # the second run finds nothing new
-            updates.upsert_stream(spark.readStream.schema(schema).parquet(source), target, f"{tmp_path}/offsets", "k", "at").awaitTermination()
-        got = {(r.k, r.v) for r in updates.read_versioned(spark, target).collect()}
-        assert got == ({(1, "a"), (2, "b")} if not n else {(1, "c"), (3, "e")})
