@@ -35,9 +35,9 @@ def people_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.select("name", "research_interests", "title", F.col("attributes")["office"].alias("office"), F.lit(none).alias("missing"), F.lit(counts[0]).cast("long").alias("counted"), F.lit(counts[1]).alias("broken"))
 
 
-@query("""WITH y AS (SELECT DISTINCT split_part(o_orderpriority, '-', 2) AS s, year(o_orderdate) AS year FROM orders), f AS (SELECT s, year, CASE WHEN year % 2 = 0 THEN s ELSE lower(s) END || '_' || year || '.csv' AS file FROM y WHERE trim(s) <> '' AND NOT contains(s, ' ')),
-m AS (SELECT upper(s) AS source, file FROM f UNION ALL SELECT 'EAS', 'other_' || c_mktsegment FROM (SELECT DISTINCT c_mktsegment FROM customer))
-SELECT 'listed' AS what, upper(s) AS source, year, file FROM f
+@query("""WITH y AS (SELECT DISTINCT split_part(o_orderpriority, '-', 2) AS s, year(o_orderdate) AS year FROM orders), f AS (SELECT s, year, CASE WHEN year % 2 = 0 THEN s ELSE lower(s) END || '_' || year || '.csv' AS file FROM y),
+m AS (SELECT upper(regexp_extract(s, '[A-Za-z]+$')) AS source, file FROM f UNION ALL SELECT 'EAS', 'other_' || c_mktsegment FROM (SELECT DISTINCT c_mktsegment FROM customer))
+SELECT 'listed' AS what, upper(regexp_extract(s, '[A-Za-z]+$')) AS source, year, file FROM f
 UNION ALL SELECT 'largest', '', 0, max(file) FROM f UNION ALL SELECT 'merged', source, 0, file FROM m UNION ALL SELECT 'enabled', '', 0, file FROM f WHERE year % 2 = 0 UNION ALL SELECT 'fallback', '', 0, 'f.csv'""")
 def yearly_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly files named after priorities and years of orders: discovered, the largest name, merged with configured sources, those enabled, the fallback."""
