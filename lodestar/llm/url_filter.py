@@ -12,7 +12,8 @@ allowed.
 The edges are the pages' links between hosts and, as a host answers for its
 subdomains and they for it, an edge each way of weight ``FAMILY`` between a host and
 its parent domain (of two labels at least), whether pages of that domain are there
-or not.  Links are resolved first; those inside a host are no edges.
+or not.  Domains under which anyone can have a host (``PUBLIC``) are no parents: strangers
+do not answer for each other.  Links are resolved first; those inside a host are no edges.
 
 Links are counted per page and pair of hosts before they are shuffled, so a page
 or host with very many links is a few rows.  A round is one equi-join of host
@@ -55,11 +56,18 @@ DAMPING = 0.85
 #: Share of the scores that may still change when the rounds end, and rounds of one written job.
 SETTLED = 1e-6
 WRITTEN = 16
+#: A host is blocked only if its distrust is this share of a host's mean or more.
+LEAST_DISTRUST = 0.01
+#: Domains under which anyone can have a host (some of the well-known ones; a parameter): their hosts are no family.
+PUBLIC = tuple(
+    """co.uk org.uk ac.uk gov.uk me.uk com.au net.au org.au edu.au co.jp ne.jp or.jp ac.jp com.br com.cn net.cn org.cn com.mx com.tr com.ar co.in co.kr co.nz co.za com.hk com.sg com.tw
+    github.io gitlab.io blogspot.com wordpress.com tumblr.com herokuapp.com netlify.app vercel.app pages.dev web.app appspot.com cloudfront.net amazonaws.com azurewebsites.net""".split()
+)
 #: Weight of the edges between a host and its parent domain, in linking pages.
 FAMILY = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
+_HREF = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -108,11 +116,11 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def family_edges(hosts: DataFrame, weight: float = FAMILY) -> DataFrame:
-    """hosts: host. (src, dst, weight) both ways between every host, its parent domain, and so on up."""
+def family_edges(hosts: DataFrame, weight: float = FAMILY, public: Sequence[str] = PUBLIC) -> DataFrame:
+    """hosts: host. (src, dst, weight) both ways between every host, its parent domain, and so on up, short of the public domains."""
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    up = hosts.where("host <> ''").select(F.explode(suffixes).alias("src")).distinct().select("src", parent_of(F.col("src")).alias("dst")).where("dst is not null")
+    up = hosts.where("host <> ''").select(F.explode(suffixes).alias("src")).distinct().select("src", parent_of(F.col("src")).alias("dst")).where("dst is not null").where(~F.col("dst").isin(*public) if public else F.lit(True))
     return up.select("src", "dst", F.lit(float(weight)).alias("weight")).union(up.select("dst", "src", F.lit(float(weight))))
 
 
@@ -164,14 +172,15 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, sett
     return state.select("host", *[(F.col(c) / F.lit(x or 1.0)).alias(c) for c, x in zip(("trust", "distrust"), total, strict=True)])
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD, public: Sequence[str] = PUBLIC) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust: one row a page."""
     told = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     share = lambda verdict: F.avg(F.coalesce((F.col("fit.verdict") == verdict).cast("double"), F.lit(0.0)))
     seed = lambda name: F.when(F.col(name) > SEED_SHARE, F.col(name)).otherwise(0.0).alias(name)
     hosts = told.where("host <> ''").groupBy("host").agg(share("allow").alias("trust_seed"), share("block").alias("distrust_seed")).select("host", seed("trust_seed"), seed("distrust_seed"))
-    scores = materialize(propagate(hosts, link_edges(pages).unionByName(family_edges(hosts))), "host-ranks")
-    placed = told.join(bounded_broadcast(scores, scores.count()), "host", "left")
-    blocked = F.coalesce(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), F.lit(False))
+    scores = materialize(propagate(hosts, link_edges(pages).unionByName(family_edges(hosts, public=public))), "host-ranks")
+    count = scores.count()
+    placed = told.join(bounded_broadcast(scores, count), "host", "left")
+    blocked = F.coalesce((F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))) & (F.col("distrust") * count >= LEAST_DISTRUST), F.lit(False))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(blocked, "block").otherwise("allow"))
     return placed.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

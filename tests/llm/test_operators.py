@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -75,6 +76,21 @@ def test_rules_from_a_table_agree(spark):
     assert got == {(r.host, r.path): (r.f.rule, r.f.verdict) for r in want}
 
 
+def test_strangers_under_a_public_domain(spark):
+    rows = [(0, "http://bad.co.uk/blocked/", None)] + [(i, f"http://h{i}.co.uk/x", None) for i in range(1, 6)] + [(9, "http://www.bad.co.uk/x", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, (("bad.co.uk", "/blocked/", "block"),)).collect()}
+    assert got == {0: "block", 9: "block", **{i: "allow" for i in range(1, 6)}}
+
+
+def test_link_edges_against_a_plain_reader(spark):
+    html = ["<a href='http://B.com/x'>1</a><a class=c href=//c.org?y>2</a><a href=\"/in\">3</a>", "<A HREF=https://a.com/self><a\nhref = 'http://b.com'>", "<a name=x>no</a><a href=mailto:x@b.com><ahref=http://no.com>", None, "<a " * 30_000 + "href=http://b.com"]
+    pages = spark.createDataFrame([(i, "http://a.com/", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    started = time.time()
+    assert {(r.src, r.dst, r.weight) for r in url_filter.link_edges(pages).collect()} == {("a.com", "b.com", 3.0), ("a.com", "c.org", 1.0)}
+    assert time.time() - started < 20
+
+
 def test_propagation_against_dense_iteration(spark):
     rng = random.Random(2)
     n = 9
