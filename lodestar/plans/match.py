@@ -136,9 +136,11 @@ def related(similarity: DataFrame) -> DataFrame:
     return similarity.where("similarity > 0").select("query_id", F.col("entity_id").alias("id"), F.col("similarity").alias("score"))
 
 
-def match_people(queries: DataFrame, people: DataFrame, edges: DataFrame, projects: DataFrame | None = None, k: int = 10, validate_query: bool = True, use_keywords: bool = True, **weights: float) -> tuple[DataFrame, DataFrame]:
+def match_people(queries: DataFrame, people: DataFrame, edges: DataFrame, projects: DataFrame | None = None, k: int = 10, validate_query: bool = True, use_keywords: bool = True, fields: list[str] | None = None, **weights: float) -> tuple[DataFrame, DataFrame]:
     """queries: query_id, query. people: id, text (the weighted profile), priority. projects: id, project, text.
 
+    fields: columns of people that the results carry; then they carry their ranked projects as well (``result_rows``).
+
     Returns the checked queries, and query_id, id, score, rank with the parts of the score, for queries that are not invalid.
     The vocabulary and the checked queries are used several times, so they are written once."""
     corpus = people.select("id", "text")
@@ -152,11 +154,14 @@ def match_people(queries: DataFrame, people: DataFrame, edges: DataFrame, projec
         keyed = projects.withColumn("key", F.concat_ws("/", "id", "project"))
         near = sparse_cosine(vector, model.transform(keyed.select(F.col("key").alias("id"), "text"))).withColumnRenamed("entity_id", "key")
         ranked = rank_projects(near.join(keyed.select("key", "id", "project", (F.trim("text") == "").alias("blank")), "key").drop("key"))
-    return checked, rank_related(asked, sims, people, edges, ranked, k=k, **weights)
+    best = rank_related(asked, sims, people, edges, ranked, k=k, **weights)
+    return checked, best if fields is None else result_rows(best, people, fields, ranked)
+
 
+def match_startups(queries: DataFrame, startups: DataFrame, edges: DataFrame, k: int = 10, weights: Mapping[str, float] = FIELD_WEIGHTS, validate_query: bool = True, use_keywords: bool = True, alpha: float = 1.0, gamma: float = 0.1, shown: bool = False) -> tuple[DataFrame, DataFrame]:
+    """startups: id, company, description, category (joined). Returns the checked queries, and query_id, id, score, rank.
 
-def match_startups(queries: DataFrame, startups: DataFrame, edges: DataFrame, k: int = 10, weights: Mapping[str, float] = FIELD_WEIGHTS, validate_query: bool = True, use_keywords: bool = True, alpha: float = 1.0, gamma: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """startups: id, company, description, category (joined). Returns the checked queries, and query_id, id, score, rank."""
+    shown: the results carry the startup's fields and their matched keywords, best first."""
     fields = list(weights)
     long = startups.select("id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), field_text(F.col(f), f).alias("text")) for f in fields])))
     keyed = long.select(F.concat_ws("/", "id", "field").alias("id"), "text")
@@ -171,7 +176,21 @@ def match_startups(queries: DataFrame, startups: DataFrame, edges: DataFrame, k:
     near = sparse_cosine(vector, model.transform(keyed)).join(long.select(F.concat_ws("/", "id", "field").alias("entity_id"), "id", "field"), "entity_id")
     wide = near.groupBy("query_id", "id").agg(*[F.max(F.when(F.col("field") == f, F.col("similarity"))).alias(f) for f in fields])
     semantic = wide.select("query_id", F.col("id").alias("entity_id"), semantic_score({f: F.col(f) for f in fields}, weights).alias("similarity"))
-    return checked, rank_related_startups(asked, related(semantic), startups, edges, k=k, alpha=alpha, gamma=gamma)
+    best = rank_related_startups(asked, related(semantic), startups, edges, k=k, alpha=alpha, gamma=gamma)
+    if not shown:
+        return checked, best
+    best = stored.materialize(best, "ranked-startups")
+    weighed = weighed_keywords(asked.select("query_id", F.col("base_query").alias("query")))
+    found = keywords.matched_keywords(keyword_pairs(best, long, weighed, model, weights, top=k)).select("query_id", F.col("entity_id").alias("id"), "rank", "keyword")
+    lists = found.groupBy("query_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]).alias("keywords"))
+    none = F.array().cast("array<string>")
+    return checked, result_rows(best, startups, fields).join(lists, ["query_id", "id"], "left").withColumn("keywords", F.coalesce("keywords", none))
+
+
+def weighed_keywords(asked: DataFrame) -> DataFrame:
+    """query_id, keyword, weight of queries (query_id, query): what results are highlighted with, and all there is to highlight where no startup is known."""
+    scored = keywords.score(keywords.candidates(asked))
+    return keywords.keyword_candidates(scored, keywords.filtered_query(asked, scored)).select("query_id", "keyword", "weight")
 
 
 def result_rows(ranked: DataFrame, entities: DataFrame, fields: list[str], projects: DataFrame | None = None, most_projects: int = 50) -> DataFrame:

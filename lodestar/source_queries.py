@@ -13,7 +13,7 @@ from .operators import keywords, profile, validate
 from .plans import match, update
 from .queries import _CANDIDATES, _PAIRS, _RELEVANCE, _asked, _in, _texts
 from .registry import query, table
-from .sources import ingest, markup, pages
+from .sources import ingest, markup, pages, workbook
 from .streaming import keyed
 
 
@@ -85,6 +85,23 @@ def startup_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("raw_row_index").cast("long").alias("raw_row_index"), "startup_id", "source_year", "company_name", F.array_join("people", "|").alias("people"), F.array_join("categories", "|").alias("categories"))
 
 
+@query("""SELECT 'STARTUP_' || (2020 + p_size % 4) AS file, row_number() OVER (PARTITION BY p_size % 4 ORDER BY p_partkey) AS raw_row_index,
+ trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') || '-' || (2020 + p_size % 4) || '-' || row_number() OVER (PARTITION BY p_size % 4 ORDER BY p_partkey) AS startup_id, p_name || ' <&> "x"' AS company_name, replace(p_type, ' ', '|') AS categories, CAST(p_size AS VARCHAR) AS funding FROM part""")
+def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Startups of four yearly workbooks, written from parts and read back sheet by sheet."""
+    folder = stored.new_folder(spark, "workbooks")
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("STARTUP_"), (2020 + F.col("p_size") % 4).cast("string")).alias("file"), "p_partkey", F.concat("p_name", F.lit(' <&> "x"')).alias("Company  Name"), F.replace("p_type", F.lit(" "), F.lit(", ")).alias("Category"), F.col("p_size").alias("Funding"), F.lit(None).cast("string").alias("Website"))
+    workbook.write_workbooks(rows, folder, "file", "p_partkey")
+    read = ingest.read_xlsx(spark, folder)
+    told = []
+    for year in range(2020, 2024):
+        one = read.where(F.col("_file").endswith(f"STARTUP_{year}.xlsx"))
+        numbered = one.withColumn("raw_row_index", F.col("_row"))
+        found = ingest.startups(numbered, {"company_name": "company name"}, f"startup_{year}.xlsx")
+        told.append(found.select(F.lit(f"STARTUP_{year}").alias("file"), "raw_row_index", "startup_id", "company_name", F.array_join("categories", "|").alias("categories"), "funding"))
+    return functools.reduce(DataFrame.unionByName, told).withColumn("startup_id", F.regexp_replace("startup_id", "-x-(20)", "-$1"))
+
+
 @query("""WITH c AS (SELECT c_custkey AS r, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'P ' || c_custkey % 40 END AS name, c_mktsegment AS department, 'T ' || c_nationkey % 3 AS title, c_custkey % 2 = 0 AS is_engineering, CASE WHEN c_custkey % 3 = 0 THEN -1.0 ELSE c_custkey % 7 END::DOUBLE AS years FROM customer),
 k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY name, department, title ORDER BY r) = 1)
 SELECT r, CASE WHEN name = '' THEN 'Professor ' || row_number() OVER (ORDER BY r) ELSE name END AS name, department, title, is_engineering, years FROM k""")

@@ -6,9 +6,7 @@ import csv
 import io
 import itertools
 import re
-import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, split_list, split_numbered, startup_id
 from ..operators.profile import number_rows
+from . import workbook
 
 # Encodings in the order they are tried, header synonyms and the columns of people.
 ENCODINGS = ("utf-8", "gb18030", "gbk", "big5", "iso-8859-1")
@@ -95,20 +94,20 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, missin
     """All columns as strings, headers normal, ``_row`` in file order (file name, then line); quotes and line breaks as usual.
 
     missing: columns of the empty table that stands for a path that is not there (an error where it is not given).
-    replace: bytes that no encoding (or the one that is given) can read become replacement characters."""
+    replace: bytes that the encoding (UTF-8 if none is given) cannot read become replacement characters."""
     if missing is not None and not exists(spark, path):
         return with_rows(spark.createDataFrame([], ", ".join(f"`{c}` string" for c in missing)))
-    if encoding is None:
-        tried = tried_encodings(spark, path)
-        encoding = next((name for name, file in tried if file is None), "utf-8" if replace else None) or decodable(spark, path)
+    encoding = encoding or ("utf-8" if replace else decodable(spark, path))
     if encoding.lower() in NATIVE:
         df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
-        return _in_file_order(normalize(df.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))))
+        file = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+        return _in_file_order(normalize(df.select("*", file.alias("_file"), F.monotonically_increasing_id().alias("_at"))), {re.sub("^file:/+", "file:/", f) for f in df.inputFiles()})
     rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_csv_rows(encoding, "replace" if replace else "strict"), "_file string, _at long, cells array<string>")
     first = rows.where("_at = 0").orderBy("_file").first()
     names = first.cells if first else []
     wide = rows.where("_at > 0").select("_file", "_at", *[F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(f"{i}:{n}") for i, n in enumerate(names)])
-    return _in_file_order(normalize(wide.toDF("_file", "_at", *names)))
+    listed = spark.read.format("binaryFile").load(path).select("path").collect()
+    return _in_file_order(normalize(wide.toDF("_file", "_at", *names)), {f.path for f in listed})
 
 
 def _csv_rows(encoding: str, errors: str):
@@ -125,9 +124,9 @@ def _csv_rows(encoding: str, errors: str):
     return run
 
 
-def _in_file_order(df: DataFrame) -> DataFrame:
+def _in_file_order(df: DataFrame, files: set[str]) -> DataFrame:
     """``_row`` from _file and _at (increasing inside a file): the number of the file by name, then its rows. The listing is on the driver anyway; a file has fewer than 2**33 rows."""
-    names = sorted({f.path for f in df.select(F.col("_file").alias("path")).distinct().collect()})
+    names = sorted(files)
     table = df.sparkSession.createDataFrame([(name, i) for i, name in enumerate(names)], "_file string, __n long")
     place = F.shiftleft("__n", 33) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return df.join(F.broadcast(table) if len(names) <= 100_000 else table, "_file").withColumn("_row", place).drop("_file", "_at", "__n")
@@ -142,42 +141,8 @@ def row_count(spark: SparkSession, path: str) -> int:
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of each workbook as strings, a row a row under the first file's header, ``_row`` and ``_file``; a task reads a file."""
-    cells = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_sheet_rows, "_file string, at long, cells array<string>")
-    first = cells.where("at = 0").orderBy("_file").first()
-    names = [c or f"column {i}" for i, c in enumerate(first.cells)] if first else []
-    wide = cells.where("at > 0").select("_file", "at", *[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
-    return normalize(wide).withColumnRenamed("at", "_row") if names else with_rows(wide.drop("at"))
-
-
-_CELL = re.compile(r"([A-Z]+)\d+")
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-def _sheet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = list(_cells(content))
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["_file", "at", "cells"])
-
-
-def _cells(content: bytes) -> Iterator[list[str]]:
-    """Rows of the first sheet of a workbook: shared and inline strings, numbers as they are written."""
-    text = lambda e: "".join(t.text or "" for t in e.iter(f"{_MAIN}t"))
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = book.namelist()
-        shared = [text(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")] if "xl/sharedStrings.xml" in names else []
-        sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: (len(n), n))
-        for row in ElementTree.fromstring(book.read(sheet)).iter(f"{_MAIN}row"):
-            out: list[str] = []
-            for c in row.iter(f"{_MAIN}c"):
-                m = _CELL.match(c.get("r", ""))
-                at = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(m[1]))) - 1 if m else len(out)
-                value = c.find(f"{_MAIN}v")
-                said = "" if value is None else value.text or ""
-                out += [""] * (at - len(out))
-                out.append(shared[int(said)] if c.get("t") == "s" else text(c) if c.get("t") == "inlineStr" else said)
-            yield out
+    """The first sheet of each workbook as strings under the first file's header; ``_file``, and ``_row`` from 1 in each file."""
+    return normalize(workbook.as_table(workbook.read_cells(spark, path))).withColumnRenamed("_at", "_row")
 
 
 def with_rows(df: DataFrame) -> DataFrame:

@@ -102,15 +102,19 @@ class KeyedTable:
         return sorted(int(n.split("=")[1]) for n in names if n.startswith("__bucket=") and n.split("=")[1].isdigit())
 
     def _rows(self, said: dict, buckets: list[str]) -> DataFrame:
-        """All changes that are kept of some buckets, each folder's under its latest."""
+        """The latest row of each key of some buckets. Only changes, and the rows of keys that changed, are shuffled: the rest of a bucket's first folder is read as it is."""
         schema = StructType.fromJson(said["schema"])
-        several = [f"{self.data}/{f}/__bucket={b}" for b in buckets if len(said["folders"][b]) > 1 for f in said["folders"][b]]
-        one = [f"{self.data}/{said['folders'][b][0]}/__bucket={b}" for b in buckets if len(said["folders"][b]) == 1]
-        out = self.spark.read.schema(schema).parquet(*one) if one else None
-        if several:
-            merged = self._latest(self.spark.read.schema(schema).parquet(*several), "__version")
-            out = merged if out is None else out.unionByName(merged)
-        return self.spark.createDataFrame([], schema) if out is None else out
+        read = lambda places: self.spark.read.schema(schema).parquet(*places)
+        place = lambda b, f: f"{self.data}/{f}/__bucket={b}"
+        first = [place(b, said["folders"][b][0]) for b in buckets]
+        later = [place(b, f) for b in buckets for f in said["folders"][b][1:]]
+        if not later:
+            return read(first) if first else self.spark.createDataFrame([], schema)
+        changes, base = read(later), read(first)
+        keys = changes.select(self.key).distinct()
+        same = base[self.key].eqNullSafe(keys[self.key])
+        changed = self._latest(base.join(keys, same, "left_semi").unionByName(changes), "__version")
+        return base.join(keys, same, "left_anti").unionByName(changed)
 
     def apply(self, changes: DataFrame, source: str | None = None, batch: int | None = None) -> int:
         """Commits changes as the next version and returns its number. A batch of a source that was committed before is left out."""

@@ -109,6 +109,23 @@ def test_match_startups(spark):
         assert [s for _, s in told[q]] == pytest.approx([s for _, s in want[q]], abs=2e-6)
 
 
+def test_results_with_fields_projects_and_keywords(spark):
+    people = spark.createDataFrame([(1, "graphene sensor arrays", 0.5, "Ann"), (2, "bridge design", 0.2, "Bo"), (3, "sensor networks", 0.1, "Cy")], "id long, text string, priority double, name string")
+    projects = spark.createDataFrame([(1, 7, "graphene films"), (1, 8, " "), (1, 9, "graphene sensor arrays"), (3, 5, "networks")], "id long, project int, text string")
+    asked = spark.createDataFrame([(1, "graphene sensor arrays for water")], "query_id long, query string")
+    none = spark.createDataFrame([], "src long, dst long")
+    _, plain = match.match_people(asked, people, none, projects, k=3, validate_query=False)
+    _, told = match.match_people(asked, people, none, projects, k=3, validate_query=False, fields=["name"])
+    assert {(r.query_id, r.id, r["rank"]) for r in plain.collect()} == {(r.query_id, r.id, r["rank"]) for r in told.collect()}
+    by = {r.name: [p.project for p in r.projects] for r in told.collect()}
+    assert by["Ann"][0] == 9 and set(by) == {"Ann", "Bo", "Cy"}
+    startups = spark.createDataFrame([(1, "Gra", "graphene sensor arrays for water pipes", "sensor"), (2, "Bri", "steel bridge design", "building")], "id long, company string, description string, category string")
+    _, shown = match.match_startups(asked, startups, none, k=2, validate_query=False, shown=True)
+    rows = {r.id: r for r in shown.collect()}
+    assert rows[1].company == "Gra" and any("graphene" in w for w in rows[1].keywords) and rows[1]["rank"] == 1
+    assert {r.keyword for r in match.weighed_keywords(asked).collect()} and match.weighed_keywords(asked.where("false")).count() == 0
+
+
 def test_sparse_and_whole_neighbour_means_agree(spark):
     rng = random.Random(4)
     ids = spark.range(20)

@@ -1,9 +1,12 @@
 """Loose tables, folders of files, stored pages and streams."""
 
+import io
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.sources import ingest
+from lodestar.sources import ingest, workbook
 from lodestar.streaming import updates
 
 
@@ -58,6 +61,27 @@ def test_projects_and_startups(spark):
     assert (row.startup_id, row.people, row.categories, row.source_year) == ("med-ai-lab-2025-1", ["Ann", "Bo"], ["AI", "Health"], 2025)
 
 
+def test_every_sheet_of_large_and_odd_workbooks(spark, tmp_path, monkeypatch):
+    long = [[i, f"text <{i}> & 'more'", None, 1.5 * i] for i in range(12_000)]
+    (tmp_path / "a.xlsx").write_bytes(workbook.workbook_bytes({"Second & first": long, "Other": [["x"], [], ["", " y "]]}))
+    rich = io.BytesIO()
+    with zipfile.ZipFile(rich, "w") as book:
+        main = workbook._MAIN[1:-1]
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><r><t>ri</t></r><r><t>ch</t></r><rPh><t>no</t></rPh></si><si/></sst>')
+        book.writestr("xl/worksheets/sheet10.xml", f'<worksheet xmlns="{main}"/>')
+        book.writestr("xl/worksheets/sheet2.xml", f'<worksheet xmlns="{main}"><sheetData><row><c r="B1" t="s"><v>0</v></c><c r="AA1" t="s"><v>1</v></c></row></sheetData></worksheet>')
+    (tmp_path / "b.xlsx").write_bytes(rich.getvalue())
+    (tmp_path / "notes.txt").write_text("x")
+    got = {}
+    for r in workbook.read_cells(spark, f"file://{tmp_path}", every=True).collect():
+        got.setdefault((r._file.rsplit("/", 1)[1], r._sheet), {})[r._at] = r.cells
+    assert set(got) == {("a.xlsx", "Second & first"), ("a.xlsx", "Other"), ("b.xlsx", "sheet2")}
+    assert [got["a.xlsx", "Second & first"][i] for i in range(12_000)] == [[str(a), b, "", str(d)] for a, b, _, d in long]
+    assert got["a.xlsx", "Other"] == {0: ["x"], 1: [], 2: ["", " y "]} and got["b.xlsx", "sheet2"] == {0: ["", "rich", *[""] * 25]}
+    assert {r._sheet for r in workbook.read_cells(spark, f"file://{tmp_path}").collect()} == {"Second & first", "sheet2"}
+    assert workbook.as_table(workbook.read_cells(spark, f"file://{tmp_path}/*.txt")).count() == 0
+
+
 LINES = ["[1/4] Scraping: Ann", "noise", "[3/4] Scraping: Ann", "[2/4] x", "[9/4] y", "Processing: Cy"]
 
 
