@@ -605,13 +605,13 @@ def progress_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_PROGRESS)
 def progress_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream of four files with keyed state."""
-    place = stored.new_folder(spark, "progress")
+    place, own = stored.new_folder(spark, "progress"), updates.state_session(spark)
     lines = _log_lines(table(spark, sf_dir, "events"))
     bounds = lines.agg(F.expr("percentile_approx(pos, array(0.25, 0.5, 0.75))")).first()[0] or []
     for i in range(4):
         part = lines.where((F.col("pos") > bounds[i - 1] if i and bounds else F.lit(True)) & (F.col("pos") <= bounds[i] if i < 3 and bounds else F.lit(True)))
         part.coalesce(1).write.parquet(f"{place}/lines/{i}")
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/lines/*")
+    stream = own.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/lines/*")
     told = updates.progress_stream(stream).writeStream.format("parquet").option("path", f"{place}/told").option("checkpointLocation", f"{place}/offsets")
     told.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     schema = f"run {lines.schema['run'].dataType.simpleString()}, pos long, percent double, name string"

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import name_in_line, progress_marker
 
@@ -45,40 +45,72 @@ def progress(lines: DataFrame) -> DataFrame:
     return rising.select("run", F.inline(F.aggregate("x", none, add, lambda state: state["out"])))
 
 
-def progress_stream(lines: DataFrame, silent_ms: int | None = None) -> DataFrame:
-    """The same as a stream with keyed state: per run the last percentage and the people seen, in the order in which they appeared.
+class _Progress(StatefulProcessor):
+    """A run's names as a map, its last percentage and the number of people seen as a value; a run that stays silent is forgotten."""
 
-    silent_ms: a run that brings no line for so long is forgotten. It is for streams that go on: with a timer Spark never ends one that
-    reads what is there (``availableNow``). Lines of a run must come in order from batch to batch."""
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def __init__(self, silent_ms: int | None) -> None:
+        self.silent_ms = silent_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.names = handle.getMapState("names", "name string", "seen boolean")
+        self.at = handle.getValueState("at", "last double, seen long, timer long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, seen, timer = self.at.get() if self.at.exists() else (0.0, 0, -1)
+        given = pd.concat(list(rows)).sort_values("pos")
+        # A look-up for each different name of the batch, whatever the run has seen before.
+        new = {n for n in given["name"].dropna().unique() if not self.names.containsKey((n,))}
         out = []
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            last, seen = state.get if state.exists else (0.0, [])
-            names = set(seen)
-            for r in pd.concat(list(parts)).sort_values("pos").itertuples(index=False):
-                known = r.name if isinstance(r.name, str) else None
-                fresh = known is not None and known not in names
-                if fresh:
-                    names.add(known)
-                target = None
-                if pd.notna(r.total):
-                    target = r.start_pct + r.current / r.total * r.stage_pct
-                elif fresh:
-                    target = r.start_pct + len(names) / max(r.expected, 1) * r.stage_pct
-                if target is not None:
-                    percent = min(max(target, r.start_pct), r.start_pct + r.stage_pct)
-                    if percent > last + STEP:
-                        last = percent
-                        out.append((key[0], r.pos, percent, known))
-            state.update((last, [*seen, *sorted(names.difference(seen))]))
-            if silent_ms is not None:
-                state.setTimeoutDuration(silent_ms)
+        for r in given.itertuples(index=False):
+            known = r.name if isinstance(r.name, str) else None
+            target = None
+            fresh = known in new
+            if fresh:
+                new.discard(known)
+                self.names.updateValue((known,), (True,))
+                seen += 1
+            if pd.notna(r.total):
+                target = r.start_pct + r.current / r.total * r.stage_pct
+            elif fresh:
+                target = r.start_pct + seen / max(r.expected, 1) * r.stage_pct
+            if target is not None:
+                percent = min(max(target, r.start_pct), r.start_pct + r.stage_pct)
+                if percent > last + STEP:
+                    last = percent
+                    out.append((key[0], r.pos, percent, known))
+        if self.silent_ms is not None:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.silent_ms
+            self.handle.registerTimer(timer)
+        self.at.update((last, seen, timer))
         yield pd.DataFrame(out, columns=["run", "pos", "percent", "name"])
 
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.names.clear()
+        self.at.clear()
+        yield pd.DataFrame([], columns=["run", "pos", "percent", "name"])
+
+    def close(self) -> None:
+        pass
+
+
+def progress_stream(lines: DataFrame, silent_ms: int | None = None) -> DataFrame:
+    """The same as a stream with keyed state: a batch touches the names that it brings, not all that a run has seen.
+
+    silent_ms: a run that brings no line for so long is forgotten. It is for streams that go on: with a timer Spark never ends one that
+    reads what is there (``availableNow``). Lines of a run must come in order from batch to batch; lines is read by a ``state_session``."""
     run = lines.schema["run"].dataType.simpleString()
-    return _targets(lines).groupBy("run").applyInPandasWithState(fold, f"run {run}, pos long, percent double, name string", "last double, seen array<string>", "append", GroupStateTimeout.NoTimeout if silent_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    mode = "none" if silent_ms is None else "processingTime"
+    return _targets(lines).groupBy("run").transformWithStateInPandas(_Progress(silent_ms), f"run {run}, pos long, percent double, name string", "append", mode)
+
+
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session of its own, with the state store that keyed state needs."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
 
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,10 +92,42 @@ def test_progress_in_batch_and_stream(spark, tmp_path):
     batch = sorted((r.run, r.pos, round(r.percent, 4), r.name) for r in updates.progress(lines).collect())
     assert [x[1:] for x in batch if x[0] == "a"] == [(0, 8.325, "Ann"), (2, 24.975, "Ann"), (4, 33.3, None)]
     lines.write.parquet(f"{tmp_path}/lines")
-    stream = updates.progress_stream(spark.readStream.schema(lines.schema).parquet(f"{tmp_path}/lines"))
+    stream = updates.progress_stream((own := updates.state_session(spark)).readStream.schema(lines.schema).parquet(f"{tmp_path}/lines"))
     query = stream.writeStream.format("memory").queryName("progress").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert sorted((r.run, r.pos, round(r.percent, 4), r.name) for r in spark.table("progress").collect()) == batch
+    assert sorted((r.run, r.pos, round(r.percent, 4), r.name) for r in own.table("progress").collect()) == batch
+
+
+class Held(dict):
+    """State of one key, as the processor sees it: a map, a value and timers."""
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = lambda self, *_: Value()
+    containsKey = lambda self, key: key in self
+    updateValue = dict.__setitem__
+    registerTimer = lambda self, at: self.__setitem__(("timer",), at)
+    deleteTimer = lambda self, at: self.pop(("timer",))
+    getCurrentProcessingTimeInMs = lambda self: 1000
+
+
+class Value(list):
+    exists = lambda self: bool(self)
+    get = lambda self: self[0]
+
+    def update(self, value):
+        self[:] = [value]
+
+
+def test_a_silent_run_is_forgotten():
+    held, processor = Held(), updates._Progress(50)
+    processor.init(held)
+    rows = lambda *names: iter([pd.DataFrame([(i, 0.0, 30.0, 2, None, None, n) for i, n in enumerate(names)], columns=["pos", "start_pct", "stage_pct", "expected", "current", "total", "name"])])
+    told = lambda *names: next(processor.handleInputRows(("a",), rows(*names), held))["percent"].tolist()
+    assert told("Ann", "Ann", "Bo") == [15.0, 30.0] and told("Ann", "Cy") == [] and held[("timer",)] == 1050
+    assert len(next(processor.handleExpiredTimer(("a",), held, None))) == 0 and not held
+    assert told("Ann") == [15.0]
 
 
 def test_slow_steps_are_folded_exactly(spark):
