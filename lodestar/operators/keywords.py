@@ -1,8 +1,9 @@
 """Keyword extraction over a table of queries: candidates, context-aware scores, filtered query.
 
-No parser for grammar is at hand: phrases are the longest runs of content words
+``candidates`` needs no grammar: phrases are the longest runs of content words
 (no stop or filter word, no punctuation between), unknown single words count as
-nouns, and a word's head is the next word.  All other rules are exact.
+nouns, and a word's head is the next word.  ``chunk_candidates`` takes noun chunks, tags and
+heads from a trained tagger (``functions.tagging``).  All other rules are exact.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import terms
+from ..functions import tagging, terms
 from ..functions.text import valid_keyword
 
 TOKEN = r"(?U)[\w](?:[\w'-]*\w)?"
@@ -20,11 +21,27 @@ def _content(w: Column) -> Column:
     return ~w.isin(terms.STOPWORDS) & ~w.isin(terms.FILTERED)
 
 
+def _tokens(queries: DataFrame) -> Column:
+    marked = F.regexp_replace(F.lower(F.coalesce("query", F.lit(""))), r"(?U)[^\w\s'-]+", " \u0000 ")
+    return F.filter(F.split(marked, r"(?U)[\s]+"), lambda t: t != "")
+
+
+def chunk_candidates(queries: DataFrame) -> DataFrame:
+    """The same as ``candidates``, and ``noun``: phrases are noun chunks without their stop and filter words, with the chunk's head; of a word, its tag and head."""
+    told = tagging.tagged(queries.select("query_id", _tokens(queries).alias("tokens"))).select("query_id", F.inline("words"))
+    good = told.where(_content(F.col("w")) & F.col("w").rlike(r"(?U)\w"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"])
+    runs = good.where("chunk IS NOT NULL").groupBy("query_id", "chunk").agg(F.min("pos").alias("pos"), F.count("*").cast("int").alias("length"), F.array_join(listed, " ").alias("candidate"), F.max_by("w", "pos").alias("head"))
+    phrases = runs.where(F.length("candidate") > 2).select("query_id", "candidate", F.lit(0).alias("order"), "pos", "length", "head", F.lit(True).alias("noun"))
+    words = good.where(F.length("w") > 2).select("query_id", F.col("w").alias("candidate"), F.lit(1).alias("order"), "pos", F.lit(1).alias("length"), "head", (F.col("tag") == "N").alias("noun"))
+    first = Window.partitionBy("query_id", "candidate").orderBy("order", "pos")
+    both = phrases.unionByName(words).withColumn("n", F.row_number().over(first)).where("n = 1")
+    return both.select("query_id", "candidate", F.when(F.col("order") == 0, "phrase").otherwise("word").alias("kind"), "length", "head", (F.col("order") * 1_000_000 + F.col("pos")).alias("position"), "noun")
+
+
 def candidates(queries: DataFrame) -> DataFrame:
     """query_id, candidate, kind (phrase or word), length, head, position of the first occurrence."""
-    marked = F.regexp_replace(F.lower(F.coalesce("query", F.lit(""))), r"(?U)[^\w\s'-]+", " \u0000 ")
-    tokens = F.filter(F.split(marked, r"(?U)[\s]+"), lambda t: t != "")
-    rows = queries.select("query_id", F.posexplode(tokens).alias("pos", "w"))
+    rows = queries.select("query_id", F.posexplode(_tokens(queries)).alias("pos", "w"))
     along = Window.partitionBy("query_id").orderBy("pos")
     rows = rows.withColumn("good", _content(F.col("w")) & (F.col("w") != "\u0000") & F.col("w").rlike(r"(?U)\w"))
     rows = rows.withColumn("head", F.lead("w").over(along)).withColumn("run", F.sum((~F.col("good")).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
@@ -48,7 +65,8 @@ def score(found: DataFrame, least: float = 0.3) -> DataFrame:
     df = found.withColumns({"high": _among(parts, terms.HIGH), "medium": _among(parts, terms.MEDIUM), "context": _among(parts, terms.CONTEXT)})
     df = df.withColumn("high_in_query", F.sum("high").over(Window.partitionBy("query_id")))
     base = F.when(F.col("high") > 0, 0.85 + 0.05 * F.least("high", F.lit(3))).when(F.col("medium") > 0, 0.65 + 0.05 * F.least("medium", F.lit(3))).when(F.col("context") > 0, 0.5)
-    base = base.otherwise(F.when(F.col("kind") == "word", 0.55).otherwise(0.4))
+    noun = F.col("noun") if "noun" in found.columns else F.lit(True)
+    base = base.otherwise(F.when((F.col("kind") == "word") & noun, 0.55).otherwise(0.4))
     less = F.when((F.col("high_in_query") > 0) & (F.col("context") > 0) & (F.col("high") == 0), F.least(F.lit(0.3), F.col("high_in_query") * 0.1)).otherwise(0.0)
     phrase = F.when((F.col("kind") == "phrase") & (F.col("length") >= 2), F.when((F.col("high") > 0) | (F.col("medium") > 0), 0.15).otherwise(0.08)).otherwise(0.0)
     head = F.when((F.col("kind") == "word") & F.coalesce(F.col("head").isin(terms.HIGH) | F.col("head").isin(terms.MEDIUM), F.lit(False)), 0.1).otherwise(0.0)

@@ -19,23 +19,11 @@ PLACEHOLDERS = {"company": "startup company name", "description": "startup brief
 
 def scaled_weights(given: Mapping[str, object] | None, default: Mapping[str, float] = FIELD_WEIGHTS) -> dict[str, float]:
     """Weights at 0 or more that sum to 1; unreadable ones take their default, and so do all if nothing is left."""
-    def number(value: object, other: float) -> float:
-        try:
-            return max(0.0, float(value))  # type: ignore[arg-type]
-        except (TypeError, ValueError):
-            return other
-
-    raw = {k: number((given or {}).get(k, v), v) for k, v in default.items()}
+    raw = {k: config.number((given or {}).get(k, v), v) for k, v in default.items()}
     total = sum(raw.values())
     return {k: v / total for k, v in raw.items()} if total > 0 else dict(default)
 
 
-def people_weights(settings: Mapping[str, Mapping[str, float]] | None = None) -> dict[str, float]:
-    """alpha, beta and gamma of ``match_people`` from settings (``config.load``), with the defaults for what they leave out."""
-    given = {**config.DEFAULTS["people"], **((settings or {}).get("people") or {})}
-    return {k: max(0.0, float(given[k])) for k in ("alpha", "beta", "gamma")}
-
-
 def field_text(c: Column, field: str) -> Column:
     """A field's text before it becomes a vector; blank ones get a placeholder."""
     return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(PLACEHOLDERS[field]))
@@ -117,13 +105,13 @@ def rank_related_startups(queries: DataFrame, semantic: DataFrame, startups: Dat
     return top_k(both.withColumn("score", alpha * F.col("semantic") + gamma * F.col("neighbors")), k)
 
 
-def prepare(queries: DataFrame, corpus: DataFrame, model: TfIdf, validate_query: bool = True, use_keywords: bool = True) -> DataFrame:
+def prepare(queries: DataFrame, corpus: DataFrame, model: TfIdf, validate_query: bool = True, use_keywords: bool = True, low: float = 0.25, weak: float = 0.35) -> DataFrame:
     """queries: query_id, query. Adds rule, status, confidence, message, suggestions and match_text, the text to compare.
 
     Without validation there are no keywords either; invalid queries keep their row but have no match_text."""
     if not validate_query:
         return queries.withColumn("status", F.lit(validate.VALID)).withColumn("match_text", F.col("query"))
-    ruled = validate.validate(validate.corpus_similarity(queries, corpus, model), similarity=F.col("similarity"), areas=F.col("areas"))
+    ruled = validate.validate(validate.corpus_similarity(queries, corpus, model), similarity=F.col("similarity"), low=low, weak=weak, areas=F.col("areas"))
     sound = ruled.where(F.col("status") != validate.INVALID).select("query_id", "query")
     if use_keywords:
         sound = keywords.filtered_query(sound, keywords.score(keywords.candidates(sound))).withColumnRenamed("filtered_query", "match_text")
@@ -136,16 +124,17 @@ def related(similarity: DataFrame) -> DataFrame:
     return similarity.where("similarity > 0").select("query_id", F.col("entity_id").alias("id"), F.col("similarity").alias("score"))
 
 
-def match_people(queries: DataFrame, people: DataFrame, edges: DataFrame, projects: DataFrame | None = None, k: int = 10, validate_query: bool = True, use_keywords: bool = True, fields: list[str] | None = None, **weights: float) -> tuple[DataFrame, DataFrame]:
+def match_people(queries: DataFrame, people: DataFrame, edges: DataFrame, projects: DataFrame | None = None, k: int = 10, validate_query: bool = True, use_keywords: bool = True, fields: list[str] | None = None, low: float = 0.25, weak: float = 0.35, **weights: float) -> tuple[DataFrame, DataFrame]:
     """queries: query_id, query. people: id, text (the weighted profile), priority. projects: id, project, text.
 
+    Settings give the arguments: ``match_people(..., **config.people(settings), **config.checks(settings))``.
     fields: columns of people that the results carry; then they carry their ranked projects as well (``result_rows``).
 
     Returns the checked queries, and query_id, id, score, rank with the parts of the score, for queries that are not invalid.
     The vocabulary and the checked queries are used several times, so they are written once."""
     corpus = people.select("id", "text")
     model = TfIdf(stored.materialize(TfIdf.fit(corpus).idf, "vocabulary"))
-    checked = stored.materialize(prepare(queries, corpus, model, validate_query, use_keywords), "checked-queries")
+    checked = stored.materialize(prepare(queries, corpus, model, validate_query, use_keywords, low, weak), "checked-queries")
     asked = checked.where("match_text is not null")
     vector = model.transform(asked.select(F.col("query_id").alias("id"), F.col("match_text").alias("text")))
     sims = related(sparse_cosine(vector, model.transform(corpus)))
@@ -158,15 +147,16 @@ def match_people(queries: DataFrame, people: DataFrame, edges: DataFrame, projec
     return checked, best if fields is None else result_rows(best, people, fields, ranked)
 
 
-def match_startups(queries: DataFrame, startups: DataFrame, edges: DataFrame, k: int = 10, weights: Mapping[str, float] = FIELD_WEIGHTS, validate_query: bool = True, use_keywords: bool = True, alpha: float = 1.0, gamma: float = 0.1, shown: bool = False) -> tuple[DataFrame, DataFrame]:
+def match_startups(queries: DataFrame, startups: DataFrame, edges: DataFrame, k: int = 10, weights: Mapping[str, float] = FIELD_WEIGHTS, validate_query: bool = True, use_keywords: bool = True, alpha: float = 1.0, gamma: float = 0.1, shown: bool = False, low: float = 0.25, weak: float = 0.35, least: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """startups: id, company, description, category (joined). Returns the checked queries, and query_id, id, score, rank.
 
     shown: the results carry the startup's fields and their matched keywords, best first."""
+    weights = scaled_weights(weights)
     fields = list(weights)
     long = startups.select("id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), field_text(F.col(f), f).alias("text")) for f in fields])))
     keyed = long.select(F.concat_ws("/", "id", "field").alias("id"), "text")
     model = TfIdf(stored.materialize(TfIdf.fit(keyed).idf, "vocabulary"))
-    checked = stored.materialize(prepare(queries, keyed, model, validate_query, False), "checked-queries")
+    checked = stored.materialize(prepare(queries, keyed, model, validate_query, False, low, weak), "checked-queries")
     asked = checked.where("match_text is not null").select("query_id", F.col("query").alias("base_query"))
     if use_keywords and validate_query:
         asked = keywords.match_query(asked, keywords.score(keywords.candidates(asked.withColumnRenamed("base_query", "query"))))
@@ -175,7 +165,7 @@ def match_startups(queries: DataFrame, startups: DataFrame, edges: DataFrame, k:
     vector = model.transform(asked.select(F.col("query_id").alias("id"), F.col("match_query").alias("text")))
     near = sparse_cosine(vector, model.transform(keyed)).join(long.select(F.concat_ws("/", "id", "field").alias("entity_id"), "id", "field"), "entity_id")
     wide = near.groupBy("query_id", "id").agg(*[F.max(F.when(F.col("field") == f, F.col("similarity"))).alias(f) for f in fields])
-    semantic = wide.select("query_id", F.col("id").alias("entity_id"), semantic_score({f: F.col(f) for f in fields}, weights).alias("similarity"))
+    semantic = wide.select("query_id", F.col("id").alias("entity_id"), semantic_score({f: F.col(f) for f in fields}, weights, least).alias("similarity"))
     best = rank_related_startups(asked, related(semantic), startups, edges, k=k, alpha=alpha, gamma=gamma)
     if not shown:
         return checked, best

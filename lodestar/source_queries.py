@@ -244,6 +244,14 @@ def keyword_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.keyword_candidates(scored, keywords.filtered_query(asked, scored)).withColumn("weight", F.round("weight", 6))
 
 
+@query()
+def chunk_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords from noun chunks and heads of a trained tagger: what users say in conversations, and benchmark items."""
+    said = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("/", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("query"))
+    return keywords.score(keywords.chunk_candidates(said.unionByName(items))).withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH p AS ({_PAIRS}), s AS (SELECT *, sim + 0.2 * weight + CASE WHEN described THEN 0.1 ELSE 0 END AS score FROM p),
 b AS (SELECT query_id, entity_id, keyword, max(score) AS score FROM s WHERE (literal OR sim >= 0.3) AND score >= 0.24 GROUP BY 1, 2, 3), m AS (SELECT query_id, keyword, round(max(score), 6) AS score FROM b GROUP BY 1, 2)
 SELECT * FROM m UNION ALL SELECT DISTINCT query_id, 'fallback', 0.4 FROM p WHERE query_id NOT IN (SELECT query_id FROM m)""")

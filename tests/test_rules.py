@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodestar import config
 from lodestar.functions import terms, text, vectors
 from lodestar.operators import evaluate, graph, keywords, maintain, profile, validate
 from lodestar.plans import match
@@ -184,3 +185,21 @@ def test_text_rules_against_python(spark, values):
         assert r.t == list(dict.fromkeys(re.findall(r"[a-z0-9]+", v.lower())))
         assert r.c == re.sub(r"\s+", " ", v).strip()
         assert r.s == re.sub(r"[^a-z0-9]+", "-", v.lower()).strip("-")
+
+
+def test_settings_reach_the_operators(spark):
+    given = {"people": {"alpha": "0.7", "beta": -1, "gamma": "many"}, "startups": {"top_k": 3}, "startup_fields": {"company": 1, "description": 1}, "priority": {"title": 0, "engineering": float("nan")}, "people_graph": {"threshold": 0.9}, "startup_graph": "none", "query": {"keywords": False, "low": 0.1}}
+    assert config.people(given) == {"alpha": 0.7, "beta": 0.0, "gamma": 0.1, "k": 10}
+    assert config.startups(given) == {"alpha": 1.0, "gamma": 0.1, "k": 3, "least": 0.2, "weights": {"company": 1.0, "description": 1.0, "category": 0.2}}
+    assert config.checks(given) == {"validate_query": True, "use_keywords": False, "low": 0.1, "weak": 0.35} and config.startup_graph(given) == {"threshold": 0.22, "weights": (0.571, 0.429)}
+    assert config.priority(given)["weights"] == (0.5, 0.0, 0.5) and config.priority(None) == {"weights": (0.5, 0.5, 0.5), "default_years": 10, "bonus": 1.2}
+    sets = spark.createDataFrame([(1, ["a", "b"], ["x"], [], []), (2, ["a", "b"], ["x", "y"], [], [])], "id long, interests array<string>, projects array<string>, papers array<string>, deeptech array<string>")
+    assert graph.person_edges(sets, **config.person_graph()).count() == 1 and graph.person_edges(sets, **config.person_graph(given)).count() == 0
+    people = spark.createDataFrame([(1, "a", "Dean", True, 1.0)], "id long, text string, title string, eng boolean, y double")
+    rated = lambda s: people.select(profile.priority(F.col("y"), F.col("title"), F.col("eng"), **config.priority(s)).alias("p")).first().p
+    assert rated({"priority": {"title": 0, "engineering": 0}}) == 0.25 and rated({"priority": {"years": 0, "title": 0, "bonus": 2}}) == 1.0
+    asked = spark.createDataFrame([(1, "laser")], "query_id long, query string")
+    found = spark.createDataFrame([(i, "laser optics", 1.0 / i) for i in range(1, 6)], "id long, text string, priority double")
+    none = spark.createDataFrame([], "src long, dst long")
+    _, told = match.match_people(asked, found, none, **config.people({"people": {"alpha": 0, "beta": 1, "top_k": 2}}), **{**config.checks(), "validate_query": False})
+    assert [(r.id, r.score) for r in told.orderBy("rank").collect()] == [(1, 1.0), (2, 0.5)]
