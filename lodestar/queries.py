@@ -471,11 +471,11 @@ def startup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.startup_id(name, year, F.col("p_partkey")).alias("startup_id"), F.coalesce(text.latest_year(F.concat(F.lit("x 1850 "), F.coalesce(year.cast("string"), F.lit("")))), F.lit(0)).alias("year"))
 
 
-@query(r"""SELECT p_partkey, p_name || ' lab' AS project, regexp_replace(replace(replace(p_name || ' <b> & "x"', '&', '&amp;'), '<', '&lt;'), 'zzz', '') AS unused,
+@query(r"""SELECT p_partkey, regexp_replace(regexp_replace('"'' ' || p_name || ' lab"' || CASE WHEN p_size % 2 = 0 THEN '' ELSE chr(39) END, '^["'']+', ''), '"+$', '') AS project, regexp_replace(replace(replace(p_name || ' <b> & "x"', '&', '&amp;'), '<', '&lt;'), 'zzz', '') AS unused,
   CASE WHEN p_type ILIKE '%ECONOMY%' THEN 'bmh' ELSE 'eas' END AS source FROM part""")
 def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    project = text.clean_quoted(F.concat(F.lit("\"' é"), "p_name", F.lit("  lab\"'")))
+    project = text.clean_quoted(F.concat(F.lit("\"' é"), "p_name", F.lit("  lab\""), F.when(F.col("p_size") % 2 == 0, "").otherwise("'")))
     escaped = F.replace(F.replace(text.escape_html(F.concat("p_name", F.lit(' <b> & "x"'))), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"'))
     return p.select("p_partkey", project.alias("project"), escaped.alias("unused"), text.source_class(F.when(F.col("p_type").ilike("%ECONOMY%"), " BMH ").otherwise(F.lit("x"))).alias("source"))
 
