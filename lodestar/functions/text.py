@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,24 +37,18 @@ def weak_key(c: Column) -> Column:
     return F.lower(clean_whitespace(c))
 
 
-def _letters() -> tuple[dict[str, str], str]:
-    """Letters up to Latin Extended-B that lose their accents to one ASCII letter, and those (with dashes and quotation marks) that have none to lose."""
-    bare = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in (*range(0xA1, 0x250), *range(0x2010, 0x2028))}
-    plain = {k: "".join(ch for ch in v if unicodedata.category(ch) != "Mn") for k, v in bare.items()}
-    return {k: v for k, v in plain.items() if len(v) == 1 and v.isascii() and v.isalpha()}, "".join(k for k, v in bare.items() if k == v and k not in SPELT_OUT and k != "\u00ad")
-
-
-_BARE, _SAME = _letters()
-#: Texts that the built-in functions bring into plain letters: no reference, no letter but these.
-_BUILT_IN = r"^[\x00-\x25\x27-\x7F" + "".join(rf"\x{{{ord(c):x}}}" for c in (*_BARE, *_SAME, *SPELT_OUT)) + "]*$"
+@lru_cache(maxsize=1)
+def _marks() -> dict[int, None]:
+    """Combining marks, which a name loses."""
+    return dict.fromkeys(c for c in range(0x110000) if unicodedata.category(chr(c)) == "Mn")
 
 
 def _plain(name: str) -> str:
     """References decoded, invisible characters gone, umlauts spelt out, accents gone."""
-    seen = _INVISIBLE.sub("", html.unescape(name))
+    seen = _INVISIBLE.sub("", html.unescape(name) if "&" in name else name)
     for letter, spelt in SPELT_OUT.items():
         seen = seen.replace(letter, spelt)
-    return "".join(ch for ch in unicodedata.normalize("NFKD", seen) if unicodedata.category(ch) != "Mn")
+    return unicodedata.normalize("NFKD", seen).translate(_marks())
 
 
 @F.pandas_udf(StringType())
@@ -65,14 +59,10 @@ def _decompose(names: pd.Series) -> pd.Series:
 def strong_key(c: Column) -> Column:
     """References decoded once, invisible characters and accents gone, umlauts spelt out, lower case, single blanks.
 
-    Python sees only texts with a reference or with letters that the built-in functions do not know."""
+    Python sees only texts with a reference or with letters beyond ASCII (``translate`` takes three times as long)."""
     given = F.coalesce(c, F.lit(""))
-    spelt = F.regexp_replace(given, INVISIBLE, "")
-    for letter, letters in SPELT_OUT.items():
-        spelt = F.replace(spelt, F.lit(letter), F.lit(letters))
-    spelt = F.translate(spelt, "".join(_BARE), "".join(_BARE.values()))
-    simple = F.regexp_replace(given, INVISIBLE, "").rlike(_BUILT_IN)
-    return F.lower(clean_whitespace(F.when(simple, spelt).otherwise(_decompose(F.when(~simple, given)))))
+    simple = given.rlike(r"^[\x00-\x25\x27-\x7F]*$")
+    return F.lower(clean_whitespace(F.when(simple, given).otherwise(_decompose(F.when(~simple, given)))))
 
 
 def ascii_only(c: Column) -> Column:
