@@ -318,9 +318,10 @@ def keyword_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords of queries against their six best results by vectors, and what is shown of them (parts stand for startups)."""
     parts, long, model = _similar(spark, sf_dir)
     asked = parts.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.concat("company", F.lit(" "), "category").alias("query"))
-    vector = model.transform(asked.select(F.col("query_id").alias("id"), F.col("query").alias("text")))
-    near = vectors.sparse_cosine(vector, model.transform(long.where("field = 'description'").select("id", "text")))
-    ranked = match.top_k(near.select("query_id", F.col("entity_id").alias("id"), F.round("similarity", 9).alias("score")), 10)
+    named = asked.withColumnRenamed("query", "text")
+    first = vectors.first_of_each(long.where("field = 'description'").select("id", "text"), 10, "text")
+    near = vectors.text_cosine(model, named, first).select("query", "text", F.round("similarity", 9).alias("score"))
+    ranked = stored.materialize(match.best_of_classes(named, near, first, ["text"], 10), "ranked")
     weighed = keywords.keyword_candidates(keywords.score(keywords.candidates(asked)), asked.withColumn("filtered_query", F.col("query")))
     pairs = match.keyword_pairs(ranked, long, weighed.select("query_id", "keyword", "weight"), model)
     shown = keywords.display_keywords(weighed, pairs.select("query_id", "keyword", "sim")).select("query_id", F.lit(0).cast("long").alias("id"), "keyword", F.round("score", 6).alias("score"), "rank")
