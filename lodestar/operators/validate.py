@@ -111,9 +111,12 @@ def validate(queries: DataFrame, similarity: Column | None = None, low: float =
 
 
 def corpus_similarity(queries: DataFrame, corpus: DataFrame, model: TfIdf, most: int = 3, length: int = 100) -> DataFrame:
-    """Adds ``similarity``, the best cosine of each query with the corpus texts (id, text), 0 without a common term, and ``areas``: the beginnings of the ``most`` nearest texts, best first."""
-    near = nearest_texts(model, queries.select(F.col("query_id").alias("id"), F.col("query").alias("text")), corpus, most)
+    """Adds ``similarity``, the best cosine of each query with the corpus texts (id, text), 0 without a common term, and ``areas``: the beginnings of the ``most`` nearest texts, best first.
+
+    Queries of one text are compared once."""
+    asked = queries.select(F.coalesce("query", F.lit("")).alias("id")).distinct().withColumn("text", F.col("id"))
+    near = nearest_texts(model, asked, corpus, most)
     said = near.join(corpus.select(F.col("id").alias("entity_id"), F.substring("text", 1, length).alias("t")), "entity_id", "left")
     best = said.groupBy("query_id").agg(F.max("similarity").alias("similarity"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]).alias("areas"))
-    told = queries.join(best, "query_id", "left").na.fill(0.0, ["similarity"])
+    told = queries.withColumn("__asked", F.coalesce("query", F.lit(""))).join(best.withColumnRenamed("query_id", "__asked"), "__asked", "left").drop("__asked").na.fill(0.0, ["similarity"])
     return told.withColumn("areas", F.coalesce("areas", F.array().cast("array<string>")))
