@@ -208,7 +208,9 @@ _PROFILE = """<!doctype html><html><head><title>Professor Nobody</title><script>
  CASE c_custkey % 3 WHEN 2 THEN 'http://page/' || c_custkey ELSE '/own?a=1&b=2' END AS url, 'Tom''s cell ' || c_custkey || chr(39) AS project, 'RGC "' || c_custkey AS funding, 'Paper ' || c_custkey || '|Second paper' AS papers FROM customer""")
 def profile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All facts of stored profile pages: lines by rules, interests, the personal page (by icon, by text, else the page's own), leading projects, recent papers."""
+    # Pages take far longer than their rows are long: they are dealt by number, not left in the file's one or two parts.
     c, n = table(spark, sf_dir, "customer"), F.col("c_custkey") % 3
+    c = markup.dealt(c.select("c_custkey", "c_mktsegment"), "c_custkey")
     html = F.lit(_PROFILE.replace("{web}", "/own?a=1&amp;b=2"))
     for name, value in {"k": F.col("c_custkey").cast("string"), "segment": F.col("c_mktsegment"), "icon": F.when(n == 0, "id-card-alt").otherwise("globe"), "said": F.when(n == 1, "Personal  <b>WEB</b>").otherwise("My web")}.items():
         html = F.replace(html, F.lit(f"{{{name}}}"), value)
