@@ -1,4 +1,4 @@
-"""Workbooks (xlsx) as a data source of Spark: ``spark.read.format("workbook")``, and a plain writer of small ones.
+"""Workbooks (xlsx) as a data source of Spark: ``spark.read.format("workbook")``, and a plain writer.
 
 A partition is one sheet of one file. Rows are read as a stream of XML events and leave in Arrow batches, so neither a file nor
 a sheet is held as a whole; only a workbook's shared strings are. Files are opened with ``pyarrow.fs`` (local, HDFS, S3, GCS)."""
@@ -6,12 +6,14 @@ a sheet is held as a whole; only a workbook's shared strings are. Files are open
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import re
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from posixpath import normpath
+from typing import IO
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -53,13 +55,17 @@ def _said(e: ElementTree.Element) -> str:
 
 def _elements(file: Iterable, tag: str) -> Iterator[ElementTree.Element]:
     """Elements of a tag as they end; what was read is forgotten."""
-    events = ElementTree.iterparse(file, ("start", "end"))
-    _, root = next(events)
-    for event, e in events:
-        if event == "end" and e.tag == tag:
+    around: list[ElementTree.Element] = []
+    for event, e in ElementTree.iterparse(file, ("start", "end")):
+        if event == "start":
+            around.append(e)
+            continue
+        around.pop()
+        if e.tag == tag:
             yield e
-            root.clear()
             e.clear()
+            # The element around it would keep every empty one.
+            around[-1].remove(e)
 
 
 def rows(book: zipfile.ZipFile, part: str) -> Iterator[list[str]]:
@@ -148,19 +154,19 @@ def read_cells(spark: SparkSession, path: str, every: bool = False) -> DataFrame
     return spark.read.format("workbook").option("files", json.dumps(files)).option("sheets", "all" if every else "first").load()
 
 
-def workbook_bytes(tables: dict[str, list[list[object]]]) -> bytes:
-    """A small workbook: rows by the names of their sheets; numbers as numbers, everything else as text."""
-    def cell(x: object) -> str:
-        if x is None:
-            return "<c/>"
-        if isinstance(x, (int, float)) and not isinstance(x, bool):
-            return f"<c><v>{x}</v></c>"
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(x))}</t></is></c>'
+def _cell(x: object) -> str:
+    if x is None:
+        return "<c/>"
+    if isinstance(x, (int, float)) and not isinstance(x, bool):
+        return f"<c><v>{x}</v></c>"
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(x))}</t></is></c>'
 
+
+def write_workbook(file: IO[bytes], tables: Mapping[str, Iterable[Iterable[object]]]) -> None:
+    """A workbook: rows by the names of their sheets, written as they come; numbers as numbers, everything else as text."""
     main, office = _MAIN[1:-1], "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as book:
         n = range(1, len(tables) + 1)
         kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in n)
         book.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
@@ -168,24 +174,41 @@ def workbook_bytes(tables: dict[str, list[list[object]]]) -> bytes:
         book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in n) + "</Relationships>")
         book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{escape(name)}" sheetId="{i}" r:id="r{i}"/>' for i, name in zip(n, tables, strict=True)) + "</sheets></workbook>")
         for i, table in zip(n, tables.values(), strict=True):
-            book.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>' + "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in table) + "</sheetData></worksheet>")
+            with book.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as part:
+                part.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
+                for r in table:
+                    part.write(("<row>" + "".join(map(_cell, r)) + "</row>").encode())
+                part.write(b"</sheetData></worksheet>")
+
+
+def workbook_bytes(tables: Mapping[str, Iterable[Iterable[object]]]) -> bytes:
+    """A small workbook as bytes."""
+    out = io.BytesIO()
+    write_workbook(out, tables)
     return out.getvalue()
 
 
+def _rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+
+
 def write_workbooks(df: DataFrame, folder: str, by: str, order: str, sheet: str = "Sheet1") -> None:
-    """A workbook ``<value>.xlsx`` in the folder for each value of a column, with the other columns, in order of one of them. A workbook is written by one task: it is for tables that fit in one."""
+    """A workbook ``<value>.xlsx`` in the folder for each value of a column, with the other columns, in order of one of them.
+
+    A workbook is one file and so one task's; Spark sorts its rows, and they are written as they come: the task holds a batch of them."""
     names = [c for c in df.columns if c != by]
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        content = workbook_bytes({sheet: [names, *map(list, zip(*(table.column(c).to_pylist() for c in names), strict=True))]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, inside = fs.FileSystem.from_uri(folder)
         place.create_dir(inside, recursive=True)
-        with place.open_output_stream(f"{inside}/{key[0].as_py()}.xlsx") as file:
-            file.write(content)
-        return pa.table({"rows": pa.array([table.num_rows], pa.int64())})
+        for key, rows in itertools.groupby(_rows(batches, [by, *names]), lambda r: r[0]):
+            with place.open_output_stream(f"{inside}/{key}.xlsx") as file:
+                counted = itertools.count()
+                write_workbook(file, {sheet: itertools.chain([names], (r[1:] for r, _ in zip(rows, counted)))})
+            yield pa.RecordBatch.from_arrays([pa.array([next(counted)], pa.int64())], names=["rows"])
 
-    df.groupBy(by).applyInArrow(run, "rows long").count()
+    df.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, "rows long").agg(F.sum("rows")).collect()
 
 
 def as_table(cells: DataFrame) -> DataFrame:
