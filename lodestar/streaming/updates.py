@@ -61,8 +61,10 @@ class _Progress(StatefulProcessor):
         given = pd.concat(list(rows)).sort_values("pos")
         # A look-up for each different name of the batch, whatever the run has seen before.
         new = {n for n in given["name"].dropna().unique() if not self.names.containsKey((n,))}
+        # What has no marker and no name that is new for the run changes nothing.
+        first = given["name"].isin(new) & ~given["name"].duplicated()
         out = []
-        for r in given.itertuples(index=False):
+        for r in given[given["total"].notna() | first].itertuples(index=False):
             known = r.name if isinstance(r.name, str) else None
             target = None
             fresh = known in new
@@ -103,7 +105,8 @@ def progress_stream(lines: DataFrame, silent_ms: int | None = None) -> DataFrame
     reads what is there (``availableNow``). Lines of a run must come in order from batch to batch; lines is read by a ``state_session``."""
     run = lines.schema["run"].dataType.simpleString()
     mode = "none" if silent_ms is None else "processingTime"
-    return _targets(lines).groupBy("run").transformWithStateInPandas(_Progress(silent_ms), f"run {run}, pos long, percent double, name string", "append", mode)
+    telling = _targets(lines).where("total IS NOT NULL OR name IS NOT NULL")
+    return telling.groupBy("run").transformWithStateInPandas(_Progress(silent_ms), f"run {run}, pos long, percent double, name string", "append", mode)
 
 
 def state_session(spark: SparkSession) -> SparkSession:
