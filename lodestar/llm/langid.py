@@ -40,7 +40,7 @@ GRAM = 3
 SAMPLE = 20_000
 UNKNOWN = "und"
 #: Texts of one product, and characters of them at most (a longer text is one of its own).
-BATCH_TEXTS, BATCH_CHARS = 256, 1 << 20
+BATCH_TEXTS, BATCH_CHARS = 256, 1 << 19
 _BLANK = 32
 _MAX_PROTOTYPES = 2_000
 
@@ -94,7 +94,11 @@ def _counts(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         column = (np.cumsum(there) - 1)[code]
     else:
         distinct, column = np.unique(code, return_inverse=True)
-    counts = np.bincount(owner * len(distinct) + column, minlength=len(lines) * len(distinct)).reshape(len(lines), len(distinct))
+    counts = np.zeros((len(lines), len(distinct)), np.float32)
+    for lo in range(0, len(lines), 32):  # counted for some texts at a time, as bincount counts in 64 bits
+        a, b = np.searchsorted(owner, (lo, lo + 32))
+        n_rows = len(counts[lo : lo + 32])
+        counts[lo : lo + 32] = np.bincount((owner[a:b] - lo) * len(distinct) + column[a:b], minlength=n_rows * len(distinct)).reshape(n_rows, -1)
     places = [distinct // n ** (GRAM - 1 - p) % n for p in range(GRAM)]
     return counts, np.stack([points[p] for p in places], axis=1)
 
@@ -114,7 +118,7 @@ def vectors(texts: list[str | None]) -> np.ndarray:
         counts, grams = _counts([lines[i] for i in rows])
         total = np.zeros((len(rows), DIM), np.float64)
         for k in range(0, len(grams), 4096):
-            total += counts[:, k : k + 4096].astype(np.float32) @ _gram_vectors(grams[k : k + 4096]).astype(np.float32)
+            total += counts[:, k : k + 4096] @ _gram_vectors(grams[k : k + 4096]).astype(np.float32)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         out[rows] = np.divide(total, norm, out=np.zeros_like(total), where=norm > 0)
         at = end
@@ -122,8 +126,8 @@ def vectors(texts: list[str | None]) -> np.ndarray:
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, 1000):
-        yield batch.slice(i, 1000)
+    for i in range(0, batch.num_rows, BATCH_TEXTS):
+        yield batch.slice(i, BATCH_TEXTS)
 
 
 def hash_below(sample: int, count: int) -> int:
@@ -175,20 +179,22 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, pred:
     Columns of docs with one of these names are replaced; callers that want to keep them choose others."""
     model = docs.sparkSession.sparkContext.broadcast((languages, prototypes))
     keep = [c for c in docs.columns if c.lower() not in (pred.lower(), score.lower())]
-    # Arrow functions take no names with dots in them: the columns are numbered meanwhile.
+    # Arrow functions take no names with dots in them: the columns are numbered meanwhile. The text goes to tasks once.
     plain = [f"c{i}" for i in range(len(keep))]
-    docs = docs.select(*cols(keep), F.col("text").alias(unused(keep, "__text"))).toDF(*plain, "text")
+    place = next((i for i, c in enumerate(keep) if c.lower() == "text"), len(keep))
+    docs = docs.select(*cols(keep), *([F.col("text").alias(unused(keep, "__text"))] if place == len(keep) else []))
+    docs = docs.toDF(*plain, *(["text"] if place == len(keep) else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = model.value
         for whole in batches:
             for batch in _slices(whole):
-                unit = vectors(batch.column(batch.num_columns - 1).to_pylist())
+                unit = vectors(batch.column(place).to_pylist())
                 cosine = unit @ table.T if len(names) else np.zeros((len(unit), 1), np.float32)
                 best, known = cosine.argmax(axis=1), unit.any(axis=1) & bool(names)
                 told = [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 near = np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(told, pa.string()), pa.array(near)], names=[*plain, "pred", "told"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(plain)], pa.array(told, pa.string()), pa.array(near)], names=[*plain, "pred", "told"])
 
     schema = docs.select(*plain).schema.add("pred", "string").add("told", "double")
     return docs.mapInArrow(run, schema).toDF(*keep, pred, score)

@@ -2,11 +2,16 @@
 
 1. A document is its set of five-word shingles (64-bit hashes of ASCII-lower-cased
    words; all words if they are fewer).  Equal sets collapse into one node.
-2. Candidates: ``BANDS`` keys of ``ROWS`` minima each (MinHash).  A pair of Jaccard
-   j has no common key with chance ``(1 - j**ROWS)**BANDS``: below 6e-6 at 0.8, less
-   above it, whatever the number of documents and however their differences lie.
-3. Every member of a key is held against the key's smallest node (the pivot) by the
-   exact Jaccard of both sets.  These pairs are told once, not once a key.
+2. Candidates by SimHash, as in operator 3: a fingerprint over three-word shingles,
+   pigeonhole blocks as keys, Hamming distance of three bits or fewer inside a key
+   (``simhash.close_links``).  Nodes of one fingerprint are candidates as well.
+   The rest, as pairs of 0.8 differ in some 15 % of the bits: ``BANDS`` keys of
+   ``ROWS`` minima each (MinHash).  A pair of Jaccard j has no common key with chance
+   ``(1 - j**ROWS)**BANDS``: below 6e-6 at 0.8, less above it, whatever the number
+   of documents and however their differences lie.
+3. Every candidate of SimHash, and every member of a key against the key's smallest
+   node (the pivot), is confirmed by the exact Jaccard of both sets.  These pairs
+   are told once, not once a key.
 4. Keys of three or more whose members are not all joined by then are compared in
    full: all pairs of members that are not joined yet, in pairs of chunks.
 5. Connected components of the links (``components.py``).
@@ -30,10 +35,12 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, join_by_key
 from .mixing import bounded_broadcast
-from .simhash import rolled_hashes, shingle_hashes
+from .simhash import close_links, close_plan, fingerprint, rolled_hashes, shingle_hashes
 from .storage import materialize
 
 SHINGLE = 5
+#: Words of a shingle of the fingerprints.
+PRINT_SHINGLE = 3
 #: Least Jaccard of a link, as a fraction of whole numbers.
 LEAST = (4, 5)
 BANDS, ROWS = 40, 6
@@ -69,14 +76,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            nodes, keys = [], []
+            nodes, keys, prints = [], [], []
             for i in range(len(texts)):
-                shingles = shingle_set(texts[i].as_py() or b"")
+                words = shingle_hashes(texts[i].as_py() or b"", 1)
+                shingles = np.unique(rolled_hashes(words, SHINGLE))
                 nodes.append(_node(shingles))
+                prints.append(fingerprint(rolled_hashes(words, PRINT_SHINGLE), 64))
                 keys.append(band_keys(shingles) if len(shingles) else np.empty(0, np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), listed], names=["doc_id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), listed, pa.array(prints, pa.binary())], names=["doc_id", "node", "keys", "print"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,16 +195,24 @@ def _by_key(members: DataFrame, joined: DataFrame) -> DataFrame:
     return parted.select("key", (F.least("mine", "other").cast("long") * F.col("chunks") + F.greatest("mine", "other")).alias("part"), "node", "label")
 
 
+def _by_prints(classes: DataFrame) -> DataFrame:
+    """classes: node, print. Candidates (pivot, node), pivot < node: nodes whose fingerprints are equal or close."""
+    prints = materialize(classes.groupBy("print").agg(F.min("node").alias("node"), F.count("*").alias("n")), "near-prints")
+    close = close_links(prints, close_plan(prints.count())).select(F.least("a", "b").alias("pivot"), F.greatest("a", "b").alias("node"))
+    shared = prints.where("n > 1").select("print", F.col("node").alias("pivot"))
+    return close.union(classes.join(shared, "print").where("node <> pivot").select("pivot", "node"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id: the smallest doc_id that links reach."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialize(texts.mapInArrow(_signatures, "doc_id long, node long, keys array<long>"), "near-rows")
+    rows = materialize(texts.mapInArrow(_signatures, "doc_id long, node long, keys array<long>, print binary"), "near-rows")
     known = rows.where("doc_id is not null")
-    classes = materialize(known.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.count("*").alias("n_rows")), "near-classes")
+    classes = materialize(known.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.min("print").alias("print"), F.count("*").alias("n_rows")), "near-classes")
     keyed = classes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     members = materialize(keyed.join(shared, "key").select("key", "node", "n", "pivot"), "near-members")
-    pairs = materialize(members.where("node <> pivot").select("pivot", "node").distinct(), "near-pairs")
+    pairs = materialize(_by_prints(classes).union(members.where("node <> pivot").select("pivot", "node")).distinct(), "near-pairs")
     need = materialize(pairs.select("node").union(pairs.select("pivot")).distinct().join(classes.select("node", "first"), "node"), "near-need")
     wanted = bounded_broadcast(need.select(F.col("first").alias("doc_id")).distinct(), need.count())
     made = texts.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets, "node long, shingles binary")

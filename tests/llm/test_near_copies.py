@@ -75,3 +75,17 @@ def test_empty_null_and_repeated_rows(spark):
     assert near_copies.near_copies(spark.createDataFrame([], schema)).count() == 0
     rows = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (5, "d e f"), (7, "d E f"), (None, "a b c")], schema)
     assert sorted(near_copies.near_copies(rows).select("component_id").collect(), key=str) == [(5,), (5,), (5,), (5,), (None,)]
+
+
+def test_fingerprints_alone_find_close_texts(spark):
+    """SimHash blocks and Hamming distance give candidates of their own: without MinHash keys, texts with one word changed still meet."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    with np.errstate(over="ignore"):
+        printed = lambda w: np.frombuffer(near_copies.fingerprint(near_copies.rolled_hashes(near_copies.shingle_hashes(" ".join(w).encode(), 1), 3), 64), np.uint64)
+        others = ([*words[:1500], f"other{k}", *words[1501:]] for k in range(50))
+        changed = next(w for w in others if np.bitwise_count(printed(words) ^ printed(w))[0] <= 3)
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(f"v{rng.randrange(5000)}" for _ in range(400)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = docs.mapInArrow(near_copies._signatures, "doc_id long, node long, keys array<long>, print binary")
+    assert near_copies._by_prints(classes.select("node", "print")).count() == 1
