@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions.text import strip, words
+from ..functions.topk import sparse_topk
 from ..functions.vectors import TfIdf, nearest_texts
 
 INVALID, WEAK, UNCLEAR, VALID = "invalid", "weak_relevance", "needs_clarification", "valid"
@@ -110,12 +111,12 @@ def validate(queries: DataFrame, similarity: Column | None = None, low: float =
     return df.withColumn("__r", first).select(*queries.columns, "__r.rule", "__r.status", "__r.confidence", "__r.message", hints.alias("suggestions"))
 
 
-def corpus_similarity(queries: DataFrame, corpus: DataFrame, model: TfIdf, most: int = 3, length: int = 100) -> DataFrame:
+def corpus_similarity(queries: DataFrame, corpus: DataFrame, model: TfIdf, most: int = 3, length: int = 100, rows: DataFrame | None = None) -> DataFrame:
     """Adds ``similarity``, the best cosine of each query with the corpus texts (id, text), 0 without a common term, and ``areas``: the beginnings of the ``most`` nearest texts, best first.
 
-    Queries of one text are compared once."""
+    Queries of one text are compared once. rows: ``model.among`` of the corpus and the queries, where it is there already."""
     asked = queries.select(F.coalesce("query", F.lit("")).alias("id")).distinct().withColumn("text", F.col("id"))
-    near = nearest_texts(model, asked, corpus, most)
+    near = nearest_texts(model, asked, corpus, most) if rows is None else sparse_topk(model.vectors(asked), rows, most)
     said = near.join(corpus.select(F.col("id").alias("entity_id"), F.substring("text", 1, length).alias("t")), "entity_id", "left")
     best = said.groupBy("query_id").agg(F.max("similarity").alias("similarity"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]).alias("areas"))
     told = queries.withColumn("__asked", F.coalesce("query", F.lit(""))).join(best.withColumnRenamed("query_id", "__asked"), "__asked", "left").drop("__asked").na.fill(0.0, ["similarity"])
